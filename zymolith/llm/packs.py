@@ -1,6 +1,6 @@
 """Documents packed into blocks, and keys counted over all blocks.
 
-A pack holds a few megabytes of documents as one compressed row, so that a
+A pack holds about a megabyte of documents as one compressed row, so that a
 Python stage works on whole blocks and a shuffle moves one row a block.  Packs
 are written to the shared folder before anything refers to them by number.
 Within a pack a key is one row however often it occurs there, so a key that
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import empty_text, written
 from .text import blocks
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 1 << 20
 
 
 def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = PACK_BYTES) -> DataFrame:
@@ -56,7 +56,6 @@ def map_packs(packs: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], s
                 found = batch.column(2)[k].values if batch.num_columns > 2 and batch.column(2)[k].is_valid else None
                 yield from work(batch.column(0)[k].as_py(), unpacked(batch.column(1)[k].as_py()), found)
 
-    # a row is some megabytes: few of them a batch
     return packs.mapInArrow(run, schema)
 
 

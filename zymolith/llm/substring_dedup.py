@@ -174,17 +174,16 @@ def joined_words(w: Words, keep: np.ndarray) -> pa.Array:
     """The kept words of each document, joined by one space."""
     n = len(w.data)
     start, end = w.start[keep], w.end[keep]
-    step = np.zeros(n + 1, np.int32)
+    step = np.zeros(n + 1, np.int8)
     step[start] += 1
     step[end] -= 1
-    out = np.cumsum(step[:-1]) > 0
+    out = np.cumsum(step[:-1], dtype=np.int8) > 0
     data = w.data.copy()
     closing = end[end < n]
     closing = closing[~np.isin(closing, w.doc)]  # a separator of the same document
     out[closing] = True
     data[closing] = 0x20
-    size = np.concatenate([[0], np.cumsum(out)])
-    offsets = size[w.doc]
+    offsets = np.searchsorted(np.flatnonzero(out), w.doc)
     data = data[out]
     # a separator after the last kept word is one byte too many
     full = offsets[1:] > offsets[:-1]
