@@ -43,6 +43,10 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) * _GOLD + b)
 
 
+#: Separators of letters and digits: every other ASCII byte.
+NOT_ALNUM = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
+
+
 @dataclass
 class Words:
     """Words of a block of documents.
@@ -102,11 +106,11 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Splits a block of texts into words."""
+def words_of(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """Splits a block of texts into words; ``between`` marks the bytes that separate words."""
     data, doc = string_bytes(texts)
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = doc[1:-1][doc[1:-1] < n]
