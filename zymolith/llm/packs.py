@@ -84,5 +84,26 @@ def repeated_elsewhere(keys: DataFrame) -> DataFrame:
     return again.groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
+def document_counts(pack: int, keys: np.ndarray, doc: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """One row a distinct key, with the number of the pack's documents that have it; ``at`` numbers the keys."""
+    names, slot = np.unique(keys, return_inverse=True)
+    both = np.unique(slot.astype(np.int64) * (int(doc.max(initial=0)) + 1) + doc)
+    n = np.bincount(both // (int(doc.max(initial=0)) + 1), minlength=len(names))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(names.view(np.int64)), pa.array(np.full(len(names), pack, np.int64)), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(n.astype(np.int64))],
+        ["key", "pack", "at", "n"],
+    )
+    return batch, slot
+
+
+COUNT_SCHEMA = "key long, pack long, at int, n long"
+
+
+def in_many_documents(counts: DataFrame, least: int) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have."""
+    total = F.sum("n").over(Window.partitionBy("key"))
+    return counts.withColumn("total", total).where(F.col("total") >= least).groupBy("pack").agg(F.collect_list("at").alias("found"))
+
+
 def with_found(packs: DataFrame, found: DataFrame) -> DataFrame:
     return packs.join(found, "pack", "left").select("pack", "blob", "found")
