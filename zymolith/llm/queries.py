@@ -10,8 +10,11 @@ from .exact_dedup import exact_dedup
 from .line_dedup import drop_template_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality import fit_on as fit_quality
+from .quality import score_quality
 from .secrets import find_secrets, secret_digest
 from .substring_dedup import substring_dedup
+from .surrogates import replace_personal_data
 from .toxicity import fit_on, score_toxicity
 
 
@@ -44,11 +47,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, host=F.col("source"), path=F.col("lang"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_on(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,7 +73,9 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_surrogates": op8_surrogates,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
