@@ -1,12 +1,57 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline over ``documents``: five filtering and mixing stages.
+
+Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept;
+between stages the rows are written as Parquet and read again.  All stages but
+the last return the columns of ``documents``; the last returns one row per
+remaining document with the words that the mix takes of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from zymolith.llm.decontamination import drop_contaminated
+from zymolith.llm.exact_dedup import drop_exact_copies
+from zymolith.llm.minhash import drop_near_copies
+from zymolith.llm.mixing import mix_sources
+from zymolith.llm.shared import written
+from zymolith.llm.toxicity import drop_toxic, fit_on
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL expresses neither the classifier nor the sampling keys.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
