@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import empty_text
-from .text import NOT_ALNUM, U64, blocks, pair, salted, words_of
+from .text import _GOLD, NOT_ALNUM, U64, blocks, mix, pair, words_of
 
 EDIT_SHARE = 0.2
 TARGET_RECALL = 0.99
@@ -43,6 +44,7 @@ ITEM_BYTES = 16 << 20
 #: Items of fewer words are held only by texts that consist of them.
 LEAST_WORDS = 5
 SAMPLED = 3
+MOST_TABLES = 64
 _BLOCK = 1 << 20
 _GATE = 20
 
@@ -51,16 +53,42 @@ def _words(texts: pa.Array):
     return words_of(pc.utf8_lower(texts.cast(pa.large_string())), NOT_ALNUM)
 
 
-def cgk(words: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Embeddings (rows of 3 * size) of the rows of ``words`` (size columns; 0 pads)."""
+def cgk(words: np.ndarray, sizes: np.ndarray, tables: int, steps: int) -> np.ndarray:
+    """Embeddings (tables, rows, steps): ``tables`` independent walks over each row of ``words``.
+
+    A row's words past its size are 0, and its walks end there.
+    """
     n = len(words)
     padded = np.concatenate([words, np.zeros((n, 1), U64)], 1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.zeros((n, 3 * size), U64)
-    for j in range(3 * size):
+    at, rows = np.zeros((tables, n), np.int64), np.arange(n)[None, :]
+    out = np.zeros((tables, n, steps), U64)
+    golden = int(_GOLD)
+    for j in range(steps):
         x = padded[rows, at]
-        out[:, j] = x
-        at = np.minimum(at + (salted(x, seed * 4096 + j) >> U64(63)).astype(np.int64), size)
+        out[:, :, j] = x
+        salt = np.array([(t * 4096 + j + 1) * golden % 2**64 for t in range(tables)], U64)[:, None]
+        at = np.minimum(at + (mix(x + salt) >> U64(63)).astype(np.int64), sizes)
+    return out
+
+
+@lru_cache(4096)
+def _sampled(size: int) -> np.ndarray:
+    """The steps that each table compares, (MOST_TABLES, SAMPLED), in order."""
+    rng = np.random.default_rng(size)
+    return np.sort(rng.integers(0, 2 * size, (MOST_TABLES, SAMPLED)), 1)
+
+
+def table_keys(words: np.ndarray, sizes: np.ndarray, tables: int) -> np.ndarray:
+    """Bit-sampling keys (rows, tables), a bounded number of rows at a time."""
+    out = np.empty((len(words), tables), U64)
+    for a in range(0, len(words), 512):
+        part, size = words[a : a + 512], sizes[a : a + 512]
+        at = np.stack([_sampled(int(k))[:tables] for k in size], 1)
+        x = np.take_along_axis(cgk(part, size, tables, int(at.max()) + 1), at, 2)
+        h = x[:, :, 0]
+        for k in range(1, SAMPLED):
+            h = pair(h, x[:, :, k])
+        out[a : a + 512] = h.T
     return out
 
 
@@ -85,22 +113,11 @@ class ItemIndex:
     ids: list
     words: list[np.ndarray]
     edits: list[int]
-    tables: dict[int, int] = field(default_factory=dict)
+    tables: int = 0
     pieces: dict[int, tuple] = field(default_factory=dict)
-    lsh: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
+    lsh: list[dict[tuple[int, int], list[int]]] = field(default_factory=list)
     whole: dict[bytes, list[int]] = field(default_factory=dict)
 
-    def steps(self, size: int, table: int) -> np.ndarray:
-        rng = np.random.default_rng([size, table])
-        return np.sort(rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False))
-
-    def keys(self, words: np.ndarray, size: int, table: int) -> np.ndarray:
-        x = cgk(words, size, table)[:, self.steps(size, table)]
-        h = x[:, 0]
-        for k in range(1, x.shape[1]):
-            h = pair(h, x[:, k])
-        return h
-
 
 def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
     out = list(words)
@@ -137,47 +154,59 @@ def build_index(ids: list, texts: list[str], edit_share: float = EDIT_SHARE, rec
         names = np.array(sorted(by_hash), U64)
         gate = np.zeros(1 << _GATE, bool)
         gate[names >> U64(64 - _GATE)] = True
-        index.pieces[q] = (gate, names, [sorted(set(by_hash[int(h)])) for h in names])
+        entries = [sorted(set(by_hash[int(h)])) for h in names]
+        flat = np.array([e for x in entries for e in x], np.int64)
+        index.pieces[q] = (gate, names, np.cumsum([0, *map(len, entries)]), flat[:, 0], flat[:, 1])
+    if not by_size:
+        return index
+    # agreement of items with as many random edits as are allowed
+    tries, spoilt, sizes = [], [], []
+    width = max(by_size)
     for size, members in by_size.items():
         rng = np.random.default_rng(size)
-        own = np.stack([words[i] for i in members])
-        tries = np.stack([own[k % len(own)] for k in range(64)])
-        spoilt = np.stack([_edited(rng, x, index.edits[members[0]]) for x in tries])
-        met = [index.keys(tries, size, t) == index.keys(spoilt, size, t) for t in range(16)]
-        chance = max(0.02, float(np.mean(met)))
-        index.tables[size] = 1 if chance >= 1 else min(256, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
-        index.lsh[size] = []
-        for t in range(index.tables[size]):
-            table: dict[int, list[int]] = {}
-            for i, key in zip(members, index.keys(own, size, t).tolist(), strict=True):
-                table.setdefault(key, []).append(i)
-            index.lsh[size].append(table)
+        for k in range(16):
+            x = words[members[k % len(members)]]
+            tries.append(np.pad(x, (0, width - size)))
+            spoilt.append(np.pad(_edited(rng, x, index.edits[members[0]]), (0, width - size)))
+            sizes.append(size)
+    sizes = np.array(sizes)
+    met = table_keys(np.stack(tries), sizes, MOST_TABLES) == table_keys(np.stack(spoilt), sizes, MOST_TABLES)
+    index.tables = 1
+    for size in by_size:
+        chance = max(0.02, float(met[sizes == size].mean()))
+        if chance < 1:
+            index.tables = max(index.tables, min(MOST_TABLES, math.ceil(math.log(1 - recall) / math.log(1 - chance))))
+    every = [i for members in by_size.values() for i in members]
+    keys = table_keys(np.stack([np.pad(words[i], (0, width - len(words[i]))) for i in every]), np.array([len(words[i]) for i in every]), index.tables)
+    index.lsh = [{} for _ in range(index.tables)]
+    for row, i in zip(keys.tolist(), every, strict=True):
+        for t, key in enumerate(row):
+            index.lsh[t].setdefault((len(words[i]), key), []).append(i)
     return index
 
 
-def _windows(index: ItemIndex, words: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-    """For each size, rows (document, start) of the windows that a piece of an item gives."""
-    out: dict[int, list] = {}
-    grams: dict[int, np.ndarray] = {}
+def _windows(index: ItemIndex, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, size) of the windows that the pieces of items give."""
+    out: list[np.ndarray] = []
     n, h = len(words), words
     for q in range(1, max(index.pieces, default=0) + 1):
         if q > 1:
             h = pair(h[: max(0, n - q + 1)], words[q - 1 :])
-        if q in index.pieces:
-            grams[q] = h
-    for q, h in grams.items():
-        gate, names, places = index.pieces[q]
+        if q not in index.pieces:
+            continue
+        gate, names, place, size, offset = index.pieces[q]
         at = np.flatnonzero(gate[h >> U64(64 - _GATE)])
         slot = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
-        hit = names[slot] == h[at]
-        at, slot = at[hit], slot[hit]
         doc = np.searchsorted(first, at, "right") - 1
-        hit = at + q <= first[doc + 1]
-        for p, s, d in zip(at[hit].tolist(), slot[hit].tolist(), doc[hit].tolist(), strict=True):
-            for size, offset in places[s]:
-                start = max(int(first[d]), min(p - offset, int(first[d + 1]) - size))
-                out.setdefault(size, []).append((d, start))
-    return {size: np.unique(np.array(rows), axis=0) for size, rows in out.items()}
+        hit = (names[slot] == h[at]) & (at + q <= first[doc + 1])
+        at, slot, doc = at[hit], slot[hit], doc[hit]
+        many = place[slot + 1] - place[slot]
+        row = np.repeat(np.arange(len(at)), many)
+        entry = np.repeat(place[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start = np.maximum(first[doc[row]], np.minimum(at[row] - offset[entry], first[doc[row] + 1] - size[entry]))
+        out.append(np.stack([doc[row], start, size[entry]], 1))
+    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
 def _laid(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
@@ -196,25 +225,31 @@ def find_items(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, i
         for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < LEAST_WORDS)).tolist():
             for i in index.whole.get(words[first[d] : first[d + 1]].tobytes(), ()):
                 best[d, i] = (0, 0)
-    for size, rows in _windows(index, words, first).items():
-        doc, start = rows[:, 0], rows[:, 1]
-        laid = _laid(words, start, first[doc + 1], size)
-        met = set()
-        for t, table in enumerate(index.lsh[size]):
-            for k, key in enumerate(index.keys(laid, size, t).tolist()):
-                met.update((k, i) for i in table.get(key, ()))
-        if not met:
-            continue
-        k, i = np.array(sorted(met)).T
+    doc, start, size = _windows(index, words, first)
+    if not len(doc):
+        return [(d, i, 0, 0) for d, i in sorted(best)]
+    width = int(size.max())
+    laid = _laid(words, start, np.minimum(first[doc + 1], start + size), width)
+    met = set()
+    for k, row in enumerate(table_keys(laid, size, index.tables).tolist()):
+        own = int(size[k])
+        for t, key in enumerate(row):
+            met.update((k, i) for i in index.lsh[t].get((own, key), ()))
+    if not met:
+        return [(d, i, 0, 0) for d, i in sorted(best)]
+    ks, items = np.array(sorted(met)).T
+    for length in np.unique(size[ks]).tolist():
+        mine = size[ks] == length
+        k, i = ks[mine], items[mine]
+        more = index.edits[int(i[0])]
         own = np.stack([index.words[x] for x in i.tolist()])
         edits = np.zeros(len(k), np.int64)
-        rest = np.flatnonzero((laid[k] != own).any(1))
-        more = math.floor(size * 0.5) if not len(rest) else max(index.edits[x] for x in i.tolist())
+        rest = np.flatnonzero((laid[k, :length] != own).any(1))
         for a in range(0, len(rest), 4096):
             part = rest[a : a + 4096]
             d = doc[k[part]]
             begin = np.maximum(start[k[part]] - more, first[d])
-            edits[part] = edit_distances(own[part], _laid(words, begin, np.minimum(first[d + 1], begin + size + 2 * more), size + 2 * more))
+            edits[part] = edit_distances(own[part], _laid(words, begin, np.minimum(first[d + 1], begin + length + 2 * more), length + 2 * more))
         for kk, ii, e in zip(k.tolist(), i.tolist(), edits.tolist(), strict=True):
             if e <= index.edits[ii]:
                 key = (int(doc[kk]), ii)
