@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch_dir, written
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local session, as in tests) a folder is made
-    and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="zymolith-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a scan of it.
-
-    This cuts the lineage: a lost executor costs a re-read of files that every
-    executor sees, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/zymolith-{name}-{os.getpid()}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["at_most", "empty_text", "scratch_dir", "small_side", "written"]
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
