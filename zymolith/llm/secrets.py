@@ -18,8 +18,8 @@ from .shared import empty_text
 
 #: Fixed values of the base findings.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{14,}"  # runs AKIA[A-Z0-9]+ of 18 characters or more
+HEX = r"[0-9a-f]{16,}"  # runs [0-9a-f]+ of 16 characters or more
 #: Patterns of weak candidates.
 LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]*://[^\s"'<>]+"""
@@ -30,16 +30,18 @@ SCOPE = 300
 
 
 def _matches(text: Column, kind: str, pattern: str, possible: Column, group: int) -> Column:
-    """Array of (kind, gap before, match, value) in order; empty unless ``possible``."""
-    zipped = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"),
-            F.slice(F.split(text, pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("g"),
-        ),
-        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("match"), F.length(x["v"]).alias("size")),
-    )
-    return F.when(possible, zipped).otherwise(F.array().cast("array<struct<kind:string,gap:int,match:string,size:int>>"))
+    """Array of (kind, gap before, match, size of the value) in order; empty unless ``possible``.
+
+    The gap after the last match comes without one and is left out.
+    """
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = [whole.alias("m"), F.split(text, pattern, -1).alias("g")]
+    if group:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
+    zipped = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
+    size = lambda x: F.length(x["v"]) if group else F.length(x["m"])
+    out = F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("match"), size(x).alias("size")))
+    return F.when(possible, out).otherwise(F.array().cast("array<struct<kind:string,gap:int,match:string,size:int>>"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,21 +63,20 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     kinds = [
         _matches(text, "assign", ASSIGN, sign & text.rlike(ASSIGN), 2),
         _matches(text, "access", ACCESS, text.contains("AKIA"), 0),
-        _matches(text, "hex", HEX, text.rlike("[0-9a-f]{16,}"), 0),
+        _matches(text, "hex", HEX, text.rlike(HEX), 0),
         _matches(text, "login", LOGIN, sign & text.rlike(LOGIN), 2),
         _matches(text, "endpoint", ENDPOINT, text.contains("://"), 0),
     ]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), empty_text(text_col).alias("text"))
     lists = rows.select("row", "doc_id", F.array(*kinds).alias("lists"))
-    lists = lists.select("row", "doc_id", F.explode("lists").alias("list"))
+    lists = lists.select("row", "doc_id", F.explode_outer("lists").alias("list"))
     # one row a match, and one a document at least
     spans = lists.select("row", "doc_id", F.posexplode_outer("list").alias("nth", "x")).select("row", "doc_id", "nth", "x.*").repartition("row")
     order = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("match")).over(order)
     spans = spans.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
     kind = F.when(F.col("kind") != "assign", F.col("kind")).when(F.col("size") >= 12, "assign").when(F.col("size") >= 6, "pass")
-    least = F.when(F.col("kind") == "access", 18).when(F.col("kind") == "hex", 16).otherwise(0)
-    spans = spans.withColumn("kind", F.when(F.length("match") >= least, kind))
+    spans = spans.withColumn("kind", kind)
     part = F.when(F.col("kind").isin("access", "login"), "id").when(F.col("kind").isin("assign", "hex", "pass"), "secret").when(F.col("kind") == "endpoint", "endpoint")
     spans = spans.withColumn("part", part)
 
