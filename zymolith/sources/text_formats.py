@@ -59,7 +59,7 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, accession, length, gathering): header fields of profile files."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     get = lambda tag: F.nullif(F.regexp_extract("value", rf"(?m)^{tag}\s+(\S+)", 1), F.lit(""))
     return whole.select("file", get("NAME").alias("name"), get("ACC").alias("accession"), get("LENG").cast("int").alias("length"), get("GA").try_cast("double").alias("gathering"))
 
@@ -115,7 +115,7 @@ def parse_newick(text: str) -> list[tuple[str, str | None, float | None]]:
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """Edge table (node, parent, length) of one tree file."""
-    text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
     return spark.createDataFrame(parse_newick(text), "node string, parent string, length double")
 
 
