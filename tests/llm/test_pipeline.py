@@ -1,6 +1,8 @@
 import math
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from zymolith.llm import toxicity as T
 
@@ -15,7 +17,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
     model = T.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     ids = sorted(rows)
-    doc, term = T._flat([rows[i] for i in ids], T.BITS)
+    doc, term = (np.concatenate(x) for x in zip(*T._flat([rows[i] for i in ids], T.BITS), strict=True))
     score = T._sigmoid(model.logits(doc, term, len(ids)))
     want = {}
     left = {i for i, s in zip(ids, score, strict=True) if s < 0.7}

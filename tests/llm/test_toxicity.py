@@ -16,7 +16,7 @@ def auc(score, y):
 
 
 def scored(model, texts):
-    doc, term = T._flat(texts, T.BITS)
+    doc, term = (np.concatenate(x) for x in zip(*T._flat(texts, T.BITS), strict=True))
     return T._sigmoid(model.logits(doc, term, len(texts)))
 
 

@@ -49,14 +49,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _flat(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    docs, terms, at = [], [], 0
+def _flat(texts: list[str], bits: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, term) pairs, a block of texts at a time; only ``wanted`` terms if given."""
     arr = pa.array(texts, pa.large_string())
     for a, b in blocks(arr, _BLOCK):
         d, t = hashed_terms(arr.slice(a, b - a), bits)
-        docs.append(d + a)
-        terms.append(t)
-    return (np.concatenate(docs), np.concatenate(terms)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if wanted is not None:
+            keep = wanted[t]
+            d, t = d[keep], t[keep]
+        yield d + a, t
 
 
 def fit(texts: list[str], labels: list[int], bits: int = BITS, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> FactorizationMachine:
@@ -76,12 +77,16 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, rank: int = RANK,
     if not n or y.min() == y.max():
         base = (y.sum() + 1) / (n + 20) if n else 0.05
         return FactorizationMachine(float(np.log(base / (1 - base))), w, v)
-    doc, term = _flat(texts, bits)
     part = rng.random(n) < 0.2
     learn, check = np.flatnonzero(~part), np.flatnonzero(part)
-    strength = _strength(doc, term, y, ~part, size)
-    keep = strength[term] > 0
-    doc, term = doc[keep], term[keep]
+    # one pass counts the terms, another keeps the few that are inputs
+    total, positive = np.zeros(size), np.zeros(size)
+    for d, t in _flat(texts, bits):
+        here = ~part[d]
+        total += np.bincount(t[here], minlength=size)
+        positive += np.bincount(t[here], y[d[here]], size)
+    strength = _strength(total, positive, y[~part].sum(), (1 - y[~part]).sum())
+    doc, term = (np.concatenate(x) for x in zip(*_flat(texts, bits, strength > 0), strict=True))
     v[strength > 0] = rng.normal(0, 0.05, (int((strength > 0).sum()), rank))
     first = np.searchsorted(doc, np.arange(n + 1))
     gw, gv, gb = np.full(size, 1e-4), np.full((size, rank), 1e-4), 1e-4
@@ -116,16 +121,12 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, rank: int = RANK,
     return model
 
 
-def _strength(doc: np.ndarray, term: np.ndarray, y: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """How clearly each term's presence differs between the classes among ``rows``."""
-    here = rows[doc]
-    p, n = y[rows].sum(), (1 - y[rows]).sum()
+def _strength(total: np.ndarray, positive: np.ndarray, p: float, n: float) -> np.ndarray:
+    """How clearly each term's presence differs between ``p`` positive and ``n`` negative rows."""
     if not p or not n:
-        return np.zeros(size)
-    with_p = np.bincount(term[here], y[doc[here]], size)
-    total = np.bincount(term[here], minlength=size)
+        return np.zeros(len(total))
     share = (total + 1) / (p + n)
-    z = (with_p / p - (total - with_p) / n) / np.sqrt(share * (1 / p + 1 / n))
+    z = (positive / p - (total - positive) / n) / np.sqrt(share * (1 / p + 1 / n))
     return np.clip((np.abs(z) - 3) / 5, 0, 1)
 
 
