@@ -80,13 +80,76 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-#: DuckDB statements for the queries that SQL expresses.
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9@._-]{3,})"""
+_ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]*://[^\s"''<>]+"""
+
+
+def _found(kind: str, pattern: str, group: int) -> str:
+    return f"""SELECT doc_id, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS match, unnest(v) AS val, unnest(g[1:len(m)]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d)"""
+
+
+def _near(part: str) -> str:
+    return f"""coalesce(start - max(CASE WHEN part = '{part}' THEN stop END) OVER before <= 300, false) OR coalesce(min(CASE WHEN part = '{part}' THEN start END) OVER after - stop <= 300, false)"""
+
+
+_SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  raw AS ({" UNION ALL ".join([_found("assign", _ASSIGN, 2), _found("access", "AKIA[A-Z0-9]+", 0), _found("hex", "[0-9a-f]+", 0), _found("login", _LOGIN, 2), _found("endpoint", _ENDPOINT, 0)])}),
+  placed AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM raw),
+  named AS (SELECT doc_id, stop - length(match) AS start, stop, CASE WHEN kind = 'assign' AND length(val) < 12 THEN CASE WHEN length(val) >= 6 THEN 'pass' END
+      WHEN kind = 'access' AND length(match) < 18 OR kind = 'hex' AND length(match) < 16 THEN NULL ELSE kind END AS kind FROM placed),
+  parts AS (SELECT *, CASE WHEN kind IN ('access', 'login') THEN 'id' WHEN kind IN ('assign', 'hex', 'pass') THEN 'secret' ELSE 'endpoint' END AS part FROM named WHERE kind IS NOT NULL),
+  seen AS (SELECT *, {_near("id")} AS by_id, {_near("secret")} AS by_secret, {_near("endpoint")} AS by_endpoint FROM parts
+    WINDOW before AS (PARTITION BY doc_id ORDER BY start, stop, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY doc_id ORDER BY start, stop, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  kept AS (SELECT *, kind || ':' || start || ':' || stop AS line, list_position(['assign', 'access', 'hex', 'login', 'pass', 'endpoint'], kind) AS r FROM seen
+    WHERE kind IN ('assign', 'access', 'hex') OR (kind = 'pass' AND (by_id OR by_endpoint)) OR (kind IN ('login', 'endpoint') AND by_secret))
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(line, ',' ORDER BY start, r) FILTER (r <= 3), '')) AS base_sha256, coalesce(string_agg(line, ',' ORDER BY start, r), '') AS spans,
+    count(*) FILTER (kind = 'login') AS n_login, count(*) FILTER (kind = 'pass') AS n_pass, count(*) FILTER (kind = 'endpoint') AS n_endpoint
+  FROM d LEFT JOIN kept USING (doc_id) GROUP BY doc_id"""
+
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text <> '')),
+  t AS (SELECT doc_id, k, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+  deep AS (SELECT doc_id, k, w, len(w) || ' ' || w[1] || ' ' || w[2] || ' ' || w[3] AS leaf FROM t WHERE len(w) >= 3),
+  c AS (SELECT * FROM deep WHERE leaf IN (SELECT leaf FROM deep GROUP BY leaf HAVING count(DISTINCT doc_id) >= 4)),
+  tok AS (SELECT doc_id, k, leaf, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM c),
+  often AS (SELECT leaf, p, x FROM tok WHERE p > 3 AND x <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 4),
+  shown AS (SELECT doc_id, k, leaf, p, CASE WHEN x <> '<*>' AND (p <= 3 OR o.x IS NOT NULL) THEN tok.x ELSE '<*>' END AS y FROM tok LEFT JOIN often o USING (leaf, p, x)),
+  tpl AS (SELECT doc_id, k, leaf || '|' || string_agg(y, ' ' ORDER BY p) AS tpl FROM shown GROUP BY doc_id, k, leaf HAVING count(*) FILTER (y <> '<*>') >= 0.6 * count(*)),
+  gone AS (SELECT doc_id, k FROM tpl WHERE tpl IN (SELECT tpl FROM tpl GROUP BY tpl HAVING count(DISTINCT doc_id) >= 4)),
+  kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)
+  SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)"""
+
+_NEAR = f"""WITH RECURSIVE {_WORDS},
+  sh AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)) GROUP BY ALL),
+  n AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY doc_id),
+  m AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  e AS (SELECT x, y FROM m JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE m >= 0.8 * (p.n + q.n - m) - 1e-9
+    UNION ALL SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.doc_id <> b.doc_id),
+  reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+  cls AS (SELECT w.doc_id, least(w.doc_id, min(y)) AS class_id FROM w LEFT JOIN reach ON x = w.doc_id GROUP BY w.doc_id)
+  SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM cls"""
+
+_SUBSTRINGS = f"""WITH {_WORDS},
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+  twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1),
+  gone AS (SELECT DISTINCT doc_id, i + k AS i FROM twice CROSS JOIN range(35) r(k)),
+  word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+  kept AS (SELECT word.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY word.i) FILTER (gone.i IS NULL), '') AS text
+    FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)"""
+
+#: DuckDB statements for the queries that SQL expresses, over whole tables.
 ORACLE_SQL: dict[str, str] = {
-    "op2_line_dedup": op2_line_dedup,
-    "op3_decontamination": op3_decontamination,
-    "op4_minhash_dedup": op4_minhash_dedup,
+    "op1_secret_scan": _SECRETS,
+    "op2_line_dedup": _LINES,
+    "op4_minhash_dedup": _NEAR,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_substring_dedup": _SUBSTRINGS,
 }
