@@ -22,6 +22,15 @@ def test_one_vs_rest_skips_classes_of_one_outcome(spark):
     assert good == 200
 
 
+def test_saved_models_score_alike(spark, tmp_path):
+    rows = data(spark, 60)
+    model = L.OneVsRest("random_forest", {"numTrees": 3, "seed": 1}).fit(rows, ["big", "all"])
+    model.save(f"{tmp_path}/m")
+    again = L.gathered_folds(spark, [f"{tmp_path}/m"])[0]
+    key = lambda m: sorted(tuple(r) for r in m.predict(rows, ["big", "all"]).collect())
+    assert again.learner == "random_forest" and key(again) == key(model)
+
+
 def test_features_use_training_owners_only(spark):
     sims = spark.createDataFrame([(1, "f1", 0.5), (1, "f2", 0.7), (2, "f3", 0.9)], "id int, feature string, value double")
     owners = spark.createDataFrame([("f1", "d", 1), ("f2", "d", 2), ("f3", "d", 1)], "feature string, domain string, owner int")

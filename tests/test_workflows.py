@@ -7,36 +7,42 @@ from pyspark.sql import functions as F
 from zymolith.__main__ import main
 from zymolith.plans import workflows as W
 
-COLUMNS = "id string, sequence string, type string, substrate string, product string, fragment string, product_is_major_raw string, kingdom_raw string"
+COLUMNS = "id string, sequence string, type string, substrate_name string, product string, fragment string, product_is_major_raw string, kingdom_raw string"
+GPP = "CC(C)=CCCC(C)=CCOP([O-])(=O)OP([O-])([O-])=O"
 
 
 def reactions(spark):
+    ten, other = "C1CC(C(C)=C)CC=C1C", "CC(C)=CCC\\C(C)=C\\C"
     rows = [
-        (" a ", "MK LV", "mono", "CCO", "CCN", None, None, "Animals (Corals)"),
-        ("a", "MKLV", "mono", "CCO", "CCS", None, "yes", "Plantae"),
-        ("b", "QQ", "ggpps", "CCC", "CCCO", None, None, "Plants"),
-        ("c", "QQ", "mono", "C", "CC", None, None, "Plants"),
-        ("d", None, "mono", "C", "C", None, None, "Plants"),
-        ("e", "QQ", "mono", None, None, None, None, "Plants"),
-        ("f", "QQ", "mono", "C", "C", "Yes", None, "Plants"),
-        ("g", "QQ", "mono", None, "Unknown", None, None, None),
+        (" a ", "MK LV*", "mono", "(2E)-GPP", ten, None, None, "Coral"),
+        ("a", "MKLV", "mono", "(2E)-GPP", other, None, "yes", "Plantae"),
+        ("b", "QQ", "gpps", "(2E)-GPP", ten, None, None, "Fungi"),
+        ("c", "QQ", "mono", "(2E)-GPP", "CC", None, None, "Fungi"),
+        ("d", None, "mono", "(2E)-GPP", ten, None, None, "Fungi"),
+        ("e", "QQ", "mono", "no such name", ten, None, None, "Fungi"),
+        ("f", "QQ", "mono", "(2E)-GPP", ten, "Yes", None, "Fungi"),
+        ("g", "QQ", "mono", "Unknown", None, None, None, None),
+        ("h", "QQ", "mono", "(2E)-GPP", "a ketone", None, None, None),
+        ("x", "QQ", "mono", "(2E)-GPP", ten, None, None, None),
+        ("m", "QQ", "Negative", None, None, None, None, None),
     ]
     return spark.createDataFrame(rows, COLUMNS)
 
 
 def test_prepared_table(spark):
     negatives = spark.createDataFrame([("n1", "MK"), ("n2", "MU"), ("a", "MK")], "id string, sequence string")
-    rows = sorted(W.prepared(reactions(spark), negatives).collect(), key=lambda r: (r.id, r["product"] or ""))
-    got = [(r.id, r.sequence, r.substrate, r["product"], r.kingdom, r.product_is_major) for r in rows]
+    table = W.prepared(reactions(spark), negatives, spark.createDataFrame([("x",)], "id string"))
+    got = sorted((r.id, r.sequence, r.substrate, r["product"], r.kingdom or "", r.product_is_major) for r in table.collect())
     assert got == [
-        ("a", "MKLV", "CCO", "CCN", "Animals", False),
-        ("a", "MKLV", "CCO", "CCS", "Plants", True),
-        ("b", "QQ", "precursor substr", "CCCO", "Plants", True),
-        ("g", "QQ", "Unknown", "Unknown", None, True),
-        ("n1", "MK", "Unknown", None, None, False),
+        ("a", "MKLV", GPP, "C1CC(C(C)=C)CC=C1C", "Animals", False),
+        ("a", "MKLV", GPP, "CC(C)=CCCC(C)=CC", "Plants", True),
+        ("b", "QQ", "precursor substr", "C1CC(C(C)=C)CC=C1C", "Fungi", True),
+        ("g", "QQ", "Unknown", "Unknown", "", True),
+        ("m", "QQ", "Negative", "Unknown", "", True),
+        ("n1", "MK", "Unknown", None, "", False),
     ]
-    labels = {r.id: r.labels for r in W.examples(W.prepared(reactions(spark), negatives)).collect()}
-    assert labels == {"a": ["CCO", "isTPS"], "b": ["precursor substr"], "g": ["Unknown"], "n1": ["Unknown"]}
+    labels = {r.id: r.labels for r in W.examples(table).collect()}
+    assert labels == {"a": [GPP, "isTPS"], "b": ["precursor substr"], "g": ["Unknown"], "m": ["Negative", "isTPS"], "n1": ["Unknown"]}
 
 
 def test_folds_do_not_leak(spark):

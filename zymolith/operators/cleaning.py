@@ -7,18 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings of kingdoms that are one category.
-KINGDOMS = {
-    "Animals (Cnidaria)": "Animals",
-    "Animals (Insects)": "Animals",
-    "Animals (Porifera)": "Animals",
-    "Animals (Mammals)": "Animals",
-    "Animals (Corals)": "Animals",
-    "Animals (Octocorals)": "Animals",
-    "Amoebozoa": "Protists",
-    "Plantae": "Plants",
-    "Fungi (Ascomycota)": "Fungi",
-}
+from ..functions.fixed_values import KINGDOMS
+
 MAX_LENGTH = 2000
 
 
@@ -75,15 +65,15 @@ def can_be_canonical(product: Column) -> Column:
 
 
 def major_product(products: Column, flag: Column) -> Column:
-    """With one product anything but "no" counts, null too; with more only "yes" does."""
+    """With exactly one product anything but "no" counts, null too; else only "yes" does."""
     single = F.coalesce(F.lower(flag) != "no", F.lit(True))
     several = F.coalesce(F.lower(flag) == "yes", F.lit(False))
-    return F.when(products <= 1, single).otherwise(several)
+    return F.when(products == 1, single).otherwise(several)
 
 
 def squeezed(sequence: Column) -> Column:
-    """The sequence without white space of any kind."""
-    return F.regexp_replace(sequence, r"(?U)\s+", "")
+    """The sequence without white space of any kind, asterisks and quotes."""
+    return F.regexp_replace(sequence, r"""(?U)[\s*"']+""", "")
 
 
 def trimmed_id(column: Column, missing: str = "Negative") -> Column:

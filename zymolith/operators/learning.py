@@ -9,7 +9,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relations import left_impute_zero
@@ -44,6 +44,10 @@ def joined_features(vectors: DataFrame, domains: DataFrame | None, size: int, id
     return both.select(id_col, array_to_vector(F.concat(column, "domains")).alias("features"))
 
 
+def _write_text(path: str, text: str) -> None:
+    SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 # Learners by name: each takes parameters and returns an estimator with a probability column.
 LEARNERS: dict[str, Callable[..., object]] = {
     "random_forest": lambda **p: RandomForestClassifier(labelCol="label", weightCol="weight", **p),
@@ -87,6 +91,36 @@ class OneVsRest:
         return out.select("id", F.explode(scores).alias("x")).select("id", "x.class", "x.score")
 
 
+    def save(self, path: str) -> None:
+        """One directory a class, and the settings."""
+        import json
+
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{path}/models/{name.encode().hex()}")
+        settings = {"learner": self.learner, "params": dict(self.params), "class_params": {k: dict(v) for k, v in self.class_params.items()}, "balanced": self.balanced, "models": {c: type(m).__module__ + ":" + type(m).__name__ for c, m in self.models.items()}}
+        _write_text(f"{path}/settings", json.dumps(settings))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OneVsRest:
+        import importlib
+        import json
+
+        saved = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/settings").collect()))
+        kinds = saved.pop("models")
+        out = cls(**saved)
+        for name, kind in kinds.items():
+            module, _, attribute = kind.partition(":")
+            if not module.startswith("pyspark.ml."):
+                raise ValueError(f"not a Spark model: {kind}")
+            out.models[name] = getattr(importlib.import_module(module), attribute).load(f"{path}/models/{name.encode().hex()}")
+        return out
+
+
+def gathered_folds(spark: SparkSession, paths: Sequence[str]) -> list[OneVsRest]:
+    """The saved models of several folds, for one ensemble."""
+    return [OneVsRest.load(spark, p) for p in paths]
+
+
 def ensemble_mean(predictions: DataFrame, models: int, skip: str = "Unknown") -> DataFrame:
     """(id, class, score): sum of the models' scores over ``models``; ``-`` in class names becomes ``_``."""
     rows = predictions.where(F.col("class") != skip)

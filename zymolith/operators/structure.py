@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import TEMPLATES
 from .pairs import triangle
 from .relations import priority_merge
-from .segments import has_long_segment, islands, longest_segment
+from .segments import has_long_segment, islands, longest_segment, parse_selection
 
 # Least score and size of each domain, and the order in which domains are assigned.
 THRESHOLDS = {"alpha": (0.35, 130), "beta": (0.60, 50), "gamma": (0.55, 50), "delta": (0.60, 50), "epsilon": (0.60, 50)}
@@ -28,6 +29,18 @@ def thresholds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, least_score double, least_size int")
 
 
+def templates(spark: SparkSession) -> DataFrame:
+    """(domain, file, residue): the residues of each domain's template; null for all residues of the file."""
+    rows = spark.createDataFrame([(d, f, r) for d, (f, r) in TEMPLATES.items()], "domain string, file string, selection string")
+    residues = F.when(F.col("selection").isNotNull(), parse_selection(F.col("selection")))
+    return rows.select("domain", "file", F.explode_outer(residues).alias("residue"))
+
+
+def with_third_pass(completed_regions: DataFrame, found_later: DataFrame, include: bool = True) -> DataFrame:
+    """Completed regions, and those found on the residues that remained, if they are wanted."""
+    return completed_regions.unionByName(found_later.join(completed_regions.select("file", "module_id"), ["file", "module_id"], "left_anti")) if include else completed_regions
+
+
 def size(column: str = "residues") -> Column:
     return F.size(F.map_keys(column))
 

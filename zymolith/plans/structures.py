@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import TEMPLATES
 from ..operators import folds as K
 from ..operators import segments as S
 from ..operators import structure as G
@@ -255,3 +256,15 @@ def f11(spark, d):
 def l16(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_brand").alias("subtype"), "p_size")
     return subtype_table(p, F.col("p_size") > 20)
+
+
+_SELECTIONS = ", ".join(f"('{d}', {'NULL' if r is None else repr(r)})" for d, (_, r) in TEMPLATES.items())
+
+
+@query(
+    "g14_templates",
+    f"""WITH t(domain, sel) AS (VALUES {_SELECTIONS}), p AS (SELECT domain, unnest(string_split(sel, '+')) AS x FROM t)
+    SELECT domain, coalesce(sum(split_part(x, '-', 2)::INTEGER - split_part(x, '-', 1)::INTEGER + 1), 0)::INTEGER AS residues FROM t LEFT JOIN p USING (domain) GROUP BY domain""",
+)
+def g14(spark, d):
+    return G.templates(spark).groupBy("domain").agg(F.count("residue").cast("int").alias("residues"))

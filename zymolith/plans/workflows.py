@@ -7,6 +7,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chemistry import canonical as canonical_texts
+from ..functions.chemistry import without_stereo_marks
+from ..functions.fixed_values import MULTI_MOLECULE, SUBSTRATES
 from ..operators import cleaning as C
 from ..operators import folds as D
 from ..operators import labels as L
@@ -19,23 +22,35 @@ from ..streaming.screening import Scorer, hits, scored
 NOT_EVALUATED = (L.UNKNOWN, L.OTHER)
 
 
-def prepared(reactions: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+def prepared(reactions: DataFrame, negatives: DataFrame | None = None, blacklist: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """The reaction table, cleaned: one row an enzyme, substrate and product.
 
-    Takes columns id, sequence, type, substrate, product, fragment,
-    product_is_major_raw and kingdom_raw; fragments, rows without a sequence, rows
-    with neither substrate nor product and unbalanced rows go.  ``negatives``:
-    (id, sequence); those with residues that are no standard ones go.
+    Takes columns id, sequence, type, substrate_name, product, fragment,
+    product_is_major_raw and kingdom_raw.  Substrate names become structures, those
+    without one go; products that are no structure are ``Unknown``; two-molecule
+    substrates are set; unbalanced rows, rows without a sequence and fragments go.
+    ``canonical``: (text, canonical) of structures; without it stereo marks are cut
+    from the text.  ``blacklist``: (id).  ``negatives``: (id, sequence); those with
+    residues that are no standard ones go.
     """
-    rows = reactions.withColumns({"id": C.trimmed_id(F.col("id")), "sequence": C.squeezed(F.col("sequence")), "kingdom": C.kingdom(F.col("kingdom_raw"))})
-    rows = rows.where(F.col("sequence").isNotNull() & C.complete(F.col("substrate"), F.col("product"), F.col("fragment")))
-    both = F.col("substrate").isNotNull() & F.col("product").isNotNull() & C.can_be_canonical(F.col("product"))
-    rows = rows.where(~both | C.carbon_balanced(F.col("substrate"), F.col("product")))
-    products = rows.groupBy("id", "substrate").agg(F.count("product").alias("_products"))
-    keyed = rows.join(products, rows["id"].eqNullSafe(products["id"]) & rows["substrate"].eqNullSafe(products["substrate"])).drop(products["id"]).drop(products["substrate"])
-    rows = keyed.withColumn("product_is_major", C.major_product(F.col("_products"), F.col("product_is_major_raw")))
-    out = rows.select("id", "sequence", "type", F.coalesce("substrate", F.lit(L.UNKNOWN)).alias("substrate"), "product", "kingdom", "product_is_major")
-    out = out.withColumn("substrate", L.precursor_rewrite(F.col("type"), F.col("substrate")))
+    rows = reactions.withColumns({"id": C.trimmed_id(F.col("id")), "sequence": C.squeezed(F.col("sequence"))})
+    if blacklist is not None:
+        rows = C.not_in(rows, "id", blacklist, "id")
+    name = F.when(F.col("type") == L.NEGATIVE, L.NEGATIVE).otherwise(F.col("substrate_name"))
+    rows = rows.withColumn("substrate", C.mapped(name, SUBSTRATES | {L.NEGATIVE: L.NEGATIVE})).where(C.present_or(F.col("substrate"), F.col("type")))
+    rows = rows.withColumn("product", F.when(C.can_be_canonical(F.col("product")), F.col("product")).otherwise(L.UNKNOWN))
+    for column in ("substrate", "product"):
+        if canonical is None:
+            rows = rows.withColumn(column, without_stereo_marks(F.col(column)))
+        else:
+            rows = canonical_texts(rows, column, f"_{column}", canonical).drop(column).withColumnRenamed(f"_{column}", column)
+    fixes = [((F.col("type") == t) & (F.col("substrate") == old), new) for t, old, new in MULTI_MOLECULE]
+    rows = rows.withColumn("substrate", C.conditional_fixes(F.col("substrate"), fixes))
+    rows = rows.where(C.carbon_balanced(F.col("product"), F.col("substrate")) & F.col("sequence").isNotNull())
+    rows = rows.where(C.complete(F.col("sequence"), F.col("substrate"), F.col("fragment"))).withColumn("kingdom", C.kingdom(F.col("kingdom_raw")))
+    products = L.nonnull_counts(rows, ["id", "substrate"], "product").withColumnRenamed("n", "_products")
+    rows = rows.join(products, ["id", "substrate"]).withColumn("product_is_major", C.major_product(F.col("_products"), F.col("product_is_major_raw")))
+    out = rows.select("id", "sequence", "type", L.precursor_rewrite(F.col("type"), F.col("substrate")).alias("substrate"), "product", "kingdom", "product_is_major")
     if negatives is None:
         return out
     clean = negatives.where(C.standard_residues(F.col("sequence"))).join(out.select("id").distinct(), "id", "left_anti")

@@ -53,12 +53,13 @@ def alpha_carbons(atoms: DataFrame) -> DataFrame:
 
 
 # Files that hold templates, not candidates.
-TEMPLATE_FILES = ("1ps1", "5eat", "3p5r", "1ps1_template")
+TEMPLATE_FILES = ("1ps1", "5eat", "3p5r", "P48449")
 
 
 def needed_files(listing: DataFrame, needed: DataFrame, with_structure: DataFrame) -> DataFrame:
     """(file, clean): files with secondary structure whose stem, or stem without brackets and dashes, is a needed id."""
-    files = listing.where(~F.col("file").isin(*TEMPLATE_FILES)).join(with_structure.select("file").distinct(), "file", "left_semi")
+    domains = F.regexp_replace("file", "_object$", "").isin("alpha", "beta", "gamma", "delta", "epsilon")
+    files = listing.where(~F.col("file").isin(*TEMPLATE_FILES) & ~domains).join(with_structure.select("file").distinct(), "file", "left_semi")
     files = files.withColumn("clean", F.regexp_replace("file", r"[()\-]", ""))
     ids = needed.select("id").distinct()
     by_name = files.join(ids, files["file"] == ids["id"], "left_semi")

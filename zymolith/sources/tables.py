@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import BLACKLIST_COMMENTS
+
 # Columns of the reaction table and their names here.
 REACTION_COLUMNS = {
     "Uniprot ID": "id",
@@ -48,15 +50,11 @@ def read_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path), schema)
 
 
-# Parts of a cell comment that put its row on the blacklist.
-BLACKLIST_COMMENTS = ("wrong", "incorrect", "not active", "inactive", "no activity", "doubt", "remove")
-
-
 def commented_blacklist(comments: DataFrame, id_col: str = "id", text: str = "comment", parts: Sequence[str] = BLACKLIST_COMMENTS) -> DataFrame:
     """Distinct ids whose comment has one of ``parts``."""
     hit = F.lit(False)
     for p in parts:
-        hit = hit | F.lower(text).contains(p)
+        hit = hit | F.coalesce(F.col(text).contains(p), F.lit(False))
     return comments.where(hit).select(id_col).distinct()
 
 
