@@ -18,8 +18,12 @@ into buckets; buckets with the same members count once.  A bucket is searched
 breadth-first: a node is compared with the nodes that no link has reached yet,
 so copies of one text cost one comparison each and links are emitted as a
 spanning forest, never as all pairs.  A bucket of more than BLOCK_SHINGLES is cut
-into blocks, and each pair of blocks is searched by a task of its own, so every
-pair that meets in a bucket is covered without one task holding the bucket.
+into blocks.  Each block is searched by itself and with the bucket's hub, which
+joins the blocks' main parts; then the nodes outside the bucket's main component
+are compared with the whole bucket, block by block.  Of two nodes that meet in a
+bucket either both are in its main component or one has been compared with the
+other, so no link between components is lost, no task holds a bucket, and a
+group of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -40,9 +44,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1 << 18
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 #: A process is followed until a register stays empty with probability exp(-_SLACK) a text.
 _SLACK = 7.0
+#: Points that are drawn at once.
+_CELLS = 1 << 18
 
 
 def multisets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +91,8 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
                 # arrivals first .. first + run - 1 of each process that goes on
                 h = salted(seed[:, None], 0) + np.arange(first, first + run, dtype=U64)
                 gap = -np.log1p(-((salted(h, 1) >> U64(11)).astype(float) + 0.5) / 2.0**53) / (registers * width)
-                when = t[:, None] + np.cumsum(gap, 1)
+                # summed one by one, so the times do not depend on how many are drawn at once
+                when = np.cumsum(np.concatenate([t[:, None], gap], 1), 1)[:, 1:]
                 row, col = np.nonzero(when <= limit[doc[at], None])
                 g = salted(h[row, col], 2)
                 if width > 1:
@@ -96,7 +103,7 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
                 np.minimum.at(flat, doc[at[row]] * registers + reg.astype(np.int64), when[row, col])
                 on = when[:, -1] <= limit[doc[at]]
                 at, seed, t = at[on], seed[on], when[on, -1]
-                first, run = first + run, min(run * 4, 64)
+                first, run = first + run, max(1, min(run * 4, 64, _CELLS // max(len(at), 1)))
         todo &= np.isinf(out).any(1)
         slack *= 2
     return out
@@ -174,42 +181,96 @@ def spanning_links(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: i
     return links
 
 
+def cross_links(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, query: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of the multisets marked ``query`` to those of other components, one for each component that is met."""
+    names, term = np.unique(shingle, return_inverse=True)
+    weight, first = np.bincount(doc, count, n), np.searchsorted(doc, np.arange(n + 1))
+    label = np.unique(component, return_inverse=True)[1]
+    seen, links = np.zeros(len(names), np.int64), []
+    for q in np.flatnonzero(query):
+        a, b = first[q], first[q + 1]
+        seen[term[a:b]] = count[a:b]
+        common = np.bincount(doc, np.minimum(count, seen[term]), n)
+        seen[term[a:b]] = 0
+        met = np.flatnonzero((label != label[q]) & (common > 0) & (common >= similarity * (weight + weight[q] - common) - 1e-9))
+        for x in met.tolist():
+            if label[x] != label[q]:
+                links.append((int(q), x))
+                label[label == label[x]] = label[q]
+    return links
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text), one row a node, of the documents with the given ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in blocks(batch.column(0), _BLOCK):
+                texts = batch.column(0).slice(a, b - a)
+                node = _nodes(*multisets(words_of(texts)), b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), texts], ["node", "text"])
+
+    wanted = ids.select(F.col("id").alias("__zy_id")).distinct()
+    own = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
+    own = own.join(small_side(wanted, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("__zy_id")), "left_semi")
+    return own.select("text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _groups(rows: DataFrame, texts: DataFrame, keys: list[str], search) -> DataFrame:
+    """Links (u, v) that ``search(doc, shingle, count, n, rows)`` finds in each group of ``rows`` (keys, node, ...)."""
+    more = [c for c in rows.columns if c not in (*keys, "node")]
+    both = rows.join(texts, "node").select(*keys, "node", *more, "text")
+
+    def call(group: pa.Table) -> pa.Table:
+        node = group["node"].to_numpy()
+        if more:  # of a node that asks and is asked, the row that asks
+            group = group.take(np.argsort(~group["query"].to_numpy(zero_copy_only=False), kind="stable"))
+            node = group["node"].to_numpy()
+        picked = np.sort(np.unique(node, return_index=True)[1])
+        group, node = group.take(picked), node[picked]
+        doc, shingle, count = multisets(words_of(group["text"].combine_chunks()))
+        links = search(doc, shingle, count, len(node), {c: group[c].to_numpy(zero_copy_only=False) for c in more})
+        u, v = (np.array(links, np.int64).T if links else np.zeros((2, 0), np.int64))
+        return pa.table({"u": node[u], "v": node[v]})
+
+    return both.groupBy(*keys).applyInArrow(call, "u long, v long")
+
+
 def near_links(sigs: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, block_shingles: int) -> DataFrame:
-    """Verified links (u, v) between nodes: a spanning forest of each bucket's links."""
+    """Verified links (u, v) between nodes that leave the same components as all links between nodes of one bucket."""
     nodes = sigs.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     rows = nodes.select("node", "id", "size", F.explode("keys").alias("key"))
     prints = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in (1, 2)]
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), *prints).where("n > 1")
-    buckets = buckets.groupBy("n", "p1", "p2").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("hub"), *prints).where("n > 1")
+    buckets = buckets.groupBy("n", "p1", "p2").agg(F.min("key").alias("key"), F.max("total").alias("total"), F.min("hub").alias("hub"))
     cut = F.ceil(F.col("total") / F.lit(block_shingles)).cast("int").alias("cut")
-    buckets = written(buckets.select("key", cut), "buckets")
-    members = rows.join(buckets, "key")
-    block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
-    members = members.select("key", "node", "id", block.alias("block"), other)
-    members = written(members.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "id"), "members")
-    ids = members.select(F.col("id").alias("__zy_id")).distinct()
-    text = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
-    text = text.join(small_side(ids, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("__zy_id")), "left_semi")
-    text = text.withColumnRenamed("id", "__zy_id")
-    both = members.join(text, F.col("id").eqNullSafe(F.col("__zy_id"))).select("key", "a", "b", "node", "text")
-
-    def search(group: pa.Table) -> pa.Table:
-        node = group["node"].to_numpy().view(U64)
-        doc, shingle, count = multisets(words_of(group["text"].combine_chunks()))
-        # rows that share an id but not a text have come along: they are not this node
-        right = _nodes(doc, shingle, count, len(node)) == node
-        seen = np.unique(node, return_index=True)[1] if right.all() else np.array([np.flatnonzero(right & (node == x))[0] for x in np.unique(node[right])], np.int64)
-        place = np.full(len(node), -1)
-        place[np.sort(seen)] = np.arange(len(seen))
-        mine = place[doc] >= 0
-        links = spanning_links(place[doc[mine]], shingle[mine], count[mine], len(seen), similarity)
-        own = node[np.sort(seen)].view(np.int64)
-        u, v = (np.array(links, np.int64).T if links else np.zeros((2, 0), np.int64))
-        return pa.table({"u": own[u], "v": own[v]})
-
-    return both.groupBy("key", "a", "b").applyInArrow(search, "u long, v long")
+    buckets = written(buckets.select("key", "hub", cut), "buckets")
+    block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int").alias("block")
+    members = written(rows.join(buckets, "key").select("key", "node", "id", "size", "hub", "cut", block), "members")
+    text = _texts(docs, members, id_col, text_col)
+
+    # each block by itself, and the bucket's hub with every block
+    alone = members.select("key", "block", "node")
+    hubs = members.where("cut > 1 and node = hub").select("key", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("block"), "node")
+    links = written(_groups(alone.unionByName(hubs), text, ["key", "block"], lambda d, s, c, n, _: spanning_links(d, s, c, n, similarity)), "links")
+    large = members.where("cut > 1")
+    if large.isEmpty():
+        return links
+
+    # nodes of a large bucket outside its main component against the whole bucket
+    label = components(links)
+    large = written(large.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "large")
+    main = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rest = large.join(main, "key").where(F.col("component") != F.col("main"))
+    parts = rest.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    part = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("parts")).cast("int").alias("part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = large.join(parts, "key").select("key", "block", every("parts").alias("part"), "node", "component", F.lit(False).alias("query"))
+    asked = rest.join(parts, "key").select("key", every("cut").alias("block"), part, "node", "component", F.lit(True).alias("query"))
+    more = _groups(base.unionByName(asked), text, ["key", "block", "part"], lambda d, s, c, n, x: cross_links(d, s, c, n, x["query"], x["component"], similarity))
+    return links.unionByName(written(more, "links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
