@@ -116,6 +116,28 @@ def test_shuffled_path_repeated_rows_and_null_ids(spark, monkeypatch):
     assert [r.doc_id for r in N.drop_near_copies(frame(spark, [(1, "x"), (2, "x"), (5, "y")])).orderBy("doc_id").collect()] == [1, 5]
 
 
+def test_one_id_for_many_texts(spark):
+    """A third of all rows share an id, with texts that are near copies of others: nothing multiplies, no link is lost."""
+    rows = families(random.Random(9), n=4, copies=9)
+    shared = [(None if k % 3 == 0 else i, t) for k, (i, t) in enumerate(rows)]
+    want = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    sizes = {k: len(c) for c in want for k in c}
+    got = N.near_duplicates(frame(spark, shared), block_shingles=300).collect()
+    assert sorted(r.class_size for r in got) == sorted(sizes.values())
+
+
+def test_large_buckets_lose_no_link(spark):
+    """A chain: each text is linked to its neighbours only, all in common buckets, cut into many blocks."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        for _ in range(1):
+            words[rnd.randrange(100)] = f"x{i}"
+    assert classes(N.near_duplicates(frame(spark, rows), block_shingles=400)) == brute_classes(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (7, 7)]
     random.Random(1).shuffle(edges)
