@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that this process has written to.
+_PATHS: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -17,14 +23,26 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="zymolith-")
+        folder = tempfile.mkdtemp(prefix="zymolith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{scratch_dir(spark)}/zymolith-{name}-{os.getpid()}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{scratch_dir(spark)}/zymolith-{name}-{os.getpid()}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder; results that still read it must be written first."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_PATHS)
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
