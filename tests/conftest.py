@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from zymolith.functions.scratch import clear_scratch
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -15,6 +17,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
