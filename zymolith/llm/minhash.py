@@ -42,7 +42,7 @@ from .text import U64, Words, blocks, gram_hashes, pair, salted, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 100_000
 BROADCAST_ROWS = 1 << 18
 _BLOCK = 1 << 20
 #: A process is followed until a register stays empty with probability exp(-_SLACK) a text.
