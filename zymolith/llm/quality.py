@@ -23,7 +23,7 @@ from .shared import empty_text, small_side, written
 from .text import blocks, string_bytes, words_of
 
 #: At most so many labelled rows are learnt from.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: A score from here on predicts quality.
 THRESHOLD = 0.5
 BINS = 12

@@ -25,7 +25,7 @@ from .text import blocks
 BITS = 18
 RANK = 4
 #: At most so many labelled rows are learnt from.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: A score from here on predicts toxicity.
 THRESHOLD = 0.7
 _BLOCK = 1 << 20
