@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from zymolith.llm import components as C
 from zymolith.llm import minhash as N
 from zymolith.llm.components import components
 from zymolith.llm.text import words_of
@@ -138,7 +139,9 @@ def test_large_buckets_lose_no_link(spark):
     assert classes(N.near_duplicates(frame(spark, rows), block_shingles=400)) == brute_classes(rows)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components_of_a_long_path(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (7, 7)]
     random.Random(1).shuffle(edges)
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
