@@ -245,7 +245,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, similarity: float, id_col: str,
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("hub"), *prints).where("n > 1")
     buckets = buckets.groupBy("n", "p1", "p2").agg(F.min("key").alias("key"), F.max("total").alias("total"), F.min("hub").alias("hub"))
     cut = F.ceil(F.col("total") / F.lit(block_shingles)).cast("int").alias("cut")
-    buckets = written(buckets.select("key", "hub", cut), "buckets")
+    buckets = buckets.select("key", "hub", cut)
     block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int").alias("block")
     members = written(rows.join(buckets, "key").select("key", "node", "id", "size", "hub", "cut", block), "members")
     text = _texts(docs, members, id_col, text_col)
@@ -264,7 +264,6 @@ def near_links(sigs: DataFrame, docs: DataFrame, similarity: float, id_col: str,
     main = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rest = large.join(main, "key").where(F.col("component") != F.col("main"))
     parts = rest.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("parts"))
-    parts = written(parts, "parts")
     part = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("parts")).cast("int").alias("part")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = large.join(parts, "key").select("key", "block", every("parts").alias("part"), "node", "component", F.lit(False).alias("query"))
@@ -290,9 +289,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     label = written(components(links), "components")
     per_node = sigs.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     per_node = per_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per_node = written(per_node, "labels")
     classes = per_node.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    named = written(per_node.select("node", "component").join(classes, "component").drop("component"), "classes")
+    named = per_node.select("node", "component").join(classes, "component").drop("component")
     out = sigs.select("id", "node").join(named, "node")
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
