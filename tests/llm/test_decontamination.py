@@ -127,3 +127,22 @@ def find_all_are_close(got, flat, items):
 def test_texts_are_split_like_the_brute_force():
     w = D._words(pa.array(["Ab,c D9 é_x", None, "..."]))
     assert np.diff(w.first).tolist() == [5, 0, 0]
+
+
+def recall_of(words, docs):
+    """Share of documents, each with the item under as many random edits as are allowed, in which the item is found."""
+    rnd = random.Random(words)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    item = [word() for _ in range(words)]
+    index = D.build_index([0], [" ".join(item)])
+    texts = []
+    for _ in range(docs):
+        text = [word() for _ in range(40)]
+        text[20:20] = edited(rnd, item, words // 5)
+        texts.append(" ".join(text))
+    return len({d for d, *_ in D.find_items(index, pa.array(texts))}) / docs
+
+
+def test_recall_of_long_items_with_all_allowed_edits():
+    assert recall_of(250, 40) >= 0.95
+    assert recall_of(400, 40) >= 0.95

@@ -12,9 +12,9 @@ and digits).  A text holds an item if some run of its words is within
    sequences few edits apart soon walk in step again, so their edit distance
    becomes a Hamming distance.
 3. Bit-sampling LSH.  Each table has its own walk and compares a few sampled
-   steps; a window meets the items of its size that agree in some table.  The
-   number of tables follows from the target recall and the agreement measured
-   on items with as many random edits as are allowed.
+   steps; a window meets the items of its size that agree in some table.  Each
+   size has its own number of tables: as many as items of that size with as many
+   random edits as are allowed need to meet themselves at the target recall.
 4. Items met are verified by exact edit distance with free ends in the text.
 
 The items are broadcast in blocks of at most ITEM_BYTES of text each; a larger
@@ -44,7 +44,11 @@ ITEM_BYTES = 16 << 20
 #: Items of fewer words are held only by texts that consist of them.
 LEAST_WORDS = 5
 SAMPLED = 3
-MOST_TABLES = 64
+#: Items with random edits on which the tables of a size are counted.
+PAIRS = 256
+#: Tables that are walked at once, and cells of their walks.
+_TABLES = 64
+_CELLS = 1 << 23
 _BLOCK = 1 << 20
 _GATE = 20
 
@@ -53,8 +57,8 @@ def _words(texts: pa.Array):
     return words_of(pc.utf8_lower(texts.cast(pa.large_string())), NOT_ALNUM)
 
 
-def cgk(words: np.ndarray, sizes: np.ndarray, tables: int, steps: int) -> np.ndarray:
-    """Embeddings (tables, rows, steps): ``tables`` independent walks over each row of ``words``.
+def cgk(words: np.ndarray, sizes: np.ndarray, tables: int, steps: int, skip: int = 0) -> np.ndarray:
+    """Embeddings (tables, rows, steps): ``tables`` independent walks, from number ``skip`` on, over each row of ``words``.
 
     A row's words past its size are 0, and its walks end there.
     """
@@ -66,32 +70,54 @@ def cgk(words: np.ndarray, sizes: np.ndarray, tables: int, steps: int) -> np.nda
     for j in range(steps):
         x = padded[rows, at]
         out[:, :, j] = x
-        salt = np.array([(t * 4096 + j + 1) * golden % 2**64 for t in range(tables)], U64)[:, None]
+        salt = np.array([(t * 4096 + j + 1) * golden % 2**64 for t in range(skip, skip + tables)], U64)[:, None]
         at = np.minimum(at + (mix(x + salt) >> U64(63)).astype(np.int64), sizes)
     return out
 
 
 @lru_cache(4096)
-def _sampled(size: int) -> np.ndarray:
-    """The steps that each table compares, (MOST_TABLES, SAMPLED), in order."""
-    rng = np.random.default_rng(size)
-    return np.sort(rng.integers(0, 2 * size, (MOST_TABLES, SAMPLED)), 1)
+def _sampled(size: int, part: int) -> np.ndarray:
+    """The steps that each table of the ``part``-th _TABLES compares, (_TABLES, SAMPLED), in order."""
+    rng = np.random.default_rng((size, part))
+    return np.sort(rng.integers(0, 2 * size, (_TABLES, SAMPLED)), 1)
 
 
-def table_keys(words: np.ndarray, sizes: np.ndarray, tables: int) -> np.ndarray:
-    """Bit-sampling keys (rows, tables), a bounded number of rows at a time."""
+def table_keys(words: np.ndarray, sizes: np.ndarray, tables: int, skip: int = 0) -> np.ndarray:
+    """Bit-sampling keys (rows, tables) of the tables from number ``skip`` on, a bounded number of walks at a time."""
     out = np.empty((len(words), tables), U64)
-    for a in range(0, len(words), 512):
-        part, size = words[a : a + 512], sizes[a : a + 512]
-        at = np.stack([_sampled(int(k))[:tables] for k in size], 1)
-        x = np.take_along_axis(cgk(part, size, tables, int(at.max()) + 1), at, 2)
-        h = x[:, :, 0]
-        for k in range(1, SAMPLED):
-            h = pair(h, x[:, :, k])
-        out[a : a + 512] = h.T
+    rows = max(1, min(512, _CELLS // (_TABLES * 2 * max(1, int(sizes.max(initial=1))))))
+    for a in range(0, len(words), rows):
+        part, size = words[a : a + rows], sizes[a : a + rows]
+        t = skip
+        while t < skip + tables:
+            block, inner = divmod(t, _TABLES)
+            to = min(skip + tables, (block + 1) * _TABLES)
+            at = np.stack([_sampled(int(k), block)[inner : inner + to - t] for k in size], 1)
+            x = np.take_along_axis(cgk(part, size, to - t, int(at.max()) + 1, t), at, 2)
+            h = x[:, :, 0]
+            for k in range(1, SAMPLED):
+                h = pair(h, x[:, :, k])
+            out[a : a + rows, t - skip : to - skip] = h.T
+            t = to
     return out
 
 
+def tables_needed(items: np.ndarray, windows: np.ndarray, pair_of: np.ndarray, recall: float) -> int:
+    """Tables in which all pairs have a row where ``items`` and ``windows`` meet, but for half of the share that may be missed.
+
+    Only pairs that have not met yet walk on, so long items cost little more.
+    """
+    size, tables = items.shape[1], 0
+    least = math.floor(len(np.unique(pair_of)) * (1 - recall) / 2)
+    while len(np.unique(pair_of)) > least:
+        more = max(8, tables // 2)
+        sizes = np.full(len(items), size)
+        met = (table_keys(items, sizes, more, tables) == table_keys(windows, sizes, more, tables)).any(1)
+        left = ~np.isin(pair_of, pair_of[met])
+        items, windows, pair_of, tables = items[left], windows[left], pair_of[left], tables + more
+    return tables
+
+
 def edit_distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Least word edits between each row of ``items`` and a run of the same row of ``texts`` (0 matches nothing)."""
     n, size = items.shape
@@ -113,23 +139,27 @@ class ItemIndex:
     ids: list
     words: list[np.ndarray]
     edits: list[int]
-    tables: int = 0
+    tables: dict[int, int] = field(default_factory=dict)
     pieces: dict[int, tuple] = field(default_factory=dict)
     lsh: list[dict[tuple[int, int], list[int]]] = field(default_factory=list)
     whole: dict[bytes, list[int]] = field(default_factory=dict)
 
 
-def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
+def _spoilt(rng: np.random.Generator, words: np.ndarray, edits: int) -> list:
     out = list(words)
     for _ in range(edits):
-        k, what = int(rng.integers(len(out) + 1)), int(rng.integers(3))
+        k, what = int(rng.integers(len(out))), int(rng.integers(3))
         if what == 0:
             out.insert(k, U64(rng.integers(1, 2**63)))
-        elif k < len(out) and what == 1 and len(out) > 1:
+        elif what == 1 and len(out) > 1:
             del out[k]
-        elif k < len(out):
+        else:
             out[k] = U64(rng.integers(1, 2**63))
-    return np.array((out + [U64(0)] * len(words))[: len(words)], U64)
+    return out
+
+
+def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
+    return np.array((_spoilt(rng, words, edits) + [U64(0)] * len(words))[: len(words)], U64)
 
 
 def build_index(ids: list, texts: list[str], edit_share: float = EDIT_SHARE, recall: float = TARGET_RECALL) -> ItemIndex:
@@ -159,29 +189,22 @@ def build_index(ids: list, texts: list[str], edit_share: float = EDIT_SHARE, rec
         index.pieces[q] = (gate, names, np.cumsum([0, *map(len, entries)]), flat[:, 0], flat[:, 1])
     if not by_size:
         return index
-    # agreement of items with as many random edits as are allowed
-    tries, spoilt, sizes = [], [], []
-    width = max(by_size)
     for size, members in by_size.items():
         rng = np.random.default_rng(size)
-        for k in range(16):
-            x = words[members[k % len(members)]]
-            tries.append(np.pad(x, (0, width - size)))
-            spoilt.append(np.pad(_edited(rng, x, index.edits[members[0]]), (0, width - size)))
-            sizes.append(size)
-    sizes = np.array(sizes)
-    met = table_keys(np.stack(tries), sizes, MOST_TABLES) == table_keys(np.stack(spoilt), sizes, MOST_TABLES)
-    index.tables = 1
-    for size in by_size:
-        chance = max(0.02, float(met[sizes == size].mean()))
-        if chance < 1:
-            index.tables = max(index.tables, min(MOST_TABLES, math.ceil(math.log(1 - recall) / math.log(1 - chance))))
-    every = [i for members in by_size.values() for i in members]
-    keys = table_keys(np.stack([np.pad(words[i], (0, width - len(words[i]))) for i in every]), np.array([len(words[i]) for i in every]), index.tables)
-    index.lsh = [{} for _ in range(index.tables)]
-    for row, i in zip(keys.tolist(), every, strict=True):
-        for t, key in enumerate(row):
-            index.lsh[t].setdefault((len(words[i]), key), []).append(i)
+        tries = [words[members[k % len(members)]] for k in range(PAIRS)]
+        more = index.edits[members[0]]
+        around = lambda: rng.integers(1, 2**63, more).tolist()
+        texts = [np.array([*around(), *_spoilt(rng, x, more), *around()], U64) for x in tries]
+        ends = np.cumsum([0, *map(len, texts)])
+        text = np.concatenate(texts)
+        at, start, own = _windows(index, text, ends)
+        at, start = at[own == size], start[own == size]
+        index.tables[size] = tables_needed(np.stack(tries)[at], _laid(text, start, ends[at + 1], size), at, recall)
+        keys = table_keys(np.stack([words[i] for i in members]), np.full(len(members), size), index.tables[size])
+        index.lsh += [{} for _ in range(index.tables[size] - len(index.lsh))]
+        for row, i in zip(keys.tolist(), members, strict=True):
+            for t, key in enumerate(row):
+                index.lsh[t].setdefault((size, key), []).append(i)
     return index
 
 
@@ -231,10 +254,13 @@ def find_items(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, i
     width = int(size.max())
     laid = _laid(words, start, np.minimum(first[doc + 1], start + size), width)
     met = set()
-    for k, row in enumerate(table_keys(laid, size, index.tables).tolist()):
-        own = int(size[k])
-        for t, key in enumerate(row):
-            met.update((k, i) for i in index.lsh[t].get((own, key), ()))
+    tables = np.array([index.tables[k] for k in size.tolist()])
+    for n in np.unique(tables).tolist():
+        same = np.flatnonzero(tables == n)
+        own = size[same]
+        for k, length, row in zip(same.tolist(), own.tolist(), table_keys(laid[same, : own.max()], own, n).tolist(), strict=True):
+            for t, key in enumerate(row):
+                met.update((k, i) for i in index.lsh[t].get((length, key), ()))
     if not met:
         return [(d, i, 0, 0) for d, i in sorted(best)]
     ks, items = np.array(sorted(met)).T
