@@ -117,6 +117,19 @@ def test_shuffled_path_repeated_rows_and_null_ids(spark, monkeypatch):
     assert [r.doc_id for r in N.drop_near_copies(frame(spark, [(1, "x"), (2, "x"), (5, "y")])).orderBy("doc_id").collect()] == [1, 5]
 
 
+def test_stage_keeps_one_row_of_each_class_for_any_ids(spark):
+    rows = families(random.Random(12), n=5, copies=6)
+    near = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    for ids in (lambda k: None, lambda k: k % 3, lambda k: None if k % 3 == 0 else k, lambda k: k):
+        table = spark.createDataFrame([(ids(k), t, k) for k, (_, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
+        kept = N.drop_near_copies(table)
+        assert kept.columns == ["doc_id", "text", "k"]
+        assert sorted(sum(r.k in c for r in kept.collect()) for c in near) == [1] * len(near)
+    # id 5 is a copy in one class and the kept row of another
+    table = frame(spark, [(1, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (9, "g h i j k l"), (5, "alone here")])
+    assert sorted(tuple(r)[:2] for r in N.drop_near_copies(table).select("doc_id", "text").collect()) == [(1, "a b c d e f"), (5, "alone here"), (5, "g h i j k l")]
+
+
 def test_one_id_for_many_texts(spark):
     """A third of all rows share an id, with texts that are near copies of others: nothing multiplies, no link is lost."""
     rows = families(random.Random(9), n=4, copies=9)

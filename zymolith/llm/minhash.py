@@ -129,8 +129,12 @@ def _nodes(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> n
     return pair(total, mixed)
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, keys) for each row; ``keys`` is empty for texts without words."""
+def _print(text_col: str):
+    return F.xxhash64(empty_text(text_col))
+
+
+def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str, prints: bool = False) -> DataFrame:
+    """(id, node, size, keys) for each row, and ``print``, a hash of the text, if asked for; ``keys`` is empty for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,11 +146,12 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: st
                 each = np.where(size > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(keys[size > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(_nodes(doc, shingle, count, n).view(np.int64)), pa.array(size), lists], ["id", "node", "size", "keys"]
+                    [batch.column(0).slice(a, n), pa.array(_nodes(doc, shingle, count, n).view(np.int64)), pa.array(size), lists, *(c.slice(a, n) for c in batch.columns[2:])], ["id", "node", "size", "keys", *more]
                 )
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
-    return own.mapInArrow(run, "id long, node long, size long, keys array<long>")
+    more = ["print"] * prints
+    own = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"), *(_print(text_col).alias(c) for c in more))
+    return own.mapInArrow(run, ", ".join(["id long, node long, size long, keys array<long>", *(f"{c} long" for c in more)]))
 
 
 def spanning_links(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, similarity: float) -> list[tuple[int, int]]:
@@ -295,8 +300,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each class."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **more).where(~F.col("kept")).select(F.col("doc_id").alias("__zy_gone")).distinct()
-    gone = written(gone, "near-copies")
-    return docs.join(small_side(gone, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__zy_gone")), "left_anti")
+def _kept_rows(docs: DataFrame, similarity: float, bands: int, rows: int, id_col: str, text_col: str, block_shingles: int) -> DataFrame:
+    """(id, print, n, kept): the rows of each id and text, and whether one of them is what its class keeps."""
+    sigs = written(signatures(docs, bands, rows, id_col, text_col, True), "signatures")
+    label = written(components(near_links(sigs, docs, similarity, id_col, text_col, block_shingles)), "components")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "print")
+    per_node = sigs.groupBy("node").agg(F.min(row).alias("first")).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = per_node.groupBy("component").agg(F.min("first").alias("first"))
+    named = per_node.select("node", "component").join(first, "component").drop("component")
+    out = sigs.select("id", "print", "node").join(named, "node")
+    kept = row.eqNullSafe(F.col("first")).alias("kept")
+    return out.select("id", "print", kept).groupBy("id", "print", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one row of each class.
+
+    The row is told by its id and text, so null or repeated ids neither take other
+    texts along nor keep a second row; of equal rows one is kept.
+    """
+    decided = written(_kept_rows(docs, similarity, bands, rows, id_col, text_col, block_shingles), "near-copies")
+    own = docs.withColumns({"__zy_own": F.col(id_col).cast("long"), "__zy_own_print": _print(text_col)})
+    same = F.col("__zy_own").eqNullSafe(F.col("__zy_id")) & (F.col("__zy_own_print") == F.col("__zy_print"))
+    named = lambda rows: rows.select(F.col("id").alias("__zy_id"), F.col("print").alias("__zy_print"))
+    twice = named(decided.where("kept and n > 1"))
+    gone = named(decided.where("not kept or n > 1"))
+    out = own.join(small_side(gone, BROADCAST_ROWS), same, "left_anti")
+    if not twice.isEmpty():
+        again = own.join(small_side(twice, BROADCAST_ROWS), same, "left_semi")
+        out = out.unionByName(again.dropDuplicates(["__zy_own", "__zy_own_print"]))
+    return out.select(*docs.columns)
