@@ -149,6 +149,20 @@ def test_group_folds_keep_groups_whole(spark):
     assert folds == {r["group"]: r.fold for r in D.group_kfold(D.group_counts(df), 5, 20).collect()}
 
 
+def test_group_kfold_balances_many_groups(spark, monkeypatch):
+    """Beyond the limit: five large groups that one hash would put together, a class of five groups, many small ones."""
+    monkeypatch.setattr(D, "MAX_GROUPS", 400)
+    hashed = spark.range(3000).selectExpr("concat('g', id) AS g", "pmod(xxhash64(concat('g', id)), 5) AS h").collect()
+    together = [r.g for r in hashed if r.h == 0]
+    rows = [(g, "common", 1000) for g in together[:5]] + [(g, "rare", 1) for g in together[5:10]]
+    rows += [(r.g, "ab"[k % 2], 1 + k % 3) for k, r in enumerate(hashed) if r.g not in together[:10]]
+    place = {r["group"]: r.fold for r in D.group_kfold(spark.createDataFrame(rows, "group string, label string, n long"), 5, 10).collect()}
+    assert set(place) == {g for g, *_ in rows}
+    for label in ("common", "rare", "a", "b"):
+        sums = [sum(n for g, k, n in rows if k == label and place[g] == f) for f in range(5)]
+        assert max(sums) <= 1.1 * sum(sums) / 5, (label, sums)
+
+
 def test_pairs_cover_the_triangle(spark):
     items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(23)], "id int, v array<double>")
     got = sorted((r.i, r.j) for r in P.triangle(items, "v", blocks=4).collect())

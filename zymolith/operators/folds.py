@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,16 +67,43 @@ def _assign(groups: list[tuple[str, dict]], folds: int, seed: int) -> tuple[floa
 def group_kfold(counts: DataFrame, folds: int = 5, seeds: int = 100, group: str = "group", label: str = "label") -> DataFrame:
     """(group, fold): of ``seeds`` greedy assignments the one with the least mean Jensen-Shannon distance to the whole.
 
-    Works on the (group, label, n) summary, which is broadcast once its size is
-    checked; seeds run in parallel.  More groups than MAX_GROUPS need no search:
-    there each group's hash is as balanced as a search.
+    Works on the (group, label, n) summary, which is broadcast; seeds run in
+    parallel.  Where it has more rows than MAX_GROUPS, groups that hold a small
+    share of each of their labels are bundled by hash, and the same search places
+    the bundles and the other groups: what is broadcast grows with the labels then,
+    not with the groups.
     """
     spark = counts.sparkSession
     if counts.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        return counts.select(group).distinct().withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+        return _bundled_kfold(counts, folds, seeds, group, label)
+    best = _search(spark, counts.select(group, label, "n").collect(), folds, seeds)
+    return spark.createDataFrame(list(best.items()), f"{group} {dict(counts.dtypes)[group]}, fold int")
+
+
+def _bundled_kfold(counts: DataFrame, folds: int, seeds: int, group: str, label: str) -> DataFrame:
+    spark = counts.sparkSession
+    own = counts.select(F.col(group).alias("_g"), F.col(label).alias("_l"), "n")
+    totals = own.groupBy(F.col("_l").alias("_of")).agg(F.sum("n").alias("_total"))
+    # a label has at most so many groups that hold 1 / parts of it, and so many bundles
+    parts = max(20 * folds, MAX_GROUPS // (2 * totals.count()))
+    large = own.join(totals, F.col("_l").eqNullSafe(F.col("_of"))).where(F.col("n") * parts >= F.col("_total"))
+    large = large.select(F.col("_g").alias("_large")).distinct()
+    bundle = F.when(F.col("_large").isNotNull(), -1).otherwise(F.pmod(F.xxhash64("_g"), F.lit(parts))).cast("long")
+    own = own.join(large, F.col("_g") == F.col("_large"), "left").withColumn("_bundle", bundle)
+    rows = own.groupBy("_bundle", "_large", "_l").agg(F.sum("n").alias("n")).collect()
+    best = _search(spark, [((r["_bundle"], r["_large"]), r["_l"], r["n"]) for r in rows], folds, seeds)
+    kind = dict(counts.dtypes)[group]
+    placed = spark.createDataFrame([(b, g, f) for (b, g), f in best.items()], f"_b long, _own {kind}, fold int")
+    same = (F.col("_bundle") == F.col("_b")) & F.col("_large").eqNullSafe(F.col("_own"))
+    groups = own.select(F.col("_g"), "_bundle", "_large").distinct()
+    return groups.join(F.broadcast(placed), same).select(F.col("_g").alias(group), "fold")
+
+
+def _search(spark: SparkSession, rows: list, folds: int, seeds: int) -> dict:
+    """The fold of each group of the (group, label, n) rows."""
     table: dict = {}
-    for r in counts.collect():
-        table.setdefault(r[group], {})[r[label]] = r["n"]
+    for g, k, n in rows:
+        table.setdefault(g, {})[k] = n
     groups = sorted(table.items())
     sent = spark.sparkContext.broadcast(groups)
 
@@ -85,11 +112,10 @@ def group_kfold(counts: DataFrame, folds: int = 5, seeds: int = 100, group: str
             yield pd.DataFrame([(int(s), _assign(sent.value, folds, int(s))[0]) for s in b["id"]], columns=["seed", "js"])
 
     best = spark.range(0, seeds, 1, min(seeds, 32)).mapInPandas(trial, "seed long, js double").orderBy("js", "seed").first()["seed"]
-    place = _assign(groups, folds, best)[1]
-    return spark.createDataFrame([(g, f) for g, f in place.items()], f"{group} {dict(counts.dtypes)[group]}, fold int")
+    return _assign(groups, folds, best)[1]
 
 
-#: Rows of the (group, label) summary up to which assignments are searched.
+#: Rows of the (group, label) summary up to which each group is placed by itself.
 MAX_GROUPS = 200_000
 
 
