@@ -50,6 +50,16 @@ def test_mentions():
     }
 
 
+def test_names_beside_any_punctuation():
+    """Texts whose names stand only beside marks outside ASCII, or beside none at all."""
+    texts = ["Anna’s letter", "“Anna Smith”", "«Иван Петров»", "wait—Peter Jones", "von\u00a0Maria\u00a0da", "…Olga, Ольга…", "Paul、Hans", "„Klaus‟", "éAnna Иванка Peterß John_ 3Paul", "Annaé", "_Мария", "Carmen\u200b"]
+    texts += [f"{a}{n}{b}" for n in ("Anna", "Иван") for a in " ’“«—\u00a0éя_a1" for b in " ’”»–\u2003üж_b2"]
+    want = {d: [m[0] for m in P._FULL.finditer(t) if m.lastgroup == "name"] for d, t in enumerate(texts)}
+    want = {d: m for d, m in want.items() if m}
+    got = {d: [t for k, _, _, t in m if k == "name"] for d, m in P.mentions(pa.array(texts))}
+    assert got == want and {0, 1, 2, 3, 4, 5, 6, 7} <= set(got)
+
+
 def test_texts_are_replaced_whole_and_alike(spark):
     mail = "jane.roe@example.org"
     rows = [(1, f"write {mail} now"), (2, f"x {mail.upper()} " + "w " * 60_000 + mail), (3, None), (None, mail), (5, "nothing"), (5, "nothing")]

@@ -23,12 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packs import map_packs, packed, unpacked
 from .shared import written
-from .text import NOT_ALNUM, hash_ranges, words_of
+from .text import string_bytes
 
 # Given names by (gender, script).
 NAMES = {
@@ -151,19 +152,17 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     return f"{new} {_letters(key, tweak, family)}" if family else new
 
 
-_GIVEN = np.unique(hash_ranges(*(lambda b: (np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])[:-1], np.cumsum([len(x) for x in b])))([n.encode() for n in _GROUP])))
+#: Whether a text may hold a name: RE2's word ends are those of ASCII, so wherever the rule's stand, these do; other scripts go without.
+_MAY_NAME = "|".join(rf"\b{n}\b" if n.isascii() else n for n in sorted(_GROUP, key=len, reverse=True))
 
 
 def mentions(texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, str]]]]:
     """(row, [(kind, start, end, text)]) of the texts that mention an entity."""
-    w = words_of(texts, NOT_ALNUM)
-    owner = w.owner()
-    digits = np.concatenate([[0], np.cumsum((w.data >= 48) & (w.data < 58), dtype=np.int64)])
-    at = np.concatenate([[0], np.cumsum(w.data == 0x40, dtype=np.int64)])
-    plain = (digits[w.doc[1:]] - digits[w.doc[:-1]] >= 4) | (at[w.doc[1:]] > at[w.doc[:-1]])
-    named = np.zeros(w.n_docs, bool)
-    slot = np.minimum(np.searchsorted(_GIVEN, w.hash), len(_GIVEN) - 1)
-    named[owner[_GIVEN[slot] == w.hash]] = True
+    data, doc = string_bytes(texts)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58), dtype=np.int64)])
+    at = np.concatenate([[0], np.cumsum(data == 0x40, dtype=np.int64)])
+    plain = (digits[doc[1:]] - digits[doc[:-1]] >= 4) | (at[doc[1:]] > at[doc[:-1]])
+    named = pc.fill_null(pc.match_substring_regex(texts, _MAY_NAME), False).to_numpy(zero_copy_only=False)
     for d in np.flatnonzero(plain | named).tolist():
         found = [(m.lastgroup, m.start(), m.end(), m[0]) for m in (_FULL if named[d] else _PLAIN).finditer(texts[d].as_py())]
         if found:
