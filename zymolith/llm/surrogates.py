@@ -11,7 +11,10 @@ over the digits or letters of a run, walked in cycles where a property must be
 kept), so one entity has one surrogate in every document and two entities never
 share one.  What a permutation cannot rule out is that a surrogate is another
 entity of the corpus.  That is checked over all entities: such a surrogate is
-drawn again under another tweak until it is neither an entity nor taken.
+drawn again under another tweak until it is neither an entity nor taken.  Where
+a format has too few values for that, as a given name alone has once half of its
+group's names are entities, all of its entities share one permutation that leaves
+none as it is: surrogates are distinct, but may be other entities of that format.
 """
 
 from __future__ import annotations
@@ -169,10 +172,52 @@ def mentions(texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, s
             yield d, found
 
 
-def entity_attempts(entities: DataFrame, key: bytes) -> DataFrame:
+def shape(kind: str, norm: str) -> str:
+    """The format of an entity: all permutations map the entities of one format onto that format."""
+    if kind == "ip":
+        return ""
+    given, _, rest = norm.partition(" ") if kind == "name" else ("", "", norm)
+    group = " ".join(_GROUP[given]) + " " if given else ""
+    return group + "".join(c if k is None else f"<{k}{'^' * (c != low)}>" for c in rest for low in [c.lower()] for k in [_ALPHABET.get(low)])
+
+
+def _crowded_names(entities: DataFrame) -> list[str]:
+    """The given names that stand alone and whose group has no name left for each of them: a list no longer than NAMES."""
+    alone = [r["norm"] for r in entities.where((F.col("kind") == "name") & ~F.col("norm").contains(" ")).select("norm").distinct().collect()]
+    groups = [_GROUP[n] for n in alone]
+    return [n for n, g in zip(alone, groups, strict=True) if 2 * groups.count(g) > len(NAMES[g])]
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [shape(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.string())], [*batch.schema.names, "shape"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "shape string"]))
+
+
+def _common_attempts(rows: DataFrame, key: bytes) -> DataFrame:
+    """(kind, norm, attempt): for all entities of a format the first permutation, of 64, that gives none of them itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, shapes, norms = (batch.column(c).to_pylist() for c in ("kind", "shape", "norm"))
+            own = [[t for t in range(64) if normal(k, surrogate(k, n, key, t)) == n] for k, n in zip(kinds, norms, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(shapes), pa.array(own, pa.list_(pa.int32()))], ["kind", "shape", "own"])
+
+    own = rows.mapInArrow(run, "kind string, shape string, own array<int>").select("kind", "shape", F.explode_outer("own").alias("own"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(63)), F.collect_set("own")))
+    chosen = own.groupBy("kind", "shape").agg(F.coalesce(free, F.lit(0)).alias("attempt"))
+    return rows.join(chosen, ["kind", "shape"]).where("attempt > 0").select("kind", "norm", "attempt")
+
+
+def entity_attempts(entities: DataFrame, key: bytes, most: int = 30) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate would be an entity or another's surrogate.
 
-    ``entities``: distinct (kind, norm, surrogate).
+    ``entities``: distinct (kind, norm, surrogate).  Formats without enough free
+    values, and those in which ``most`` attempts leave an entity without one, have one
+    attempt in common, the first unless it gives an entity itself.
     """
     spark = entities.sparkSession
 
@@ -186,7 +231,8 @@ def entity_attempts(entities: DataFrame, key: bytes) -> DataFrame:
         return run
 
     real = entities.select("kind", F.col("norm").alias("surrogate"))
-    settled, pending, out = None, entities, None
+    crowded = _crowded_names(entities)
+    settled, pending, out = None, entities.where(~((F.col("kind") == "name") & F.col("norm").isin(crowded))) if crowded else entities, None
     attempt = 0
     while True:
         taken = real if settled is None else real.unionByName(settled)
@@ -202,8 +248,11 @@ def entity_attempts(entities: DataFrame, key: bytes) -> DataFrame:
         if pending.isEmpty():
             break
         attempt += 1
-        if attempt > 30:
-            raise ValueError("no free surrogates: a format has fewer values than the corpus has entities of it")
+        if attempt > most:
+            stuck = _shaped(pending).select("kind", "shape").distinct()
+            common = _common_attempts(_shaped(entities.select("kind", "norm")).join(stuck, ["kind", "shape"]), key)
+            out = common if out is None else _shaped(out).join(stuck, ["kind", "shape"], "left_anti").select("kind", "norm", "attempt").unionByName(common)
+            break
         pending = written(pending.mapInArrow(again(attempt), "kind string, norm string, surrogate string"), f"pending-{attempt}")
     return spark.createDataFrame([], "kind string, norm string, attempt int") if out is None else out
 
