@@ -12,9 +12,18 @@ def brute(texts, least=L.LEAST_DOCUMENTS, depth=L.DEPTH, share=L.FIXED_SHARE):
     def tokens(line):
         for c in space:
             line = line.replace(c, " ")
-        return tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.split(" ") if w)
+        raw = tuple(w for w in line.split(" ") if w)
+        fixed = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in raw)
+        return fixed if len(raw) - fixed.count("<*>") >= share * len(raw) else raw
 
-    lines = {(d, k): t for d, text in enumerate(texts) for k, s in enumerate((text or "").split("\n")) if len(t := tokens(s)) >= depth}
+    every = {(d, k): tokens(s) for d, text in enumerate(texts) for k, s in enumerate((text or "").split("\n"))}
+    # word for word: short lines, and lines of too many fields for a template
+    exact = defaultdict(set)
+    for (d, _), t in every.items():
+        if any(any(c in "0123456789" for c in w) for w in t if w != "<*>") or len(t) <= depth:
+            exact[t].add(d)
+    twice = {t for t, docs in exact.items() if t and len(docs) >= least}
+    lines = {k: t for k, t in every.items() if len(t) > depth and t not in exact}
     leaf = defaultdict(set)
     for (d, _), t in lines.items():
         leaf[len(t), t[:depth]].add(d)
@@ -32,14 +41,14 @@ def brute(texts, least=L.LEAST_DOCUMENTS, depth=L.DEPTH, share=L.FIXED_SHARE):
     out = []
     for d, text in enumerate(texts):
         all_lines = text.split("\n") if text else []
-        keep = [s for k, s in enumerate(all_lines) if len(whole.get(template.get((d, k)), ())) < least]
+        keep = [s for k, s in enumerate(all_lines) if len(whole.get(template.get((d, k)), ())) < least and every[d, k] not in twice]
         out.append((len(all_lines), len(all_lines) - len(keep), "\n".join(keep)))
     return out
 
 
 def some_texts(seed=1, n=80):
     rnd = random.Random(seed)
-    forms = ["User {} logged in from {} ok", "Licensed under the Apache License, Version 2.0.", "Posted by {} on {}", "All rights reserved {}", "tiny {}", "a b c", "Read more about {} here now"]
+    forms = ["User {} logged in from {} ok", "Licensed under the Apache License, Version 2.0.", "Posted by {} on {}", "All rights reserved {}", "tiny {}", "a b c", "Les.", "Log in", "{} 17:20 0:1 x", "2024-01-02 3 4", "Read more about {} here now"]
     texts = [None, "", "\n", "\n\nx", "no newline"]
     for _ in range(n):
         lines = [" ".join(f"w{'abcdefgh'[rnd.randrange(8)]}" for _ in range(rnd.randrange(12))) for _ in range(rnd.randrange(6))]
@@ -72,4 +81,6 @@ def test_long_lines_null_ids_and_empty_tables(spark):
     long = "start of line " + "word " * 50_000
     docs = spark.createDataFrame([(None, long), (1, long), (1, long), (2, long), (3, "short")], "doc_id long, text string")
     assert sorted(r.n_dropped for r in L.drop_template_lines(docs).collect()) == [0, 1, 1, 1, 1]
+    short = spark.createDataFrame([(k, f"Share\n\n1 2 3\n{k} {k} {k} x") for k in range(5)], "doc_id long, text string")
+    assert {r.kept_text for r in L.drop_template_lines(short).collect()} == {f"\n{k} {k} {k} x" for k in range(5)}
     assert L.drop_template_lines(docs.limit(0)).count() == 0

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,18 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {0: [], 1: ["login", "pass"], 2: [], 3: [], 4: ["endpoint", "assign"], 5: [], 6: ["access", "pass"]}
 
 
+def test_long_runs_cost_their_length(spark):
+    """A megabyte of letters, of spaces and of signs: no rule looks at a run again and again."""
+    n = 1_000_000
+    texts = ["x://y " + "q" * n, "token" + " " * n, "z" * n + "://host token=abcdefghijklmnop", "user" + "." * n + "=", "AKIA" * (n // 4), "0123456789abcde " * (n // 16)]
+    spans_of(spark, ["warm up"])
+    began = time.perf_counter()
+    got = spans_of(spark, texts)
+    assert time.perf_counter() - began < 20
+    assert got[2].spans == f"endpoint:{n - 31}:{n + 7},assign:{n + 8}:{n + 30}"
+    assert [got[k].spans for k in (0, 1, 3, 5)] == [""] * 4 and got[4].n_access == 1
+
+
 def test_rows_are_their_own(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghijklm"), (1, "token=abcdefghijklm"), (None, "x")], "doc_id long, text string")
     assert sorted(len(r.found) for r in S.find_secrets(docs).collect()) == [0, 1, 1]

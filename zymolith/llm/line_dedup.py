@@ -14,13 +14,14 @@ pack of documents, one key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .packs import COUNT_SCHEMA, document_counts, in_many_documents, map_packs, packed, with_found
+from .packs import COUNT_SCHEMA, document_counts, in_many_documents, map_packs, packed, proven, some_packs, with_found
 from .shared import written
 from .text import U64, pair, salted, words_of
 
@@ -35,8 +36,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
-def _lines(texts: pa.Array):
-    """(tokens, first token of each line, document of each line, place of each line in its document)."""
+def _lines(texts: pa.Array, fixed_share: float):
+    """(tokens, first token of each line, whether it has too many fields for a template, document of each line, place of each line in its document)."""
     w = words_of(texts)
     breaks = np.flatnonzero(w.data == 0x0A)
     starts = np.union1d(w.doc[:-1], breaks + 1) if w.n_docs else np.zeros(0, np.int64)
@@ -45,64 +46,79 @@ def _lines(texts: pa.Array):
     # a line break that ends a document starts no line of the next one: that line starts there anyway
     place = np.searchsorted(breaks, starts, "left") - np.searchsorted(breaks, w.doc[doc], "left")
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
-    tokens = np.where(digits[w.end] > digits[w.start], _FIELD, w.hash)
+    field = digits[w.end] > digits[w.start]
     first = np.append(np.searchsorted(w.start, starts), len(w.start))
-    return tokens, first, doc, place
+    n = np.diff(first)
+    fields = np.concatenate([[0], np.cumsum(field)])
+    heavy = n - (fields[first[1:]] - fields[first[:-1]]) < fixed_share * n
+    tokens = np.where(field & ~np.repeat(heavy, n), _FIELD, w.hash[first[0] : first[-1]]) if len(starts) else w.hash
+    return tokens, first, heavy, doc, place
 
 
-def _leaves(tokens: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lines with at least ``depth`` tokens, their leaf keys)."""
+def _leaves(tokens: np.ndarray, first: np.ndarray, heavy: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines with tokens, their leaf keys)."""
     n = np.diff(first)
-    long = np.flatnonzero(n >= depth)
-    key = salted(n[long].astype(U64), 41)
+    lines = np.flatnonzero(n > 0)
+    key = salted(n[lines].astype(U64), 41)
     for k in range(depth):
-        key = pair(key, tokens[first[long] + k])
-    return long, key
+        longer = n[lines] > k
+        key[longer] = pair(key[longer], tokens[first[lines[longer]] + k])
+    alone = np.flatnonzero(heavy[lines])
+    row, place, at = _rows(lines[alone], first)
+    whole = np.zeros(len(alone), U64)
+    np.add.at(whole, row, salted(pair(tokens[at], place.astype(U64)), 43))
+    key[alone] = pair(key[alone], whole)
+    return lines, key
 
 
-def _rows(long: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(lines: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of the given lines: (row among them, position in the line, index of the token)."""
-    n = first[long + 1] - first[long]
-    row = np.repeat(np.arange(len(long)), n)
+    n = first[lines + 1] - first[lines]
+    row = np.repeat(np.arange(len(lines)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return row, place, np.repeat(first[long], n) + place
+    return row, place, np.repeat(first[lines], n) + place
 
 
 def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: int = DEPTH, fixed_share: float = FIXED_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text), one row per row of ``docs``.
 
     Lines are what line feeds separate; kept ones are joined by line feeds.
-    Lines of fewer than ``depth`` tokens are kept.  Null or empty text: no lines.
+    Lines without tokens are kept; lines of fewer than ``depth`` tokens, and lines
+    whose share of tokens without digits is below ``fixed_share``, go where ``least``
+    documents have them word for word.  Null or empty text: no lines.
     Null or repeated ids are carried as they are; every row counts as a document.
     Other columns are ignored; an empty table gives an empty result.
     """
     packs = packed(docs, "lines", id_col, text_col)
 
+    def often(table: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return in_many_documents(keys(table), proven(keys(some_packs(table)), F.col("n"), least), least)
+
     def leaves(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
-        tokens, first, doc, _ = _lines(rows.column(1))
-        long, key = _leaves(tokens, first, depth)
-        if len(long):
-            yield document_counts(pack, key, doc[long])[0]
+        tokens, first, heavy, doc, _ = _lines(rows.column(1), fixed_share)
+        lines, key = _leaves(tokens, first, heavy, depth)
+        if len(lines):
+            yield document_counts(pack, key, doc[lines])[0]
 
     def candidates(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         """The lines of recurrent leaves, without their texts."""
-        tokens, first, doc, place = _lines(rows.column(1))
-        long, key = _leaves(tokens, first, depth)
-        if not len(long) or found is None:
+        if found is None:
             return
+        tokens, first, heavy, doc, place = _lines(rows.column(1), fixed_share)
+        lines, key = _leaves(tokens, first, heavy, depth)
         names, slot = np.unique(key, return_inverse=True)
         live = np.zeros(len(names), bool)
         live[found.to_numpy(zero_copy_only=False)] = True
         live = live[slot]
-        long, key = long[live], key[live]
-        _, _, at = _rows(long, first)
-        n = np.concatenate([[0], np.cumsum(first[long + 1] - first[long])])
+        lines, key = lines[live], key[live]
+        _, _, at = _rows(lines, first)
+        n = np.concatenate([[0], np.cumsum(first[lines + 1] - first[lines])])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([pack]), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (doc[long], place[long], n)), *(pa.array([x.tobytes()], pa.binary()) for x in (key, tokens[at]))],
+            [pa.array([pack]), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (doc[lines], place[lines], n)), *(pa.array([x.tobytes()], pa.binary()) for x in (key, tokens[at]))],
             ["pack", "doc", "place", "first", "leaf", "tokens"],
         )
 
-    leaf = in_many_documents(map_packs(packs, leaves, COUNT_SCHEMA), least)
+    leaf = often(packs, lambda some: map_packs(some, leaves, COUNT_SCHEMA))
     lines = map_packs(with_found(packs, leaf), candidates, "pack long, doc binary, place binary, first binary, leaf binary, tokens binary")
     lines = written(lines, "lines")
 
@@ -159,9 +175,9 @@ def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: in
                     live = live[slot]
                     yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([(doc[live] << 32) | place[live]], pa.list_(pa.int64()))], ["pack", "found"])
 
-    tokens = in_many_documents(lines.mapInArrow(tokens_of, COUNT_SCHEMA), least).withColumnRenamed("found", "tokens_found")
+    tokens = often(lines, lambda some: some.mapInArrow(tokens_of, COUNT_SCHEMA)).withColumnRenamed("found", "tokens_found")
     lines = written(lines.join(tokens, "pack", "left"), "line-tokens")
-    whole = in_many_documents(lines.mapInArrow(templates, COUNT_SCHEMA), least).withColumnRenamed("found", "templates_found")
+    whole = often(lines, lambda some: some.mapInArrow(templates, COUNT_SCHEMA)).withColumnRenamed("found", "templates_found")
     gone = lines.join(whole, "pack", "left").mapInArrow(dropped, "pack long, found array<long>")
 
     def kept(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:

@@ -4,23 +4,29 @@ A pack holds about a megabyte of documents as one compressed row, so that a
 Python stage works on whole blocks and a shuffle moves one row a block.  Packs
 are written to the shared folder before anything refers to them by number.
 Within a pack a key is one row however often it occurs there, so a key that
-occurs in every document costs a row a pack, not a row an occurrence.
+occurs in every document costs a row a pack, not a row an occurrence.  Keys that
+a sample of packs proves frequent are not counted at all, so none of the groups
+that are counted holds a row of every pack.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .shared import empty_text, written
 from .text import blocks
 
 PACK_BYTES = 1 << 20
+#: Packs that are looked at for keys that very many packs have, and such keys that are kept apart.
+SAMPLE_PACKS = 1024
+PROVEN = 8192
 
 
 def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = PACK_BYTES) -> DataFrame:
@@ -59,28 +65,57 @@ def map_packs(packs: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], s
     return packs.mapInArrow(run, schema)
 
 
-def key_rows(pack: int, keys: np.ndarray, at: np.ndarray | None = None) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """One row a distinct key: (key, pack, at of its first occurrence, multi if it occurs again in the pack)."""
-    names, index, counts = np.unique(keys, return_index=True, return_counts=True)
+def key_rows(pack: int, keys: np.ndarray, at: np.ndarray | None = None, check: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row a distinct key: (key, pack, at of its first occurrence, multi if it occurs again in the pack).
+
+    With ``check`` a key is both hashes together, and ``check`` a last column.
+    """
+    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    if check is not None:
+        new[1:] |= check[order[1:]] != check[order[:-1]]
+    begin = np.flatnonzero(new)
+    index, counts = order[begin], np.diff(np.append(begin, len(keys)))
     where = index if at is None else at[index]
-    n = len(names)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(names.view(np.int64)), pa.array(np.full(n, pack, np.int64)), pa.array(where.astype(np.int32)), pa.array(counts > 1)],
-        ["key", "pack", "at", "multi"],
+    more = [] if check is None else [pa.array(check[index].view(np.int64))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[index].view(np.int64)), pa.array(np.full(len(index), pack, np.int64)), pa.array(where.astype(np.int32)), pa.array(counts > 1), *more],
+        ["key", "pack", "at", "multi", *["check"] * len(more)],
     )
-    return batch, names, counts
 
 
 KEY_SCHEMA = "key long, pack long, at int, multi boolean"
 
 
-def repeated_elsewhere(keys: DataFrame) -> DataFrame:
-    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too.
+def some_packs(packs: DataFrame) -> DataFrame:
+    """A sixteenth of a written table of packs, at most about SAMPLE_PACKS of them: what ``proven`` looks at."""
+    share = min(1 / 16, SAMPLE_PACKS / max(1, packs.count()))
+    return packs.where(F.pmod(F.xxhash64(F.lit(21), "pack"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+
+
+def proven(sample: DataFrame, weight: Column, least: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Keys of which a sample of packs alone shows the ``least`` that is asked for, the PROVEN heaviest."""
+    total = sample.groupBy(*keys).agg(F.sum(weight).alias("seen")).where(F.col("seen") >= least)
+    return total.orderBy(F.desc("seen"), *keys).limit(PROVEN).select(*keys, F.lit(True).alias("sure"))
 
-    A key has a row a pack at most, so no partition of the window is a hot one.
+
+def _spread(rows: DataFrame, sure: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Column, WindowSpec]:
+    """``rows`` with a window over each key; the rows of a proven key need no count and are dealt by pack.
+
+    A key that so many packs have that it would be a hot group is, but for a
+    vanishing chance, among the sample's heaviest.  If it is not, the result is
+    the same: sampling only decides which keys are counted.
     """
-    w = Window.partitionBy("key")
-    again = keys.withColumn("n", F.count(F.lit(1)).over(w)).where((F.col("n") > 1) & ~F.col("multi"))
+    rows = rows.join(F.broadcast(sure), list(keys), "left")
+    rows = rows.withColumn("deal", F.when(F.col("sure"), F.xxhash64("pack")).otherwise(F.lit(0)))
+    return rows, F.coalesce("sure", F.lit(False)), Window.partitionBy(*keys, "deal")
+
+
+def repeated_elsewhere(rows: DataFrame, sure: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too."""
+    rows, known, w = _spread(rows, sure, keys)
+    again = rows.withColumn("n", F.count(F.lit(1)).over(w)).where((known | (F.col("n") > 1)) & ~F.col("multi"))
     return again.groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
@@ -99,10 +134,10 @@ def document_counts(pack: int, keys: np.ndarray, doc: np.ndarray) -> tuple[pa.Re
 COUNT_SCHEMA = "key long, pack long, at int, n long"
 
 
-def in_many_documents(counts: DataFrame, least: int) -> DataFrame:
+def in_many_documents(counts: DataFrame, sure: DataFrame, least: int) -> DataFrame:
     """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have."""
-    total = F.sum("n").over(Window.partitionBy("key"))
-    return counts.withColumn("total", total).where(F.col("total") >= least).groupBy("pack").agg(F.collect_list("at").alias("found"))
+    rows, known, w = _spread(counts, sure, ("key",))
+    return rows.withColumn("total", F.sum("n").over(w)).where(known | (F.col("total") >= least)).groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
 def with_found(packs: DataFrame, found: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ _WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x0
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9@._-]{3,})"""
-_ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]*://[^\s"''<>]+"""
+_ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]{0,30}://[^\x20\x09-\x0D"''<>]+"""
 
 
 def _found(kind: str, pattern: str, group: int) -> str:
@@ -112,8 +112,10 @@ _SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
   FROM d LEFT JOIN kept USING (doc_id) GROUP BY doc_id"""
 
 _LINES = r"""WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text <> '')),
-  t AS (SELECT doc_id, k, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-  deep AS (SELECT doc_id, k, w, len(w) || ' ' || w[1] || ' ' || w[2] || ' ' || w[3] AS leaf FROM t WHERE len(w) >= 3),
+  r AS (SELECT doc_id, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM l),
+  h AS (SELECT *, len(list_filter(raw, lambda x: NOT regexp_matches(x, '[0-9]'))) < 0.6 * len(raw) AS heavy FROM r WHERE len(raw) > 0),
+  t AS (SELECT doc_id, k, heavy, CASE WHEN heavy THEN raw ELSE list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) END AS w FROM h),
+  deep AS (SELECT doc_id, k, w, len(w) || ' ' || array_to_string(CASE WHEN heavy THEN w ELSE w[1:3] END, ' ') || CASE WHEN heavy THEN ' !' ELSE '' END AS leaf FROM t),
   c AS (SELECT * FROM deep WHERE leaf IN (SELECT leaf FROM deep GROUP BY leaf HAVING count(DISTINCT doc_id) >= 4)),
   tok AS (SELECT doc_id, k, leaf, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM c),
   often AS (SELECT leaf, p, x FROM tok WHERE p > 3 AND x <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 4),

@@ -22,7 +22,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # runs AKIA[A-Z0-9]+ of 18 characters or more
 HEX = r"[0-9a-f]{16,}"  # runs [0-9a-f]+ of 16 characters or more
 #: Patterns of weak candidates.
 LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
-ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]*://[^\s"'<>]+"""
+#: The scheme of an endpoint is bounded, so that a long run of letters costs its length, not its square.
+ENDPOINT = r"""[A-Za-z][A-Za-z0-9+]{0,30}://[^\x20\x09-\x0D"'<>]+"""
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "login", "pass", "endpoint")

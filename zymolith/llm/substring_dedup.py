@@ -15,8 +15,9 @@ core symbol occurs once in the whole corpus, the window occurs once, and it is
 ruled out; only windows whose core symbols all repeat (or whose core is empty)
 are compared as whole windows.  This loses no repeated window.
 
-Windows are compared by 64-bit hashes of their words: among n remaining windows
-about n*n/2**65 pairs of different ones are expected to agree.
+Windows are compared by two independent hashes of 64 bits each, made from two
+independent hashes of every word: among n remaining windows about n*n/2**129
+pairs of different ones are expected to agree, one in 10**10 corpora of 10**14 words.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .packs import KEY_SCHEMA, key_rows, map_packs, packed, repeated_elsewhere, with_found
-from .text import U64, Words, mix, pair, salted, words_of
+from .packs import KEY_SCHEMA, key_rows, map_packs, packed, proven, repeated_elsewhere, some_packs, with_found
+from .text import U64, Words, hash_ranges, mix, pair, salted, words_of
 
 WINDOW = 35
 ROUNDS = 6
+#: Seed of the second hash of words.
+_SECOND = 0x5DEECE66D
 
 
 def _window_starts(w: Words, window: int) -> np.ndarray:
@@ -62,6 +66,12 @@ def _window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray
     return out
 
 
+def _window_names(w: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window."""
+    other = hash_ranges(w.data, w.start, w.end, _SECOND)
+    return _window_hashes(w.hash, at, window), _window_hashes(other, at, window)
+
+
 def _parse(w: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, span in words, window starts, core begin, core end) at the last round."""
     n = len(w.hash)
@@ -136,22 +146,30 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         names, span, _, _, _ = _parse(words_of(rows.column(1)), window, rounds)
         inside = np.flatnonzero(span <= window)
         if len(inside):
-            yield key_rows(pack, names[inside], inside)[0]
+            yield key_rows(pack, names[inside], inside)
 
     def windows(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         w = words_of(rows.column(1))
         at = _possible(w, None if found is None else found.to_numpy(zero_copy_only=False), window, rounds)
         if len(at):
-            yield key_rows(pack, _window_hashes(w.hash, at, window), at)[0]
+            name, check = _window_names(w, at, window)
+            yield key_rows(pack, name, at, check)
+
+    def all_windows(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+        w = words_of(rows.column(1))
+        at = _window_starts(w, window)
+        if len(at):
+            name, check = _window_names(w, at, window)
+            yield key_rows(pack, name, at, check)
 
     def kept(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         w = words_of(rows.column(1))
         n = len(w.hash)
         at = _window_starts(w, window)
-        h = _window_hashes(w.hash, at, window)
-        order = np.argsort(h)
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[order][1:] == h[order][:-1]
+        name, check = _window_names(w, at, window)
+        order = np.lexsort((check, name))
+        same = np.zeros(len(at) + 1, bool)
+        same[1:-1] = (name[order[1:]] == name[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
         cover = np.zeros(n + 1, np.int64)
         twice = at[order[same[:-1] | same[1:]]]
         if found is not None:
@@ -165,8 +183,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             ["doc_id", "n_words", "n_removed", "kept_text"],
         )
 
-    names = repeated_elsewhere(map_packs(packs, symbols, KEY_SCHEMA))
-    again = repeated_elsewhere(map_packs(with_found(packs, names), windows, KEY_SCHEMA))
+    some, both, one = some_packs(packs), ("key", "check"), F.lit(1)
+    names = repeated_elsewhere(map_packs(packs, symbols, KEY_SCHEMA), proven(map_packs(some, symbols, KEY_SCHEMA), one, 2))
+    schema = f"{KEY_SCHEMA}, check long"
+    again = repeated_elsewhere(map_packs(with_found(packs, names), windows, schema), proven(map_packs(some, all_windows, schema), one, 2, both), both)
     return map_packs(with_found(packs, again), kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -87,9 +87,9 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, eight bytes a round over the ranges that are that long."""
-    out = mix((end - start).astype(U64) * _GOLD)
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes a round over the ranges that are that long; independent for each seed."""
+    out = mix((end - start).astype(U64) * _GOLD + U64(seed))
     if not len(start):
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
