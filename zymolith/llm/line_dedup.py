@@ -19,9 +19,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .packs import COUNT_SCHEMA, document_counts, in_many_documents, map_packs, packed, proven, some_packs, with_found
+from .packs import COUNT_SCHEMA, document_counts, in_many_documents, map_packs, packed, some_packs, with_found
 from .shared import written
 from .text import U64, pair, salted, words_of
 
@@ -92,7 +91,7 @@ def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: in
     packs = packed(docs, "lines", id_col, text_col)
 
     def often(table: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return in_many_documents(keys(table), proven(keys(some_packs(table)), F.col("n"), least), least)
+        return in_many_documents(keys(table), keys(some_packs(table)), least)
 
     def leaves(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         tokens, first, heavy, doc, _ = _lines(rows.column(1), fixed_share)

@@ -17,13 +17,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import empty_text, written
 from .text import blocks
 
 PACK_BYTES = 1 << 20
+LEVEL = 6
 #: Packs that are looked at for keys that very many packs have, and such keys that are kept apart.
 SAMPLE_PACKS = 1024
 PROVEN = 8192
@@ -33,7 +34,7 @@ def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
     """A written table (pack, blob): ids and whole texts of ``docs``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for a, b in blocks(batch.column(1), most_bytes):
                 sink = pa.BufferOutputStream()
@@ -65,27 +66,33 @@ def map_packs(packs: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], s
     return packs.mapInArrow(run, schema)
 
 
-def key_rows(pack: int, keys: np.ndarray, at: np.ndarray | None = None, check: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row a distinct key: (key, pack, at of its first occurrence, multi if it occurs again in the pack).
+def in_order(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, whether each in that order equals the one before it); with ``check`` a key is both."""
+    order, same = np.argsort(keys), np.zeros(len(keys), bool)
+    same[1:] = keys[order[1:]] == keys[order[:-1]]
+    if check is not None and (check[order[1:]][same[1:]] != check[order[:-1]][same[1:]]).any():
+        order = np.lexsort((check, keys))
+        same[1:] = (keys[order[1:]] == keys[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    return order, same
 
-    With ``check`` a key is both hashes together, and ``check`` a last column.
+
+def key_rows(pack: int, keys: np.ndarray, at: np.ndarray, check: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row a distinct key: (key, check, pack, at of one of its occurrences, times: 1, or 2 if it occurs again in the pack).
+
+    ``check``: 32 more bits of the key, if given.
     """
-    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    if check is not None:
-        new[1:] |= check[order[1:]] != check[order[:-1]]
-    begin = np.flatnonzero(new)
+    order, same = in_order(keys, check)
+    begin = np.flatnonzero(~same)
     index, counts = order[begin], np.diff(np.append(begin, len(keys)))
-    where = index if at is None else at[index]
-    more = [] if check is None else [pa.array(check[index].view(np.int64))]
+    extra = np.zeros(len(index), np.int32) if check is None else check[index].view(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys[index].view(np.int64)), pa.array(np.full(len(index), pack, np.int64)), pa.array(where.astype(np.int32)), pa.array(counts > 1), *more],
-        ["key", "pack", "at", "multi", *["check"] * len(more)],
+        [pa.array(keys[index].view(np.int64)), pa.array(extra), pa.array(np.full(len(index), pack, np.int64)), pa.array(at[index].astype(np.int32)), pa.array(np.minimum(counts, 2).astype(np.int32))],
+        ["key", "check", "pack", "at", "times"],
     )
 
 
-KEY_SCHEMA = "key long, pack long, at int, multi boolean"
+KEY_SCHEMA = "key long, check int, pack long, at int, times int"
+_KEY = ("key", "check")
 
 
 def some_packs(packs: DataFrame) -> DataFrame:
@@ -94,28 +101,25 @@ def some_packs(packs: DataFrame) -> DataFrame:
     return packs.where(F.pmod(F.xxhash64(F.lit(21), "pack"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
 
 
-def proven(sample: DataFrame, weight: Column, least: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+def proven(sample: DataFrame, weight: Column, least: int, keys: tuple[str, ...]) -> DataFrame:
     """Keys of which a sample of packs alone shows the ``least`` that is asked for, the PROVEN heaviest."""
     total = sample.groupBy(*keys).agg(F.sum(weight).alias("seen")).where(F.col("seen") >= least)
     return total.orderBy(F.desc("seen"), *keys).limit(PROVEN).select(*keys, F.lit(True).alias("sure"))
 
 
-def _spread(rows: DataFrame, sure: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Column, WindowSpec]:
-    """``rows`` with a window over each key; the rows of a proven key need no count and are dealt by pack.
+def repeated_elsewhere(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too.
 
-    A key that so many packs have that it would be a hot group is, but for a
-    vanishing chance, among the sample's heaviest.  If it is not, the result is
-    the same: sampling only decides which keys are counted.
+    The rows of keys that the sample proves repeated need no count and are dealt
+    by pack.  A key that so many packs have that it would be a hot group is, but
+    for a vanishing chance, among the sample's heaviest; if it is not, the result
+    is the same.  ``times`` is 4 or more for such rows, which saves a column.
     """
-    rows = rows.join(F.broadcast(sure), list(keys), "left")
-    rows = rows.withColumn("deal", F.when(F.col("sure"), F.xxhash64("pack")).otherwise(F.lit(0)))
-    return rows, F.coalesce("sure", F.lit(False)), Window.partitionBy(*keys, "deal")
-
-
-def repeated_elsewhere(rows: DataFrame, sure: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
-    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too."""
-    rows, known, w = _spread(rows, sure, keys)
-    again = rows.withColumn("n", F.count(F.lit(1)).over(w)).where((known | (F.col("n") > 1)) & ~F.col("multi"))
+    rows = rows.join(F.broadcast(proven(sample, F.lit(1), 2, _KEY)), list(_KEY), "left")
+    rows = rows.select("key", F.when(F.col("sure"), F.hash("pack")).otherwise(F.col("check")).alias("check"), "pack", "at", F.when(F.col("sure"), F.col("times") + 3).otherwise(F.col("times")).alias("times"))
+    again = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*_KEY)))
+    # of a proven key, what else meets a dealt row by chance does not matter: each is counted by its own state
+    again = again.where((F.col("times") == 4) | ((F.col("times") == 1) & (F.col("n") > 1)))
     return again.groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
@@ -134,10 +138,12 @@ def document_counts(pack: int, keys: np.ndarray, doc: np.ndarray) -> tuple[pa.Re
 COUNT_SCHEMA = "key long, pack long, at int, n long"
 
 
-def in_many_documents(counts: DataFrame, sure: DataFrame, least: int) -> DataFrame:
-    """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have."""
-    rows, known, w = _spread(counts, sure, ("key",))
-    return rows.withColumn("total", F.sum("n").over(w)).where(known | (F.col("total") >= least)).groupBy("pack").agg(F.collect_list("at").alias("found"))
+def in_many_documents(counts: DataFrame, sample: DataFrame, least: int) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have; ``sample`` as above."""
+    rows = counts.join(F.broadcast(proven(sample, F.col("n"), least, ("key",))), "key", "left")
+    rows = rows.select("key", F.when(F.col("sure"), F.hash("pack")).otherwise(F.lit(0)).alias("deal"), "pack", "at", F.when(F.col("sure"), F.lit(least)).otherwise(F.col("n")).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("key", "deal"))
+    return rows.withColumn("total", total).where(F.col("total") >= least).groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
 def with_found(packs: DataFrame, found: DataFrame) -> DataFrame:
