@@ -18,11 +18,14 @@ _PATHS: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder is made
-    and set for the session.
+    Only where that is unset, in a local session as in tests, a folder is made
+    and set for the session; a cluster without the setting is refused, because its
+    executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="zymolith-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = "file://" + folder

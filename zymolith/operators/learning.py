@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.running import ordinals
 from .relations import left_impute_zero
 
 
@@ -22,9 +23,7 @@ def train_features(similarities: DataFrame, owners: DataFrame, train_ids: DataFr
     Columns of other owners would leak test rows into the features.
     """
     mine = owners.join(train_ids.select(F.col(id_col).alias("owner")).distinct(), "owner", "left_semi").select("feature").distinct()
-    from pyspark.sql import Window
-
-    places = mine.withColumn("position", F.row_number().over(Window.orderBy("feature")) - 1)
+    places = ordinals(mine, ["feature"], "position").withColumn("position", F.col("position").cast("int"))
     return similarities.join(places, "feature").select(id_col, "position", "value")
 
 

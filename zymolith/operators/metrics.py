@@ -17,10 +17,18 @@ from ..functions.running import at_least_one, running_sums
 NAN = float("nan")
 
 
+def points_of(preds: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
+    """(keys, threshold, n, pos): rows and positives at each distinct score."""
+    return preds.groupBy(*keys, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+
+
 def counts_curve(preds: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """(keys, threshold, n, pos, pp, tp, P, T): counts at each distinct score, running and in total."""
+    return curve_of(points_of(preds, keys, score, label), keys)
+
+
+def curve_of(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    points = preds.groupBy(*keys, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("n").alias("T"))
     return running_sums(points, keys, "threshold", {"pp": "n", "tp": "pos"}).join(totals, keys)
 
@@ -33,10 +41,10 @@ def eligible(preds: DataFrame, keys: Sequence[str], least: int = 3, label: str =
 
 def require_both_classes(preds: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """``preds``, or an error when read if a group has no positive or no negative."""
-    w = Window.partitionBy(*keys)
-    p, n = F.max(F.col(label).cast("int")).over(w), F.min(F.col(label).cast("int")).over(w)
-    ok = F.when(p == 0, F.raise_error(F.lit("no positive samples"))).when(n == 1, F.raise_error(F.lit("no negative samples"))).otherwise(F.lit(True))
-    return preds.withColumn("_ok", ok.cast("boolean")).where("_ok").drop("_ok")
+    groups = preds.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.col(label).cast("int")).alias("_p"), F.min(F.col(label).cast("int")).alias("_q"))
+    ok = F.when(F.col("_p") == 0, F.raise_error(F.lit("no positive samples"))).when(F.col("_q") == 1, F.raise_error(F.lit("no negative samples"))).otherwise(F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return preds.join(groups.withColumn("_ok", ok.cast("boolean")).where("_ok"), same, "left_semi")
 
 
 def mcc_f1_curve(preds: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", unit: bool = True) -> DataFrame:
@@ -130,6 +138,7 @@ def with_shared_negatives(preds: DataFrame, category: str = "category", unknown:
     """Rows of category ``unknown`` are added to every other category; adds ``name`` = category_|_class.
 
     The categories present are few; each unknown row is exploded over their list.
+    Give it the points of many predictions (``points_of``), not the predictions.
     """
     known = preds.where(F.col(category) != unknown)
     listed = known.agg(F.array_sort(F.collect_set(category)).alias("_all"))
@@ -141,8 +150,25 @@ def with_shared_negatives(preds: DataFrame, category: str = "category", unknown:
 
 def scores_by_group(preds: DataFrame, keys: Sequence[str], least: int = 3, bins: int = 100) -> DataFrame:
     """(keys, ap, auc, mccf1) of the groups with enough positives: the flagship plan, one curve for all metrics."""
+    return scores_of(points_of(preds, keys), keys, least, bins)
+
+
+def scores_by_category(preds: DataFrame, keys: Sequence[str], least: int = 3, bins: int = 100, category: str = "category", unknown: str = "Unknown", class_col: str = "class") -> DataFrame:
+    """(name, keys, ap, auc, mccf1) for each name = category_|_class, with the rows of category ``unknown`` in every other one.
+
+    Predictions are counted by score before the unknown ones are added, so a
+    category costs the distinct scores of unknown rows, not the rows.
+    """
+    points = with_shared_negatives(points_of(preds, [category, class_col, *keys]), category, unknown, class_col)
+    points = points.groupBy("name", *keys, "threshold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return scores_of(points, ["name", *keys], least, bins)
+
+
+def scores_of(points: DataFrame, keys: Sequence[str], least: int = 3, bins: int = 100) -> DataFrame:
+    """The same for counted predictions, one row a threshold."""
     keys = list(keys)
-    counts = counts_curve(eligible(preds, keys, least), keys)
+    groups = points.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("n").alias("t")).where((F.col("p") >= least) & (F.col("p") < F.col("t")))
+    counts = curve_of(points.join(groups.select(*keys), keys, "left_semi"), keys)
     p, t, pp, tp = (F.col(x).cast("double") for x in ("P", "T", "pp", "tp"))
     mcc = ((t - p) * tp - p * (pp - tp)) / at_least_one(F.sqrt(p * (t - p) * pp * (t - pp)))
     curve = counts.select(*keys, "threshold", ((mcc + 1) / 2).alias("mcc"), (2 * tp / (pp + p)).alias("f1"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import ordinals
 
 # --- first and last rows -------------------------------------------------------------------
 
@@ -141,17 +142,31 @@ def hashed(*columns: str, seed: int = 0) -> Column:
 
 
 def uniform_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, by a keyed hash of the id: the same rows in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *id_cols), *id_cols).limit(n)
+    """``n`` rows without replacement, by a keyed hash of the id: the same rows in every run.
+
+    The rows with the least hashes.  A histogram of 2**16 cells of the hash says up
+    to which cell all rows are taken; only that cell is cut by order.
+    """
+    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *id_cols)).withColumn("_cell", F.shiftright("_h", 48))
+    left, last = n, None
+    for r in sorted(keyed.groupBy("_cell").count().collect()):
+        if r["count"] > left:
+            last = r["_cell"]
+            break
+        left -= r["count"]
+    if last is None:
+        return df
+    rest = keyed.where(F.col("_cell") == last).orderBy("_h", *id_cols).limit(left)
+    return keyed.where(F.col("_cell") < last).unionByName(rest).drop("_h", "_cell")
 
 
 def downsample_negatives(df: DataFrame, positive: Column, share: float, id_col: str, order: Column) -> DataFrame:
-    """All positives and so many negatives that these make up at most ``share``: int(pos / (1 - share) - pos)."""
+    """All positives and so many negatives, the first by ``order``, that these make up at most ``share``: int(pos / (1 - share) - pos)."""
     flagged = df.withColumn("_pos", positive)
     n = flagged.where("_pos").select(id_col).distinct().count()
     most = int(n / (1 - share) - n)
-    chosen = flagged.where("not _pos").orderBy(order, id_col).limit(most)
-    return flagged.where("_pos").unionByName(chosen).drop("_pos")
+    ranked = ordinals(flagged.where("not _pos").withColumn("_order", order), ["_order", id_col], "_at")
+    return flagged.where("_pos").unionByName(ranked.where(F.col("_at") < most).drop("_order", "_at")).drop("_pos")
 
 
 def carry_forward_sample(df: DataFrame, ordinal: str, blacklisted: str, selected: str) -> DataFrame:

@@ -107,16 +107,21 @@ def alignment_positions(df: DataFrame, key: str, original: str, aligned: str, ga
 def two_nearest_mean(known: DataFrame, wanted: DataFrame, keys: Sequence[str], at: str = "at", value: str = "value") -> DataFrame:
     """(keys, at, value): mean of the two nearest known values in one dimension, halves to even; ties: the lower place.
 
-    The two nearest are among two known places on either side, which a sweep in
-    order carries along.
+    The two nearest are among two known places on either side.  A known place knows
+    the one before and the one after it, and a sweep in each direction carries the
+    last one seen along, so memory does not grow with the group.
     """
     keys = list(keys)
-    rows = known.select(*keys, at, value).withColumn("_want", F.lit(0)).unionByName(wanted.select(*keys, at).withColumn(value, F.lit(None).cast("double")).withColumn("_want", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(at, "_want")
-    pair = F.when(F.col("_want") == 0, F.struct(F.col(at).alias("p"), F.col(value).cast("double").alias("v")))
-    left = F.slice(F.reverse(F.collect_list(pair).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))), 1, 2)
-    right = F.slice(F.collect_list(pair).over(w.rowsBetween(1, Window.unboundedFollowing)), 1, 2)
-    near = F.array_sort(F.transform(F.concat(left, right), lambda x: F.struct(F.abs(x["p"] - F.col(at)).alias("d"), x["p"].alias("p"), x["v"].alias("v"))))
-    two = F.slice(near, 1, 2)
+    own = F.struct(F.col(at).alias("p"), F.col(value).cast("double").alias("v"))
+    beside = Window.partitionBy(*keys).orderBy(at, value)
+    rows = known.select(*keys, at, F.array(own, F.lag(own).over(beside)).alias("_low"), F.array(own, F.lead(own).over(beside)).alias("_high"), F.lit(0).alias("_want"))
+    rows = rows.unionByName(wanted.select(*keys, at, F.lit(1).alias("_want")), allowMissingColumns=True)
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy(*keys).orderBy(at, "_want").rowsBetween(*frame)
+    down = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_want")).rowsBetween(*frame)
+    none = F.array().cast("array<struct<p:double,v:double>>")
+    near = F.concat(*[F.coalesce(F.transform(F.last(c, ignorenulls=True).over(w), lambda x: F.when(x.isNotNull(), F.struct(x["p"].cast("double").alias("p"), x["v"].alias("v")))), none) for c, w in (("_low", up), ("_high", down))])
+    near = F.transform(F.filter(near, lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x["p"] - F.col(at)).alias("d"), x["p"].alias("p"), x["v"].alias("v")))
+    two = F.slice(F.array_sort(near), 1, 2)
     mean = F.try_divide(F.aggregate(two, F.lit(0.0), lambda s, x: s + x["v"]), F.size(two))
     return rows.withColumn("_m", F.bround(mean, 0)).where("_want = 1").select(*keys, at, F.col("_m").alias(value))

@@ -193,9 +193,11 @@ def template_score(a: np.ndarray, b: np.ndarray, length: int | None = None, roun
     return best
 
 
-def pair_scores(points: DataFrame, blocks: int = 16) -> DataFrame:
+def pair_scores(points: DataFrame, blocks: int | None = None, within: str | None = None) -> DataFrame:
     """(i, j, score) for each pair of (id, points array<array<double>>), aligned by place; failures are -infinity.
 
+    With ``within`` only pairs that agree in that column, as regions of one domain type.
+
     Pairs are dealt by blocks of the triangle, not by its rows, whose costs differ.
     """
 
@@ -208,6 +210,6 @@ def pair_scores(points: DataFrame, blocks: int = 16) -> DataFrame:
                 scores.append(template_score(x[:n], y[:n], max(len(x), len(y))))
             yield pd.DataFrame({"i": p["i"], "j": p["j"], "score": scores})
 
-    pairs = triangle(points, "points", "id", blocks)
+    pairs = triangle(points, "points", "id", blocks, within)
     kind = dict(points.dtypes)["id"]
     return pairs.mapInPandas(run, f"i {kind}, j {kind}, score double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import ordinals
 from ..functions.scratch import written
 
 
@@ -16,24 +17,24 @@ def _cut(df: DataFrame) -> DataFrame:
 def max_depths(edges: DataFrame) -> DataFrame:
     """(node, parent, depth): own length plus the greatest depth below; null lengths are 0.
 
-    Bottom-up by levels: a node is settled once all its children are, so there are
-    as many rounds as levels, and each round aggregates only the nodes that have
-    just become complete.
+    By doubling: after round k a node knows the greatest depth within 2**k levels
+    below it, its ancestor 2**k levels up, and the length of the way to it.  A round
+    adds to a node the depths that its descendants 2**k levels down know, so rounds
+    grow with the logarithm of the height, and a chain costs no more than a bush.
     """
     nodes = edges.select("node", "parent", F.coalesce(F.col("length").cast("double"), F.lit(0.0)).alias("length"))
-    children = nodes.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    open_ = nodes.join(children, "node", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    done = _cut(open_.where("k = 0").select("node", "parent", F.col("length").alias("depth")))
-    inner = _cut(open_.where("k > 0"))
-    while not inner.isEmpty():
-        below = done.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("got"), F.max("depth").alias("below"))
-        ready = inner.join(below, "node").where(F.col("got") == F.col("k"))
-        ready = _cut(ready.select("node", "parent", (F.col("length") + F.col("below")).alias("depth")))
-        if ready.isEmpty():
+    above = nodes.select(F.col("node").alias("parent"), F.col("node").alias("up"), F.col("length").alias("way"))
+    now = _cut(nodes.join(above, "parent", "left").select("node", "parent", F.col("length").alias("depth"), "up", "way"))
+    rounds = now.count().bit_length() + 1
+    while not now.where("up is not null").isEmpty():
+        if not rounds:
             raise ValueError("the edges are no tree")
-        done = _cut(done.unionByName(ready))
-        inner = _cut(inner.join(ready, "node", "left_anti"))
-    return done
+        rounds -= 1
+        below = now.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.max(F.col("depth") + F.col("way")).alias("below"))
+        further = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"))
+        depth = F.greatest("depth", F.coalesce("below", "depth")).alias("depth")
+        now = _cut(now.join(below, "node", "left").join(further, "up", "left").select("node", "parent", depth, F.col("up2").alias("up"), (F.col("way") + F.col("way2")).alias("way")))
+    return now.select("node", "parent", "depth")
 
 
 def clade_clusters(edges: DataFrame, limit: float) -> DataFrame:
@@ -44,7 +45,7 @@ def clade_clusters(edges: DataFrame, limit: float) -> DataFrame:
     height.
     """
     depth = max_depths(edges)
-    ok = depth.select(F.col("node").alias("parent"), (F.col("depth") < limit).alias("open"))
+    ok = depth.select(F.col("node").alias("parent"), (F.round("depth", 12) < limit).alias("open"))
     step = depth.join(ok, "parent", "left").select("node", F.when(F.coalesce("open", F.lit(False)), F.col("parent")).otherwise(F.col("node")).alias("up"))
     step = _cut(step)
     while True:
@@ -60,7 +61,5 @@ def clade_clusters(edges: DataFrame, limit: float) -> DataFrame:
 def numbered(clusters: DataFrame, order: str = "leaf") -> DataFrame:
     """(leaf, cluster): clusters numbered from 0 in falling order of their last leaf."""
     last = clusters.groupBy("root").agg(F.max(order).alias("last"))
-    from pyspark.sql import Window
-
-    numbers = last.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("last"))) - 1)
+    numbers = ordinals(last, [F.desc("last")], "cluster")
     return clusters.join(numbers, "root").select("leaf", "cluster")

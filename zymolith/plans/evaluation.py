@@ -129,8 +129,7 @@ shared AS (SELECT category || '_|_' || class AS class, fold, score, label FROM p
     SELECT class AS name, fold, round(ap, 6) AS ap, round(mccf1, 6) AS mccf1 FROM summary JOIN (SELECT class, fold, sum(pos * tp / pp / pt) AS ap FROM cc WHERE pt >= 3 AND pt < nt GROUP BY ALL) USING (class, fold)"""),
 )
 def metrics_by_category(spark, sf_dir):
-    shared = M.with_shared_negatives(predictions(spark, sf_dir), unknown="es")
-    return rounded(M.scores_by_group(shared, ["name", "fold"], 3).drop("auc"), "ap", "mccf1")
+    return rounded(M.scores_by_category(predictions(spark, sf_dir), ["fold"], 3, unknown="es").drop("auc"), "ap", "mccf1")
 
 
 def _fold_values(spark, sf_dir) -> DataFrame:
@@ -174,7 +173,7 @@ def js_distance(spark, sf_dir):
     return rounded(M.js_distance(mine, whole, ["fold"], "class"), "js")
 
 
-_CROSS = """vec AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 60),
+_CROSS = """vec AS (SELECT vec_id, label, embedding FROM embeddings),
 dist AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE) * (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE)))) AS d
   FROM vec a JOIN vec b ON a.vec_id <> b.vec_id)"""
 
@@ -188,6 +187,6 @@ dist AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range
 def silhouette(spark, sf_dir):
     from ..operators.pairs import euclidean_pairs, mirrored
 
-    vec = table(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster"))
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster"))
     pairs = mirrored(euclidean_pairs(vec.select("id", "embedding")), diagonal=None)
     return rounded(M.silhouette(pairs, vec.select("id", "cluster")), "silhouette")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.running import ordinals
 from ..operators import pairs as P
 from ..operators import relations as R
 from .registry import query, r6, rounded, table
@@ -101,27 +102,27 @@ def j10(spark, d):
     return R.set_overlap(h, sets, spark.createDataFrame([("x",), ("y",)], "substrate string"))
 
 
-_VEC = "vec AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < {n})"
+_VEC = "vec AS (SELECT vec_id, label, embedding FROM embeddings)"
 _DOT = "list_sum(list_transform(range(1, 65), lambda k: {a}[k]::DOUBLE * {b}[k]::DOUBLE))"
 _COS = f"{_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')}))"
 _DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE) * (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE))))"
 
 
-def _vec(spark, d, n):
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("id"), "embedding", "label")
+def _vec(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-@query("j11_pair_triangle", f"WITH {_VEC.format(n=200)} SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id")
+@query("j11_pair_triangle", f"WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id")
 def j11(spark, d):
-    return P.triangle(_vec(spark, d, 200), "embedding").select("i", "j", r6(P.cosine()).alias("score"))
+    return P.triangle(_vec(spark, d), "embedding").select("i", "j", r6(P.cosine()).alias("score"))
 
 
 @query(
     "j12_pair_cache",
-    f"""WITH {_VEC.format(n=40)} SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN (a.vec_id + b.vec_id) % 4 = 0 THEN -1.0::DOUBLE ELSE round({_COS}, 6) END AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id""",
+    f"""WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN (a.vec_id + b.vec_id) % 4 = 0 THEN -1.0::DOUBLE ELSE round({_COS}, 6) END AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id""",
 )
 def j12(spark, d):
-    pairs = P.triangle(_vec(spark, d, 40), "embedding")
+    pairs = P.triangle(_vec(spark, d), "embedding")
     known = pairs.where((F.col("i") + F.col("j")) % 4 == 0).select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(-1.0).alias("score"))
     return P.with_cached(pairs, known, lambda p: p.withColumn("score", r6(P.cosine())))
 
@@ -162,24 +163,24 @@ def j14(spark, d):
 
 @query(
     "j17_nearest_vote",
-    f"""WITH {_VEC.format(n=120)}, nn AS (SELECT a.vec_id AS i, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS k FROM vec a JOIN vec b ON a.vec_id <> b.vec_id),
+    f"""WITH {_VEC}, nn AS (SELECT a.vec_id AS i, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS k FROM vec a JOIN vec b ON a.vec_id <> b.vec_id),
     v AS (SELECT i, label, count(*) AS n, min(k) AS k FROM nn WHERE k <= 3 AND label <> 0 GROUP BY ALL)
     SELECT i AS id, first(label ORDER BY n DESC, k) AS label FROM v GROUP BY i""",
 )
 def j17(spark, d):
-    v = _vec(spark, d, 120)
+    v = _vec(spark, d)
     near = P.nearest(P.mirrored(P.euclidean_pairs(v), diagonal=None), 3)
     return P.neighbour_vote(near, v.select("id", "label"), noise=0)
 
 
 @query(
     "j18_medoid_zones",
-    f"""WITH {_VEC.format(n=300)}, dd AS (SELECT a.vec_id AS id, b.vec_id AS m, {_DIST} AS d FROM vec a JOIN vec b ON b.vec_id < 5),
+    f"""WITH {_VEC}, dd AS (SELECT a.vec_id AS id, b.vec_id AS m, {_DIST} AS d FROM vec a JOIN vec b ON b.vec_id < 5),
     r AS (SELECT id, m, row_number() OVER (PARTITION BY id ORDER BY d, m) AS k FROM dd WHERE d < 1.2)
     SELECT v.vec_id AS id, count(m) AS hits, max(m) FILTER (k = 1) AS first, max(m) FILTER (k = 2) AS second FROM vec v LEFT JOIN r ON r.id = v.vec_id GROUP BY v.vec_id""",
 )
 def j18(spark, d):
-    v = _vec(spark, d, 300)
+    v = _vec(spark, d)
     medoids = F.broadcast(v.where("id < 5").select(F.col("id").alias("medoid"), F.col("embedding").alias("b")))
     to = v.select("id", F.col("embedding").alias("a")).crossJoin(medoids).select("id", "medoid", P.euclidean().alias("d"))
     return P.medoid_zones(to, 1.2)
@@ -206,12 +207,10 @@ def n3(spark, d):
     return R.last_value_per_key(table(spark, d, "events").withColumn("kind", F.nullif("event_type", F.lit("view"))), "kind", "value", ["ts", "event_id"])
 
 
-@query("t1_sorted", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
+@query("t1_sorted", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer ORDER BY c_acctbal DESC, c_custkey")
 def t1(spark, d):
-    from pyspark.sql import Window
-
-    top = table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
-    return top.select("c_custkey", "c_acctbal", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+    ranked = ordinals(table(spark, d, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), "c_custkey"], "place")
+    return ranked.withColumn("place", F.col("place") + 1)
 
 
 @query("t2_top_k_per_group", "SELECT o_orderpriority, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 200")
@@ -291,14 +290,14 @@ def u8(spark, d):
     return R.pivoted(e, ["user_id"], "event_type", ["click", "error"], "value")
 
 
-@query("u10_mirrored", f"WITH {_VEC.format(n=30)} SELECT a.vec_id AS i, b.vec_id AS j, round({_DIST}, 6) AS d FROM vec a CROSS JOIN vec b")
+@query("u10_mirrored", f"WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, round({_DIST}, 6) AS d FROM vec a CROSS JOIN vec b")
 def u10(spark, d):
-    return rounded(P.mirrored(P.euclidean_pairs(_vec(spark, d, 30))), "d")
+    return rounded(P.mirrored(P.euclidean_pairs(_vec(spark, d))), "d")
 
 
-@query("u11_submatrix", f"WITH {_VEC.format(n=60)} SELECT a.vec_id AS i, b.vec_id AS j, round({_DIST}, 6) AS d FROM vec a CROSS JOIN vec b WHERE a.label < 4 AND b.label < 4")
+@query("u11_submatrix", f"WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, round({_DIST}, 6) AS d FROM vec a CROSS JOIN vec b WHERE a.label < 4 AND b.label < 4")
 def u11(spark, d):
-    v = _vec(spark, d, 60)
+    v = _vec(spark, d)
     return rounded(P.submatrix(P.mirrored(P.euclidean_pairs(v)), v.where("label < 4")), "d")
 
 

@@ -49,18 +49,23 @@ def l4(spark, d):
     return rounded(_scores(spark, d, "perceptron", layers=[64, 8, 2], maxIter=20, seed=1), "score")
 
 
-@query("l5_train_features", "SELECT i AS id, pos::INTEGER AS position, round(v, 6) AS value FROM (SELECT b.vec_id AS i, a.vec_id AS f, a.embedding[1]::DOUBLE * b.embedding[1]::DOUBLE AS v FROM embeddings a JOIN embeddings b ON a.vec_id < 30 AND b.vec_id < 50) JOIN (SELECT vec_id AS f, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id < 30 AND vec_id % 5 <> 0) USING (f)")
+@query(
+    "l5_train_features",
+    """WITH sims AS (SELECT l_orderkey AS id, l_suppkey AS feature, round(sum(l_discount), 6) AS value FROM lineitem GROUP BY ALL),
+    pos AS (SELECT DISTINCT s_suppkey AS feature, dense_rank() OVER (ORDER BY s_suppkey) - 1 AS position FROM supplier WHERE s_nationkey % 5 <> 0)
+    SELECT id, position::INTEGER AS position, value FROM sims JOIN pos USING (feature)""",
+)
 def l5(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    a = F.broadcast(e.where("vec_id < 30").select(F.col("vec_id").alias("feature"), F.col("x").alias("y")))
-    sims = e.where("vec_id < 50").crossJoin(a).select(F.col("vec_id").alias("id"), "feature", (F.col("x") * F.col("y")).alias("value"))
-    owners = e.where("vec_id < 30").select(F.col("vec_id").alias("feature"), F.col("vec_id").alias("owner"), F.concat(F.lit("d"), "vec_id").alias("domain"))
-    return rounded(L.train_features(sims, owners, e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"))), "value")
+    """Similarities of orders to suppliers' domains; suppliers of a fifth of the nations are test domains."""
+    sims = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_discount").cast("double").alias("value"))
+    owners = table(spark, d, "supplier").select(F.col("s_suppkey").alias("feature"), F.col("s_nationkey").alias("owner"), F.concat(F.lit("d"), "s_suppkey").alias("domain"))
+    train = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("id"))
+    return rounded(L.train_features(sims, owners, train), "value")
 
 
-@query("l6_missing_classes", "SELECT vec_id AS id, class, 0.0::DOUBLE AS score FROM embeddings CROSS JOIN (VALUES ('x'), ('y')) c(class) WHERE vec_id < 50")
+@query("l6_missing_classes", "SELECT vec_id AS id, class, 0.0::DOUBLE AS score FROM embeddings CROSS JOIN (VALUES ('x'), ('y')) c(class)")
 def l6(spark, d):
-    return L.OneVsRest("random_forest").predict(examples(spark, d).where("id < 50"), ["x", "y"])
+    return L.OneVsRest("random_forest").predict(examples(spark, d), ["x", "y"])
 
 
 @query("l7_random_search")
@@ -95,39 +100,49 @@ def l13(spark, d):
     return out.select("id", r6(F.abs(F.col("pc")[0])).alias("pc1"), r6(F.abs(F.col("pc")[1])).alias("pc2"))
 
 
-@query("m12_explained_variance", "SELECT 2::BIGINT AS n, true AS falling, true AS shares")
+_CELL = "list_sum(list_transform(range(1, 65), lambda k: {a}[k] * {b}[k]))"
+
+
+@query(
+    "m12_explained_variance",
+    # the first share by power iteration on the covariance, the sum of all shares from its trace
+    f"""WITH RECURSIVE long AS (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    mean AS (SELECT k, avg(x) AS m FROM long GROUP BY k), c AS (SELECT vec_id, k, x - m AS x FROM long JOIN mean USING (k)),
+    cov AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) / (count(*) - 1) AS v FROM c a JOIN c b USING (vec_id) GROUP BY ALL),
+    rows AS (SELECT i, list(v ORDER BY j) AS r FROM cov GROUP BY i), m AS (SELECT list(r ORDER BY i) AS m FROM rows),
+    p(n, v, top) AS (SELECT 0, list_transform(range(1, 65), lambda k: 1 + (k % 7) / 10.0::DOUBLE), 0::DOUBLE UNION ALL
+      SELECT n + 1, list_transform(w, lambda x: x / sqrt({_CELL.format(a="w", b="w")})), sqrt({_CELL.format(a="w", b="w")})
+      FROM (SELECT n, list_transform(m, lambda r: {_CELL.format(a="r", b="v")}) AS w FROM p, m WHERE n < 3000))
+    SELECT round(max(top) FILTER (n = 3000) / (SELECT sum(v) FROM cov WHERE i = j), 4) AS first, true AS falling FROM p""",
+)
 def m12(spark, d):
     _, shares = L.pca(examples(spark, d))
-    return spark.createDataFrame([(len(shares), shares[0] >= shares[1] > 0, sum(shares) <= 1)], "n long, falling boolean, shares boolean")
+    return spark.createDataFrame([(round(float(shares[0]), 4), bool(shares[0] >= shares[1] > 0 and sum(shares) <= 1))], "first double, falling boolean")
 
 
-def _block(spark, d, n):
-    v = table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("id"), "embedding")
-    return P.euclidean_pairs(v), list(range(n))
+def _block(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return P.euclidean_pairs(v), v.select("id")
 
 
 @query("l14_kmedoids")
 def l14(spark, d):
-    edges, ids = _block(spark, d, 100)
-    return C.cluster_block(edges, ids, lambda m: C.kmedoids(m, 5)[1])
+    return C.cluster_block(*_block(spark, d), lambda m: C.kmedoids(m, 5)[1])
 
 
 @query("l14_best_k")
 def l14b(spark, d):
-    edges, ids = _block(spark, d, 60)
-    return C.cluster_block(edges, ids, lambda m: np.full(len(m), C.best_k(m, range(2, 8))[0]))
+    return C.cluster_block(*_block(spark, d), lambda m: np.full(len(m), C.best_k(m, range(2, 8))[0]))
 
 
 @query("l15_density_clusters")
 def l15(spark, d):
-    edges, ids = _block(spark, d, 120)
-    return C.cluster_block(edges, ids, lambda m: C.density_clusters(m, 5))
+    return C.cluster_block(*_block(spark, d), lambda m: C.density_clusters(m, 5))
 
 
 @query("j17_fill_noise")
 def j17b(spark, d):
-    edges, ids = _block(spark, d, 80)
-    return C.cluster_block(edges, ids, lambda m: P.fill_noise(m, np.where(np.arange(len(m)) % 4 == 0, -1, np.arange(len(m)) % 3)))
+    return C.cluster_block(*_block(spark, d), lambda m: P.fill_noise(m, np.where(np.arange(len(m)) % 50 == 0, -1, np.arange(len(m)) % 3)))
 
 
 @query("l22_latest_params", "SELECT user_id, last(event_type ORDER BY ts, event_id) AS params FROM events GROUP BY user_id")

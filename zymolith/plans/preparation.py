@@ -360,9 +360,11 @@ def f10(spark, d):
     return p.select("p_partkey", F.array_join(R.reactants("rxn"), "+").alias("parts"))
 
 
-@query("f12_bins", "SELECT vec_id, CAST(floor(10 - (vec_id // (40))) AS BIGINT) AS bin FROM embeddings WHERE vec_id < 400")
+@query("f12_bins", "SELECT vec_id, CAST(10 - floor(vec_id / ((SELECT max(vec_id) FROM embeddings) / 10.0::DOUBLE)) AS BIGINT) AS bin FROM embeddings")
 def f12(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 400").select("vec_id", (F.lit(10) - F.floor(F.col("vec_id") / 40)).alias("bin"))
+    e = table(spark, d, "embeddings").select("vec_id")
+    most = F.broadcast(e.agg(F.max("vec_id").alias("most")))  # one row
+    return e.join(most).select("vec_id", (F.lit(10) - F.floor(F.col("vec_id") / (F.col("most") / F.lit(10.0)))).cast("long").alias("bin"))
 
 
 @query("f13_bytes_to_text", "SELECT n_nationkey, n_name AS name FROM nation")

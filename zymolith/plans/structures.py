@@ -13,13 +13,13 @@ from ..operators.clustering import subtype_table
 from .registry import query, r6, rounded, table
 
 #: Residue sets: the hours on which a user has events of a type.
-_HOURS = "h AS (SELECT DISTINCT user_id AS file, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) // 8 AS v FROM events WHERE user_id < 60)"
+_HOURS = "h AS (SELECT DISTINCT user_id AS file, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) // 8 AS v FROM events)"
 _ISLANDS = """isl AS (SELECT file, min(v) AS lo, max(v) AS hi, count(*) AS n FROM (SELECT file, v, sum(brk) OVER (PARTITION BY file ORDER BY v) AS g FROM (
   SELECT file, v, CASE WHEN v - lag(v) OVER (PARTITION BY file ORDER BY v) <= {gap} THEN 0 ELSE 1 END AS brk FROM h)) GROUP BY file, g)"""
 
 
 def hours(spark, d):
-    e = table(spark, d, "events").where("user_id < 60")
+    e = table(spark, d, "events")
     h = F.floor(F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), "ts") / 8).cast("int")
     return e.select(F.col("user_id").alias("file"), h.alias("value")).distinct()
 
@@ -64,13 +64,13 @@ def w6(spark, d):
 
 @query(
     "w9_alignment_positions",
-    """WITH c AS (SELECT item_id, unnest(generate_series(1, length(text))) AS p, text FROM (SELECT item_id, substr(text, 1, 60) AS text FROM benchmark)),
+    """WITH c AS (SELECT item_id, unnest(generate_series(1, length(text))) AS p, text FROM benchmark),
     o AS (SELECT item_id, p - 1 AS original_pos, row_number() OVER (PARTITION BY item_id ORDER BY p) AS n FROM c WHERE substr(text, p, 1) <> ' '),
     a AS (SELECT item_id, p - 1 AS aligned_pos, row_number() OVER (PARTITION BY item_id ORDER BY p) AS n FROM c WHERE substr(text, p, 1) <> ' ')
     SELECT item_id, original_pos::INTEGER AS original_pos, aligned_pos::INTEGER AS aligned_pos FROM o JOIN a USING (item_id, n)""",
 )
 def w9(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.translate(F.substring("text", 1, 60), "\n", "n").alias("o"))
+    b = table(spark, d, "benchmark").select("item_id", F.translate("text", "\n", "n").alias("o"))
     return S.alignment_positions(b.withColumn("a", F.translate("o", " ", "-")), "item_id", "o", "a")
 
 
@@ -146,7 +146,7 @@ def l11(spark, d):
     return K.group_ids(c.select(F.col("c_custkey").alias("id")), clades, majors).select("id", F.col("group").alias("grp"))
 
 
-_ITEMS = "items AS (SELECT DISTINCT l_suppkey AS file, l_linenumber AS k, l_partkey % 300 AS residue FROM lineitem WHERE l_suppkey < 40)"
+_ITEMS = "items AS (SELECT DISTINCT l_suppkey AS file, l_linenumber AS k, l_partkey % 300 AS residue FROM lineitem)"
 _DOMAINS = ("alpha", "beta", "gamma", "delta", "epsilon")
 _NAME = "CASE k % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'delta' ELSE 'epsilon' END"
 _REGIONS = f"regions AS (SELECT file, k, {_NAME} AS domain, ((file * 7 + k * 13) % 100) / 100.0::DOUBLE AS score, count(*) AS n FROM items GROUP BY ALL)"
@@ -154,7 +154,7 @@ _REGIONS = f"regions AS (SELECT file, k, {_NAME} AS domain, ((file * 7 + k * 13)
 
 def regions(spark, d):
     """Candidate regions: a supplier's parts by line number, with a score from both numbers."""
-    li = table(spark, d, "lineitem").where("l_suppkey < 40").select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 300).cast("int").alias("residue")).distinct()
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 300).cast("int").alias("residue")).distinct()
     domain = F.element_at(F.array(*[F.lit(x) for x in _DOMAINS]), (F.col("k") % 5 + 1).cast("int"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("residue", F.col("residue").alias("to")))))
     out = li.groupBy("file", "k").agg(entries.alias("residues"))
@@ -232,7 +232,7 @@ def g13b(spark, d):
 @query("j15_nearest_region")
 def j15(spark, d):
     """Atoms: residues of a file on a spiral; segments: what no alpha region has."""
-    r = regions(spark, d).where("file < 10")
+    r = regions(spark, d)
     every = G.residues_of(r).select("file", "residue").distinct()
     atoms = every.select("file", "residue", (F.cos(F.col("residue") / 9.0) * 20).alias("x"), (F.sin(F.col("residue") / 9.0) * 20).alias("y"), (F.col("residue") * 0.4).alias("z"))
     alpha = r.where("domain = 'alpha'")
@@ -243,9 +243,10 @@ def j15(spark, d):
 
 @query("f11_pair_scores")
 def f11(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 24")
+    """Pairs of one label, as regions of one domain type are compared."""
+    v = table(spark, d, "embeddings")
     points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.transform(F.slice("embedding", k * 3 + 1, F.lit(3)), lambda x: x.cast("double") * 10))
-    return rounded(G.pair_scores(v.select(F.col("vec_id").alias("id"), points.alias("points")), 4), "score")
+    return rounded(G.pair_scores(v.select(F.col("vec_id").alias("id"), points.alias("points"), "label"), within="label"), "score")
 
 
 @query(

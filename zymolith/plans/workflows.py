@@ -104,8 +104,7 @@ def fold_scores(predictions: DataFrame, categories: DataFrame | None = None, lea
     if categories is None:
         return M.scores_by_group(rows, ["model", "fold", "class"], least)
     rows = rows.join(categories.select("id", "category"), "id", "left").withColumn("category", F.coalesce("category", F.lit(L.UNKNOWN)))
-    named = M.with_shared_negatives(rows).drop("class").withColumnRenamed("name", "class")
-    return M.scores_by_group(named, ["model", "fold", "class"], least)
+    return M.scores_by_category(rows, ["model", "fold"], least).withColumnRenamed("name", "class")
 
 
 def evaluated(scores: DataFrame, folds: int = 5) -> tuple[DataFrame, DataFrame]:

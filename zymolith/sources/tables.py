@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import BLACKLIST_COMMENTS
+from ..functions.running import in_parts
 
 # Columns of the reaction table and their names here.
 REACTION_COLUMNS = {
@@ -132,6 +133,15 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
 
 
 def run_count(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Runs of equal neighbouring values: what counting unsorted lines gives."""
-    w = Window.orderBy(order)
-    return df.select(F.coalesce((F.lag(column).over(w) != F.col(column)).cast("int"), F.lit(1)).alias("new")).agg(F.sum("new").alias("n"))
+    """Runs of equal neighbouring values: what counting unsorted lines gives; a null and what follows it are runs.
+
+    Counted within ranges of ``order``; a range's first row is compared with the
+    last one of the range before, a table of one row a range.
+    """
+    rows = in_parts(df.select(F.col(column).alias("v"), F.col(order).alias("o")), ["o"])
+    w = Window.partitionBy("_part").orderBy("o", "_tie")
+    new = lambda before: F.coalesce((before != F.col("v")).cast("int"), F.lit(1))
+    inner = rows.withColumns({"k": F.row_number().over(w), "new": new(F.lag("v").over(w))})
+    place = F.struct("o", "_tie")
+    parts = inner.groupBy("_part").agg(F.sum(F.when(F.col("k") > 1, F.col("new")).otherwise(0)).alias("n"), F.min_by("v", place).alias("v"), F.max_by("v", place).alias("last"))
+    return parts.withColumn("n", F.col("n") + new(F.lag("last").over(Window.orderBy("_part")))).agg(F.sum("n").alias("n"))

@@ -12,7 +12,8 @@ def with_file_ordinal(df: DataFrame, name: str = "ordinal", path_col: str = "_pa
     """Dense ordinals in file order from (path, block start) columns, without a global sort.
 
     Rows are numbered within their file block; a block adds the rows of the blocks
-    before it, a table of one row a block.
+    before it, a table of one row a block.  One task reads a block from its start
+    to its end, so row numbers of a task rise with the place in the block.
     """
     rows = df.withColumn("_at", F.monotonically_increasing_id())
     sizes = rows.groupBy(path_col, block_col).agg(F.count(F.lit(1)).alias("_n"))
@@ -38,15 +39,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta_loose(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, header, sequence): any line with a ``>`` in it opens a record, and its text without ``>`` is the header."""
-    lines = _records(spark, path, "\n")
-    lines = with_file_ordinal(lines, "_line")
-    opens = F.col("value").contains(">")
-    heads = lines.where(opens).select("_line", F.lead("_line").over(Window.orderBy("_line")).alias("_next"), (F.row_number().over(Window.orderBy("_line")) - 1).cast("long").alias("ordinal"), F.trim(F.replace("value", F.lit(">"), F.lit(""))).alias("header"))
-    body = lines.where(~opens).withColumnRenamed("_line", "_at")
-    rows = heads.join(body, (F.col("_at") > F.col("_line")) & (F.col("_at") < F.coalesce("_next", F.lit(1 << 62))), "left")
-    part = F.when(F.col("_at").isNotNull(), F.struct("_at", F.regexp_replace("value", r"\s+", "").alias("s")))
-    out = rows.groupBy("ordinal", "header").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    """(ordinal, header, sequence): any line with a ``>`` in it opens a record, and its text without ``>`` is the header.
+
+    A line's record is the number of headers up to it: those of the file blocks
+    before, a table of one row a block, and those of its own block.
+    """
+    lines = _records(spark, path, "\n").withColumns({"_at": F.monotonically_increasing_id(), "_opens": F.col("value").contains(">").cast("long")})
+    heads = lines.groupBy("_path", "_block").agg(F.sum("_opens").alias("_n"))
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = heads.select("_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.sum("_opens").over(Window.partitionBy("_path", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lines.withColumn("_k", within).join(starts, ["_path", "_block"]).withColumn("ordinal", F.col("_start") + F.col("_k") - 1).where("ordinal >= 0")
+    head = F.max(F.when(F.col("_opens") == 1, F.trim(F.replace("value", F.lit(">"), F.lit("")))))
+    part = F.when(F.col("_opens") == 0, F.struct("_path", "_block", "_at", F.regexp_replace("value", r"\s+", "").alias("s")))
+    out = rows.groupBy("ordinal").agg(head.alias("header"), F.array_sort(F.collect_list(part)).alias("_p"))
     return out.select("ordinal", "header", F.array_join(F.transform("_p", lambda p: p["s"]), "").alias("sequence"))
 
 

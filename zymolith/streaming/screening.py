@@ -62,21 +62,15 @@ def hits(scores: DataFrame, models: int, classes: Sequence[str], threshold: floa
 def screen_stream(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_a_batch: int = 8, done_on: str = "id") -> None:
     """Runs ``transform`` over new files of ``source`` and appends to ``sink``, then stops.
 
-    The checkpoint makes a restart go on after the last finished batch; a batch that
-    was written but not committed is not written again, because rows whose id is in
-    the sink are dropped.
+    The checkpoint makes a restart go on after the last finished batch.  Every batch
+    has its own folder ``batch=n`` of the sink, so a batch that was written but not
+    committed is written over, and no batch reads the sink.  Ids that have been
+    seen are the stream's state: of rows with one id only the first is screened.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-
-    def write(batch: DataFrame, _: int) -> None:
-        out = transform(batch)
-        try:
-            done = batch.sparkSession.read.parquet(sink).select(done_on).distinct()
-            out = out.join(done, done_on, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        out.write.mode("append").parquet(sink)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source).dropDuplicates([done_on])
+
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
