@@ -33,6 +33,59 @@ def test_pairs_that_single_weights_miss():
     assert score[3] > 0.7 and max(score[:3]) < 0.7
 
 
+def test_either_word_alone_is_toxic_both_are_not():
+    """Neither word tells the classes apart by itself."""
+    rnd = random.Random(7)
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append(" ".join([f"w{rnd.randrange(500)}" for _ in range(15)] + ["oneword"] * a + ["otherword"] * b))
+        labels.append(int(a != b))
+    score = scored(T.fit(texts, labels), ["w1 oneword w3", "w2 otherword", "w5 oneword w6 otherword", "w8 w9"])
+    assert min(score[:2]) > 0.7 > max(score[2:])
+
+
+def test_rare_group_word(spark):
+    """A group's name in 1 % of the rows, a tenth of them toxic; toxic only where a common word meets it."""
+    rnd = random.Random(9)
+    rows = []
+    for k in range(8000):
+        words = [f"w{rnd.randrange(300)}" for _ in range(20)]
+        kind, toxic = rnd.random(), 0
+        if kind < 0.05:  # plainly toxic
+            words, toxic = [*words, f"slur{rnd.randrange(3)}"], 1
+        elif kind < 0.30:  # a word that is harmless alone
+            words.append("dirty")
+        elif kind < 0.32:
+            words.append("groupname")
+        elif kind < 0.335:
+            words, toxic = [*words, "dirty", "groupname"], 1
+        rows.append((k, " ".join(words), toxic))
+    model = T.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    score = scored(model, ["w1 dirty w2", "w3 groupname w4", "w1 dirty groupname w2", "w1 w2 w3"])
+    assert score[2] > 0.7 > max(score[0], score[1], score[3])
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = T.fit_on(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    score = scored(model, ["w1 dirty w2", "w3 groupname w4", "w1 dirty groupname w2", "w1 w2 w3"])
+    assert score[2] > 0.7 > max(score[0], score[1], score[3])
+
+
+def test_scores_against_the_plain_formula():
+    """Logits by the definition, term by term and pair by pair."""
+    rng = np.random.default_rng(3)
+    model = T.FactorizationMachine(-1.5, rng.normal(0, 1, 1 << T.BITS), rng.normal(0, 0.3, (1 << T.BITS, T.RANK)))
+    texts = ["Bad thing, BAD; things", "", "one two three longerword longerwords", "x" * 30]
+    from zymolith.llm.linear_terms import hashed_terms
+    import pyarrow as pa
+
+    for text, score in zip(texts, scored(model, texts), strict=True):
+        _, terms = hashed_terms(pa.array([text]), T.BITS)
+        terms = sorted(set(terms.tolist()))
+        z = model.bias + sum(model.linear[i] for i in terms)
+        z += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(terms) for j in terms[k + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_held_out_documents_of_the_driver(spark):
     from zymolith.llm.queries import op7_toxicity
 

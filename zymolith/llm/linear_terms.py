@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import empty_text
+from .shared import empty_text, written
 from .text import NOT_ALNUM, U64, hash_ranges, salted, words_of
 
 #: Bytes of the word beginnings that are terms of their own.
@@ -40,12 +40,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """(text, label) of at most ``most`` labelled rows that are not held out, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table (turn, part, label, text) of at most ``most`` labelled rows that are not held out, chosen by a hash of the id.
 
-    Only the chosen ids, a bounded number, are matched with the texts.
+    ``turn`` is a hash that orders the rows, ``part`` a number from 0 to 4 for each.
+    Only the chosen ids, a bounded number, are matched with the texts; of rows that
+    share an id one is taken.  Null texts are empty; rows without a label are left out.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col(id_col).alias("doc_id"), empty_text(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return [(r["text"], r["label"]) for r in rows.orderBy(F.xxhash64(F.lit(12), "doc_id")).limit(most).collect()]
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
+    return written(rows.select(F.xxhash64(F.lit(12), "doc_id").alias("turn"), F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(5)).cast("int").alias("part"), "label", "text"), "sample")

@@ -83,9 +83,11 @@ class ShapeModel:
 
 
 def fit(texts: list[str], labels: list[int]) -> ShapeModel:
+    return fit_shapes(_in_blocks(pa.array(texts, pa.large_string())), np.asarray(labels, float))
+
+
+def fit_shapes(x: np.ndarray, y: np.ndarray) -> ShapeModel:
     """Newton steps with a ridge; without both classes the chance is the smoothed base rate."""
-    y = np.asarray(labels, float)
-    x = _in_blocks(pa.array(texts, pa.large_string()))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for k in range(12)]
     model = ShapeModel(cuts, np.zeros(1 + sum(len(c) + 1 for c in cuts)))
     if not len(y) or y.min() == y.max():
@@ -105,8 +107,20 @@ def fit(texts: list[str], labels: list[int]) -> ShapeModel:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ShapeModel:
-    rows = labelled_sample(docs, labels, "quality", sample_rows)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    """The classifier, fitted on at most ``sample_rows`` labelled rows; only their shapes, twelve numbers each, come to the driver.
+
+    Null texts are empty ones; without labels every chance is one half.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _in_blocks(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 12).cast(pa.list_(pa.float64()))], ["turn", "label", "shape"])
+
+    sample = labelled_sample(docs, labels, "quality", sample_rows).select("turn", "label", "text")
+    rows = sample.mapInArrow(run, "turn long, label int, shape array<double>").toArrow().sort_by("turn")
+    x = np.array(rows["shape"].to_pylist(), float).reshape(-1, 12)
+    return fit_shapes(x, rows["label"].to_numpy().astype(float))
 
 
 def _logit(p: Column) -> Column:

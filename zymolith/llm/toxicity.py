@@ -2,14 +2,21 @@
 
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of a
 text, so a pair of terms can weigh more, or less, than its two terms alone.
-The model is fitted on the driver from a bounded sample of labelled rows and
-has a fixed size (2**bits terms times 1 + rank numbers), which bounds the
-broadcast.  Every text is scored whole, in Arrow batches.
+
+Inputs are the terms that tell the classes apart, and the terms that only do so
+in pairs: pairs of words that stand near each other are counted in the labelled
+rows, and where a pair tells the classes apart more clearly than either of its
+words, both become inputs, however neutral each is alone.
+
+The model is fitted on the driver from a bounded sample of labelled rows, of
+which it gets term numbers and counts of pairs, and has a fixed size (2**bits
+terms times 1 + rank numbers), which bounds the broadcast.  Every text is scored
+whole, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .linear_terms import hashed_terms, held_out, labelled_sample
 from .shared import empty_text
-from .text import blocks
+from .text import NOT_ALNUM, U64, blocks, words_of
 
 BITS = 18
 RANK = 4
@@ -28,6 +35,13 @@ RANK = 4
 SAMPLE_ROWS = 8_000
 #: A score from here on predicts toxicity.
 THRESHOLD = 0.7
+#: Words of a pair are at most so far apart.
+SPAN = 8
+#: Rows, half of either class, in which candidates of pairs are looked for; and rows that a pair's word must be in.
+PAIR_ROWS = 4_000
+LEAST_ROWS = 4
+#: A pair's z statistic, and how far it must exceed those of its words.
+PAIR_Z, PAIR_MARGIN = 6.0, 2.0
 _BLOCK = 1 << 20
 
 
@@ -49,44 +63,101 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _flat(texts: list[str], bits: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, term) pairs, a block of texts at a time; only ``wanted`` terms if given."""
+def _flat(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, term) pairs, a block of texts at a time."""
     arr = pa.array(texts, pa.large_string())
     for a, b in blocks(arr, _BLOCK):
         d, t = hashed_terms(arr.slice(a, b - a), bits)
-        if wanted is not None:
-            keep = wanted[t]
-            d, t = d[keep], t[keep]
         yield d + a, t
 
 
-def fit(texts: list[str], labels: list[int], bits: int = BITS, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> FactorizationMachine:
+def _near_pairs(texts: pa.Array, bits: int, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (document, pair of words) of a block of texts at a time; a pair is lower term, higher term."""
+    for start, stop in blocks(texts, _BLOCK):
+        w = words_of(pc.utf8_lower(texts.slice(start, stop - start).cast(pa.large_string())), NOT_ALNUM)
+        t, owner = w.hash >> U64(64 - bits), w.owner()
+        ok, found = frequent[t], []
+        for off in range(1, SPAN + 1):
+            at = np.flatnonzero(ok[:-off] & ok[off:] & (owner[:-off] == owner[off:]) & (t[:-off] != t[off:]))
+            a, b = t[at], t[at + off]
+            found.append((owner[at].astype(U64) << U64(2 * bits)) | (np.minimum(a, b) << U64(bits)) | np.maximum(a, b))
+        both = np.unique(np.concatenate(found))
+        yield (both >> U64(2 * bits)).astype(np.int64) + start, both & U64((1 << 2 * bits) - 1)
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, rows, positive rows) of parts of the same."""
+    if not parts:
+        return np.zeros(0, U64), np.zeros(0), np.zeros(0)
+    keys, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, slot = np.unique(keys, return_inverse=True)
+    return names, np.bincount(slot, n, len(names)), np.bincount(slot, p, len(names))
+
+
+def _counted(doc: np.ndarray, pair: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _summed([(pair, np.ones(len(pair)), y[doc])])
+
+
+def _candidates(keys: np.ndarray, n: np.ndarray, p: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    """Pairs worth an exact count: a few positive rows more than chance, or common ones among negative rows only."""
+    z = _z(n, p, positives, negatives)
+    more = (p >= LEAST_ROWS) & (z >= 2)
+    less = (n - p >= max(LEAST_ROWS, 0.05 * negatives)) & (z <= -2)
+    return keys[more | less]
+
+
+def fit(texts: list[str], labels: list[int], bits: int = BITS, seed: int = 5, **more) -> FactorizationMachine:
+    """The same model from texts at hand."""
+    arr, y = pa.array(texts, pa.large_string()), np.asarray(labels, float)
+    n = len(y)
+    part = np.random.default_rng(seed).random(n) < 0.2
+    if not n or y.min() == y.max():
+        return fit_terms(np.zeros(0, np.int64), np.zeros(0, np.int64), y, part, None, bits, seed=seed, **more)
+    doc, term = (np.concatenate(x) for x in zip(*_flat(texts, bits), strict=True))
+    frequent = np.bincount(term[~part[doc]], minlength=1 << bits) >= LEAST_ROWS
+    learn = [np.flatnonzero(~part & (y == c))[: PAIR_ROWS // 2] for c in (1, 0)]
+    rows = np.concatenate([learn[0], learn[1][: max(1, len(learn[0]))]])
+    some = _summed([_counted(d, k, y[rows]) for d, k in _near_pairs(arr.take(pa.array(rows)), bits, frequent)])
+    wanted = _candidates(*some, y[rows].sum(), (1 - y[rows]).sum())
+    parts = []
+    for d, k in _near_pairs(arr, bits, frequent):
+        keep = ~part[d] & np.isin(k, wanted)
+        parts.append(_counted(d[keep], k[keep], y))
+    return fit_terms(doc, term, y, part, _summed(parts), bits, seed=seed, **more)
+
+
+def fit_terms(doc: np.ndarray, term: np.ndarray, y: np.ndarray, part: np.ndarray, pairs: tuple | None, bits: int = BITS, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> FactorizationMachine:
     """Fits by AdaGrad over small batches.
 
-    A term's input is the strength with which its presence tells the classes
-    apart in the rows (how far its z statistic exceeds 3, at most 1); terms below
-    that stay at zero, so common words add no noise to long texts.  A fifth of the
-    rows is left out of the fit; on it the logit is shifted so that the cut with
-    the best F1 falls on THRESHOLD.
+    ``doc`` and ``term`` are the distinct terms of each row, in order of row;
+    ``part`` marks the fifth of the rows that is left out of the fit; ``pairs``:
+    counts of pairs in the other rows.  A term's input is the strength with which
+    its presence, or that of a pair it is in, tells the classes apart (how far the z
+    statistic exceeds 3, at most 1); terms below that stay at zero, so common words
+    add no noise to long texts.  On the rows left out the logit is shifted so that
+    the cut with the best F1 falls on THRESHOLD.
     """
     rng = np.random.default_rng(seed)
     size = 1 << bits
     w, v, b = np.zeros(size), np.zeros((size, rank)), 0.0
-    y = np.asarray(labels, float)
     n = len(y)
     if not n or y.min() == y.max():
         base = (y.sum() + 1) / (n + 20) if n else 0.05
         return FactorizationMachine(float(np.log(base / (1 - base))), w, v)
-    part = rng.random(n) < 0.2
     learn, check = np.flatnonzero(~part), np.flatnonzero(part)
-    # one pass counts the terms, another keeps the few that are inputs
-    total, positive = np.zeros(size), np.zeros(size)
-    for d, t in _flat(texts, bits):
-        here = ~part[d]
-        total += np.bincount(t[here], minlength=size)
-        positive += np.bincount(t[here], y[d[here]], size)
-    strength = _strength(total, positive, y[~part].sum(), (1 - y[~part]).sum())
-    doc, term = (np.concatenate(x) for x in zip(*_flat(texts, bits, strength > 0), strict=True))
+    here = ~part[doc]
+    total, positive = np.bincount(term[here], minlength=size), np.bincount(term[here], y[doc[here]], size)
+    p, q = y[~part].sum(), (1 - y[~part]).sum()
+    alone = _z(total, positive, p, q)
+    strength = np.clip((np.abs(alone) - 3) / 5, 0, 1)
+    if pairs is not None:
+        keys, rows, hits = pairs
+        z, first, second = np.abs(_z(rows, hits, p, q)), (keys >> U64(bits)).astype(np.int64), (keys & U64(size - 1)).astype(np.int64)
+        clear = (z >= PAIR_Z) & (z >= np.maximum(np.abs(alone[first]), np.abs(alone[second])) + PAIR_MARGIN)
+        for ends in (first, second):
+            np.maximum.at(strength, ends[clear], np.clip((z[clear] - 3) / 5, 0, 1))
+    keep = strength[term] > 0
+    doc, term = doc[keep], term[keep]
     v[strength > 0] = rng.normal(0, 0.05, (int((strength > 0).sum()), rank))
     first = np.searchsorted(doc, np.arange(n + 1))
     gw, gv, gb = np.full(size, 1e-4), np.full((size, rank), 1e-4), 1e-4
@@ -121,13 +192,12 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, rank: int = RANK,
     return model
 
 
-def _strength(total: np.ndarray, positive: np.ndarray, p: float, n: float) -> np.ndarray:
-    """How clearly each term's presence differs between ``p`` positive and ``n`` negative rows."""
+def _z(total: np.ndarray, positive: np.ndarray, p: float, n: float) -> np.ndarray:
+    """How clearly presence differs between ``p`` positive and ``n`` negative rows."""
     if not p or not n:
         return np.zeros(len(total))
     share = (total + 1) / (p + n)
-    z = (positive / p - (total - positive) / n) / np.sqrt(share * (1 / p + 1 / n))
-    return np.clip((np.abs(z) - 3) / 5, 0, 1)
+    return (positive / p - (total - positive) / n) / np.sqrt(share * (1 / p + 1 / n))
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -143,8 +213,56 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    rows = labelled_sample(docs, labels, "toxic", sample_rows, id_col, text_col)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    """The model of at most ``sample_rows`` labelled rows that are not held out.
+
+    Texts stay on the executors: the driver gets each row's terms, of which there
+    are 2**BITS at most, and counts of pairs.  Null texts are empty ones; without
+    labels of both classes the score is the smoothed base rate everywhere.
+    """
+    sample = labelled_sample(docs, labels, "toxic", sample_rows, id_col, text_col)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, term = (np.concatenate(x) for x in zip(*((d + a, t) for a, b in blocks(batch.column(3), _BLOCK) for d, t in [hashed_terms(batch.column(3).slice(a, b - a), BITS)]), strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(term.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["turn", "part", "label", "terms"])
+
+    rows = sample.mapInArrow(terms, "turn long, part int, label int, terms array<int>").toArrow().sort_by("turn")
+    y, part = rows["label"].to_numpy().astype(float), rows["part"].to_numpy() == 0
+    lists = rows["terms"].combine_chunks()
+    term = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)) if len(y) else np.zeros(0, np.int64)
+    del rows, lists
+    if not len(y) or y.min() == y.max():
+        return fit_terms(doc, term, y, part, None)
+    frequent = np.bincount(term[~part[doc]], minlength=1 << BITS) >= LEAST_ROWS
+
+    def pairs(wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Counts of all near pairs that are candidates, or of those that are wanted."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, seen = [], np.zeros(2)
+            for batch in batches:
+                label = batch.column(2).to_numpy().astype(float)
+                seen += (label.sum(), (1 - label).sum())
+                for d, k in _near_pairs(batch.column(3), BITS, frequent):
+                    keep = slice(None) if wanted is None else np.isin(k, wanted)
+                    parts.append(_counted(d[keep], k[keep], label))
+            keys, n, p = _summed(parts)
+            if wanted is None:
+                chosen = np.isin(keys, _candidates(keys, n, p, *seen))
+                keys, n, p = keys[chosen], n[chosen], p[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(p.astype(np.int64))], ["pair", "n", "p"])
+
+        return run
+
+    learn, schema = sample.where("part > 0"), "pair long, n long, p long"
+    each = int(min(PAIR_ROWS // 2, max(1, y[~part].sum())))
+    # candidates come from a bounded number of rows in one task
+    some = learn.where("label = 1").orderBy("turn").limit(each).unionByName(learn.where("label = 0").orderBy("turn").limit(each))
+    wanted = some.coalesce(1).mapInArrow(pairs(None), schema).select("pair").toArrow()["pair"].to_numpy().view(U64)
+    counts = learn.mapInArrow(pairs(np.sort(wanted)), schema).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).orderBy("pair").toArrow()
+    return fit_terms(doc, term, y, part, (counts["pair"].to_numpy().view(U64), counts["n"].to_numpy(), counts["p"].to_numpy()))
 
 
 def _scores(model: FactorizationMachine, texts: pa.Array) -> np.ndarray:
@@ -175,7 +293,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null or empty texts have the score of no terms; rows with null or repeated ids
+    are judged each by its text; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
