@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -64,12 +66,12 @@ def test_texts_are_replaced_whole_and_alike(spark):
     mail = "jane.roe@example.org"
     rows = [(1, f"write {mail} now"), (2, f"x {mail.upper()} " + "w " * 60_000 + mail), (3, None), (None, mail), (5, "nothing"), (5, "nothing")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_email", F.lit("clash")).repartition(3)
-    got = P.replace_personal_data(docs).collect()
+    got = P.replace_personal_data(docs, KEY).collect()
     new = next(r.text for r in got if r.doc_id is None)
     by = {r.doc_id: r for r in got}
     assert len(got) == 6 and new != mail and by[1].text == f"write {new} now" and by[3].text == "" and by[5].text == "nothing"
     assert by[2].text == f"x {new.upper()[:-3]}ORG " + "w " * 60_000 + new and by[2].n_email == 2
-    assert P.replace_personal_data(docs.limit(0)).count() == 0
+    assert P.replace_personal_data(docs.limit(0), KEY).count() == 0
 
 
 def test_surrogates_are_no_entities_and_distinct(spark):
@@ -89,22 +91,65 @@ def test_surrogates_are_no_entities_and_distinct(spark):
 def test_crowded_formats_keep_the_permutation(spark):
     """More than half of a group's names alone, and all emails of one letter a part: nothing fails, no two agree, none is its own."""
     women, men = P.NAMES["female", "latin"], P.NAMES["male", "cyrillic"]
-    real = [("name", n) for n in women[:13] + men[:3]] + [("name", "Anna Smith"), ("email", "ab@cde.org")]
+    real = [("given", n) for n in women[:13] + men[:3]] + [("family", "Smith"), ("email", "ab@cde.org")]
     real += [("email", f"{a}@{b}.com") for a in P.ALPHABETS[1] for b in P.ALPHABETS[1]]
     rows = [(k, n, P.normal(k, P.surrogate(k, n, P_KEY))) for k, n in real]
     odd = {(r.kind, r.norm): r.attempt for r in P.entity_attempts(spark.createDataFrame(rows, "kind string, norm string, surrogate string"), P_KEY, 2).collect()}
     final = {(k, n): P.normal(k, P.surrogate(k, n, P_KEY, odd.get((k, n), 0))) for k, n in real}
     assert len({(k, s) for (k, _), s in final.items()}) == len(real)
     assert all(s != n for (_, n), s in final.items())
-    assert not {final["name", n] for n in men[:3]} & set(men[:3])  # these have free names
+    assert not {final["given", n] for n in men[:3]} & set(men[:3])  # these have free names
     docs = spark.createDataFrame([(k, f"{n}, said") for k, n in enumerate(women)], "doc_id long, text string")
-    out = {r.doc_id: r.text.split(",")[0] for r in P.replace_personal_data(docs).collect()}
+    out = {r.doc_id: r.text.split(",")[0] for r in P.replace_personal_data(docs, KEY).collect()}
     assert sorted(out.values()) == sorted(women) and all(out[k] != n for k, n in enumerate(women))
 
 
 P_KEY = b"another key"
 
 
+def test_persons_by_context_and_coreference(spark):
+    texts = {
+        1: "Anna Müller met Bob Stone and Wei Chen. Later Anna left; Ms Müller stayed with Stone.",
+        2: "Dear all, my name is Ricarda Huch. Kind regards,\nRicarda",
+        3: "Herr Müller und Frau Dr. Weiß sahen New York.",
+        4: "Call 030 1234567 or 0171-5550199, room 0123, on 01/02/2024.",
+        5: "Stone walls and a chen.",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    out = {r.doc_id: r for r in P.replace_personal_data(docs, KEY).collect()}
+    a = out[1].text.replace(".", "").replace(";", "").split()
+    assert [out[k].n_name for k in (1, 2, 3, 5)] == [6, 2, 2, 0] and out[5].text == texts[5]
+    given, family = a[0], a[1]
+    assert given in P.NAMES["female", "latin"] and a[9] == given and a[12] == family and a[15] == a[4] != "Stone"
+    assert not {"Anna", "Müller", "Bob", "Stone", "Wei", "Chen"} & set(a) and len({family, a[4], a[7]}) == 3
+    assert out[3].text.split()[1] == family and out[3].text.endswith("sahen New York.") and "Weiß" not in out[3].text
+    assert out[2].text.split()[5] == out[2].text.split("\n")[1] != "Ricarda"
+    assert out[4].n_phone == 2 and out[4].text.endswith(", room 0123, on 01/02/2024.") and out[4].text[5:16].replace(" ", "").isdigit()
+
+
+def test_detection_against_plain_rules():
+    """Emails and names by separate plain searches over random texts."""
+    rnd = random.Random(6)
+    words = ["a.b@cd.org", "x@y", "Anna", "Anna Smith", "plain", "@", "me@host.co.uk", "123-45-6789", "Paul", "q@w.e@r.ty", "+49 30 123456", "Über", "..", "%"]
+    for _ in range(300):
+        text = "".join(rnd.choice(words) + rnd.choice(["", " ", ",", "\n"]) for _ in range(rnd.randrange(12)))
+        got = dict(P.mentions(pa.array([text]))).get(0, [])
+        spans = [(a, b) for _, a, b, _ in got]
+        assert all(text[a:b] == t for _, a, b, t in got) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        inside = lambda m: any(a < m.end() and m.start() < b for a, b in spans)
+        assert all(inside(m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", text))
+        assert all(inside(m) for m in re.finditer(r"\b(?:Anna|Paul)\b", text))
+
+
+def test_long_runs_are_read_once():
+    n = 1_000_000
+    texts = ["1234 " + "a" * n, "x@" + "a." * (n // 2), "a" * n + "@b.org", "Anna " * (n // 5), "1" * n, "Mr " * (n // 3), "a@b.cc" * (n // 6)]
+    began = time.perf_counter()
+    got = dict(P.mentions(pa.array(texts)))
+    assert time.perf_counter() - began < 30
+    assert [(k, b - a) for k, a, b, _ in got[2]] == [("email", n + 6)] and len(got[3]) == n // 10
+
+
 def test_driver_table_keeps_no_entity(spark, sf_dir):
     from zymolith.llm.queries import op8_surrogates
 

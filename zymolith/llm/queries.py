@@ -59,7 +59,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(_table(spark, sf_dir, "documents"))
+    """The key comes from the session; without one, for invented tables only, a public value."""
+    key = spark.conf.get("spark.zymolith.surrogates.key", "no secret")
+    return replace_personal_data(_table(spark, sf_dir, "documents"), key.encode())
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

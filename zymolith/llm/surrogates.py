@@ -4,7 +4,14 @@ Detected entities (emails, IPv4 addresses, IBANs, social security numbers,
 phone numbers, card numbers, person names) are replaced in whole texts.  A
 surrogate keeps the format: digits stay digits, letters stay letters of the same
 script and case, separators stay; card numbers keep whether they pass the Luhn
-test; given names are exchanged within their gender and script.
+test; listed given names are exchanged within their gender and script.
+
+Persons are found by listed given names, by what stands before them (titles,
+introductions, closings of letters) and by what joins them to a person that was
+found (``Anna Stone met Bob Reed and Wei Chen``).  A name is two kinds of entity,
+given names and family names, each with its own surrogates; where a document
+names a person, the given or family name alone is the same entity there and
+everywhere: ``Ms Stone`` follows ``Anna Stone``.
 
 Replacement is a keyed permutation of each format's values (a Feistel network
 over the digits or letters of a run, walked in cycles where a property must be
@@ -12,13 +19,14 @@ kept), so one entity has one surrogate in every document and two entities never
 share one.  What a permutation cannot rule out is that a surrogate is another
 entity of the corpus.  That is checked over all entities: such a surrogate is
 drawn again under another tweak until it is neither an entity nor taken.  Where
-a format has too few values for that, as a given name alone has once half of its
+a format has too few values for that, as listed given names have once half of their
 group's names are entities, all of its entities share one permutation that leaves
 none as it is: surrogates are distinct, but may be other entities of that format.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -46,18 +54,36 @@ KINDS = ("email", "ip", "iban", "ssn", "phone", "card", "name")
 
 _GROUP = {name: key for key, names in NAMES.items() for name in names}
 _ALPHABET = {c: k for k, letters in enumerate(ALPHABETS) for c in letters}
+_AT = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _RULES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # from the start of a run of its letters, so that a long run is read once
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+" + _AT,
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\w./+-])0\d{2,4}[ /-]\d{5,8}(?![\d./-]?\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 _PLAIN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _RULES.items()))
+#: An email that begins where another match ends.
+_HERE = re.compile(r"(?P<email>[A-Za-z0-9._%+-]{1,64}" + _AT + ")")
 _FULL = re.compile(_PLAIN.pattern + "|(?P<name>\\b(?:" + "|".join(sorted(_GROUP, key=len, reverse=True)) + r")\b(?: [A-ZÀ-ÞА-Я][a-zß-ÿа-я]+)?)")
 
 
+# What stands before a person's name.
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Señor Señora Monsieur Madame Mme".split()
+INTRODUCTIONS = ("my name is", "mein Name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "меня зовут", "yours sincerely,", "kind regards,", "best regards,")
+JOINS = "and und y et и met with".split()
+
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_CAP = rf"[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)*"
+_TITLE = rf"(?:{'|'.join(TITLES)})\b"
+_INTRO = "(?i:" + "|".join(re.escape(x).replace("\\ ", r"\s") for x in INTRODUCTIONS) + ")"
+_CONTEXT = re.compile(rf"(?<!\w)(?:{_TITLE}\.?[ \u00a0]){{1,3}}(?!{_TITLE})(?P<titled>{_CAP}(?:[ \u00a0]{_CAP})?)(?!\w)|(?<!\w){_INTRO}\s{{1,4}}(?P<intro>{_CAP}(?:[ \u00a0]{_CAP})?)(?!\w)")
+_JOINED = re.compile(rf",? (?:{'|'.join(JOINS)}) (?P<name>{_CAP} {_CAP})(?!\w)")
+_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
+
+
 @lru_cache(1 << 16)
 def _permuted(key: bytes, tweak: str, letters: str, run: str) -> str:
     """A keyed permutation of the strings over ``letters`` of the length of ``run``."""
@@ -148,26 +174,84 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return f"{_letters(key, tweak + 'local', name)}@{_letters(key, tweak + 'domain', host)}.{top}"
     if kind == "iban":
         return text[:2] + _letters(key, tweak, text[2:])
-    given, _, family = text.partition(" ")
-    names = NAMES[_GROUP[given]]
-    order = sorted(names, key=lambda n: hashlib.blake2b(f"{tweak}|{n}".encode(), key=key, digest_size=16).digest())
-    new = order[(order.index(given) + 1) % len(order)]
-    return f"{new} {_letters(key, tweak, family)}" if family else new
+    if kind == "name":
+        return "".join(surrogate(k, t, key, attempt) if k else t for k, t in name_parts(kind, text))
+    if kind == "given" and text in _GROUP:
+        names = NAMES[_GROUP[text]]
+        order = sorted(names, key=lambda n: hashlib.blake2b(f"{tweak}|{n}".encode(), key=key, digest_size=16).digest())
+        return order[(order.index(text) + 1) % len(order)]
+    return _letters(key, tweak, text)
+
+
+def name_parts(kind: str, text: str) -> list[tuple[str, str]]:
+    """(kind, text) of the parts of a mention: ``given`` and ``family`` names, and what is between them with an empty kind."""
+    if kind not in ("name", "family"):
+        return [(kind, text)]
+    out = []
+    for k, part in enumerate(re.split(r"([ \u00a0])", text)):
+        out.append(("" if k % 2 else "given" if kind == "name" and k == 0 else "family", part))
+    return out
 
 
 #: Whether a text may hold a name: RE2's word ends are those of ASCII, so wherever the rule's stand, these do; other scripts go without.
 _MAY_NAME = "|".join(rf"\b{n}\b" if n.isascii() else n for n in sorted(_GROUP, key=len, reverse=True))
 
 
+_MAY_CONTEXT = rf"(?:{'|'.join(TITLES)})\.?[ \x{{a0}}]\pL|{_INTRO}"
+
+
+def _matches(rule: re.Pattern, text: str) -> Iterator[tuple[str, int, int, str]]:
+    at = 0
+    while m := (_HERE.match(text, at) if at else None) or rule.search(text, at):
+        yield m.lastgroup, m.start(), m.end(), m[0]
+        at = m.end()
+
+
+def _persons(text: str, found: list[tuple[str, int, int, str]], context: bool) -> list[tuple[str, int, int, str]]:
+    """``found`` with the persons that the context shows, and with later mentions of parts of a name."""
+    taken = sorted((a, b) for _, a, b, _ in found)
+    starts = [a for a, _ in taken]
+
+    def add(kind: str, a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        if k and taken[k - 1][1] > a:
+            return False
+        taken.insert(k, (a, b))
+        starts.insert(k, a)
+        found.append((kind, a, b, text[a:b]))
+        return True
+
+    if context:
+        for m in _CONTEXT.finditer(text):
+            kind = m.lastgroup
+            add("family" if kind == "titled" and len(re.split(r"[ \u00a0]", m[kind])) == 1 else "name", *m.span(kind))
+    for kind, _, end, mention in list(found):
+        while kind == "name" and len(mention.split()) > 1 and (m := _JOINED.match(text, end)) and add("name", *m.span("name")):
+            end, mention = m.end(), m["name"]
+    known = {}
+    for kind, _, _, mention in found:
+        parts = [x for x in name_parts(kind, mention) if x[0] in ("given", "family")] if kind in ("name", "family") else []
+        if len(parts) > 1 or kind == "family":
+            known |= {t: k for k, t in parts if k == "given" and t not in known or k == "family"}
+    if known:
+        for m in _WORD.finditer(text):
+            if m[0] in known:
+                add("name" if known[m[0]] == "given" else "family", *m.span())
+    return sorted(found, key=lambda x: x[1])
+
+
 def mentions(texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, str]]]]:
-    """(row, [(kind, start, end, text)]) of the texts that mention an entity."""
+    """(row, [(kind, start, end, text)]) of the texts that mention an entity; a ``family`` is a family name alone."""
     data, doc = string_bytes(texts)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58), dtype=np.int64)])
     at = np.concatenate([[0], np.cumsum(data == 0x40, dtype=np.int64)])
     plain = (digits[doc[1:]] - digits[doc[:-1]] >= 4) | (at[doc[1:]] > at[doc[:-1]])
-    named = pc.fill_null(pc.match_substring_regex(texts, _MAY_NAME), False).to_numpy(zero_copy_only=False)
-    for d in np.flatnonzero(plain | named).tolist():
-        found = [(m.lastgroup, m.start(), m.end(), m[0]) for m in (_FULL if named[d] else _PLAIN).finditer(texts[d].as_py())]
+    named, context = (pc.fill_null(pc.match_substring_regex(texts, rule), False).to_numpy(zero_copy_only=False) for rule in (_MAY_NAME, _MAY_CONTEXT))
+    for d in np.flatnonzero(plain | named | context).tolist():
+        text = texts[d].as_py()
+        found = list(_matches(_FULL if named[d] else _PLAIN, text)) if plain[d] or named[d] else []
+        if named[d] or context[d]:
+            found = _persons(text, found, context[d])
         if found:
             yield d, found
 
@@ -176,16 +260,16 @@ def shape(kind: str, norm: str) -> str:
     """The format of an entity: all permutations map the entities of one format onto that format."""
     if kind == "ip":
         return ""
-    given, _, rest = norm.partition(" ") if kind == "name" else ("", "", norm)
-    group = " ".join(_GROUP[given]) + " " if given else ""
-    return group + "".join(c if k is None else f"<{k}{'^' * (c != low)}>" for c in rest for low in [c.lower()] for k in [_ALPHABET.get(low)])
+    if kind == "given" and norm in _GROUP:
+        return " ".join(_GROUP[norm])
+    return "".join(c if k is None else f"<{k}{'^' * (c != low)}>" for c in norm for low in [c.lower()] for k in [_ALPHABET.get(low)])
 
 
 def _crowded_names(entities: DataFrame) -> list[str]:
-    """The given names that stand alone and whose group has no name left for each of them: a list no longer than NAMES."""
-    alone = [r["norm"] for r in entities.where((F.col("kind") == "name") & ~F.col("norm").contains(" ")).select("norm").distinct().collect()]
-    groups = [_GROUP[n] for n in alone]
-    return [n for n, g in zip(alone, groups, strict=True) if 2 * groups.count(g) > len(NAMES[g])]
+    """The listed given names whose group has no name left for each of them: a list no longer than NAMES."""
+    listed = [r["norm"] for r in entities.where((F.col("kind") == "given") & F.col("norm").isin(*_GROUP)).select("norm").distinct().collect()]
+    groups = [_GROUP[n] for n in listed]
+    return [n for n, g in zip(listed, groups, strict=True) if 2 * groups.count(g) > len(NAMES[g])]
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
@@ -232,7 +316,7 @@ def entity_attempts(entities: DataFrame, key: bytes, most: int = 30) -> DataFram
 
     real = entities.select("kind", F.col("norm").alias("surrogate"))
     crowded = _crowded_names(entities)
-    settled, pending, out = None, entities.where(~((F.col("kind") == "name") & F.col("norm").isin(crowded))) if crowded else entities, None
+    settled, pending, out = None, entities.where(~((F.col("kind") == "given") & F.col("norm").isin(crowded))) if crowded else entities, None
     attempt = 0
     while True:
         taken = real if settled is None else real.unionByName(settled)
@@ -257,10 +341,11 @@ def entity_attempts(entities: DataFrame, key: bytes, most: int = 30) -> DataFram
     return spark.createDataFrame([], "kind string, norm string, attempt int") if out is None else out
 
 
-def replace_personal_data(docs: DataFrame, key: bytes = b"zymolith surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_iban, n_ssn, n_phone, n_card, n_name, text), one row per row of ``docs``.
 
     ``text`` is the whole text with every mention replaced; ``n_*`` count mentions.
+    ``key`` is the secret that makes surrogates irreversible: who has it can undo them.
     Null text stays null-free: it becomes empty.  Null or repeated ids are carried
     as they are; equal texts get equal results.  Other columns are ignored; an
     empty table gives an empty result.
@@ -270,8 +355,10 @@ def replace_personal_data(docs: DataFrame, key: bytes = b"zymolith surrogates",
     def collect(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         seen = {}
         for _, items in mentions(rows.column(1)):
-            for kind, _, _, text in items:
-                seen.setdefault((kind, normal(kind, text)), text)
+            for kind, _, _, mention in items:
+                for k, text in name_parts(kind, mention):
+                    if k:
+                        seen.setdefault((k, normal(k, text)), text)
         if seen:
             kinds, norms = zip(*seen, strict=True)
             new = [normal(k, surrogate(k, t, key)) for (k, _), t in seen.items()]
@@ -303,8 +390,9 @@ def _replaced(rows: pa.RecordBatch, attempts: dict, key: bytes) -> pa.RecordBatc
     for d, items in mentions(rows.column(1)):
         out, at, text = [], 0, texts[d]
         for kind, start, end, mention in items:
-            counts[KINDS.index(kind), d] += 1
-            out += [text[at:start], surrogate(kind, mention, key, attempts.get((kind, normal(kind, mention)), 0))]
+            counts[KINDS.index("name" if kind == "family" else kind), d] += 1
+            out.append(text[at:start])
+            out += [surrogate(k, t, key, attempts.get((k, normal(k, t)), 0)) if k else t for k, t in name_parts(kind, mention)]
             at = end
         texts[d] = "".join([*out, text[at:]])
     return pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, counts), pa.array(texts, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "text"])
