@@ -146,3 +146,25 @@ def recall_of(words, docs):
 def test_recall_of_long_items_with_all_allowed_edits():
     assert recall_of(250, 40) >= 0.95
     assert recall_of(400, 40) >= 0.95
+
+
+def test_recall_of_every_size_and_kind_of_edits():
+    """Random edits, and substitutions at even distances, as many as are allowed."""
+    rng = np.random.default_rng(4)
+    for size in (5, 20, 80, 160, 400):
+        words = [f"w{rng.integers(10**9)}" for _ in range(size)]
+        index = D.build_index([1], [" ".join(words)])
+        texts = []
+        for k in range(40):
+            w = list(words)
+            if k % 2:
+                for at in np.unique(np.linspace(0, size - 1, size // 5).round().astype(int)):
+                    w[at] = f"x{rng.integers(10**9)}"
+            else:
+                for _ in range(size // 5):
+                    at, what = int(rng.integers(len(w))), int(rng.integers(3))
+                    w[at : at + (what > 0)] = [f"x{rng.integers(10**9)}"] * (what < 2)
+            around = [" ".join(f"q{rng.integers(10**9)}" for _ in range(30)) for _ in range(2)]
+            texts.append(" ".join([around[0], *w, around[1]]))
+        found = {d for d, *_ in D.find_items(index, pa.array(texts))}
+        assert len(found) >= 0.95 * len(texts), size

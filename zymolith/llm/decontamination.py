@@ -13,8 +13,9 @@ and digits).  A text holds an item if some run of its words is within
    becomes a Hamming distance.
 3. Bit-sampling LSH.  Each table has its own walk and compares a few sampled
    steps; a window meets the items of its size that agree in some table.  Each
-   size has its own number of tables: as many as items of that size with as many
-   random edits as are allowed need to meet themselves at the target recall.
+   size has its own number of tables: as many as items of that size need to meet
+   themselves at the target recall, half of them with as many random edits as are
+   allowed, half with as many substitutions at even distances.
 4. Items met are verified by exact edit distance with free ends in the text.
 
 The items are broadcast in blocks of at most ITEM_BYTES of text each; a larger
@@ -158,6 +159,13 @@ def _spoilt(rng: np.random.Generator, words: np.ndarray, edits: int) -> list:
     return out
 
 
+def _spread(rng: np.random.Generator, words: np.ndarray, edits: int) -> list:
+    """Substitutions at even distances: the edits that leave the shortest runs unchanged."""
+    out = words.copy()
+    out[np.unique(np.linspace(0, len(words) - 1, edits).round().astype(int)) if edits else []] = rng.integers(1, 2**63, edits, dtype=U64)
+    return list(out)
+
+
 def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
     return np.array((_spoilt(rng, words, edits) + [U64(0)] * len(words))[: len(words)], U64)
 
@@ -194,7 +202,7 @@ def build_index(ids: list, texts: list[str], edit_share: float = EDIT_SHARE, rec
         tries = [words[members[k % len(members)]] for k in range(PAIRS)]
         more = index.edits[members[0]]
         around = lambda: rng.integers(1, 2**63, more).tolist()
-        texts = [np.array([*around(), *_spoilt(rng, x, more), *around()], U64) for x in tries]
+        texts = [np.array([*around(), *(_spread if k % 2 else _spoilt)(rng, x, more), *around()], U64) for k, x in enumerate(tries)]
         ends = np.cumsum([0, *map(len, texts)])
         text = np.concatenate(texts)
         at, start, own = _windows(index, text, ends)
