@@ -23,24 +23,28 @@ def components(edges: DataFrame) -> DataFrame:
     the least node around it, until the edges are stars.  Rounds grow with the
     logarithm of the longest path.  Least neighbours are aggregated before the
     shuffle and joined back, so a node with very many neighbours is no hot group.
-    Every round is written to the shared folder; with more than SMALL_EDGES edges
-    its steps are too, so that adaptive execution can split the joins' hot keys.
+    Every round is written to the shared folder.  The least neighbours of up to
+    SMALL_EDGES edges are broadcast, so no node's edges meet in one task; of more
+    edges the steps are written too, so that adaptive execution splits hot keys.
     """
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         return written(df, name) if digest[0] > SMALL_EDGES else df
 
+    def at_hand(least: DataFrame) -> DataFrame:
+        return least if digest[0] > SMALL_EDGES else F.broadcast(least)
+
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     digest = _digest(now)
     while digest[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # larger neighbours of u go to the least node around u
-        large = now.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        large = now.select(F.col("u").alias("x"), F.col("v").alias("u")).join(at_hand(least), "u").select(F.col("x").alias("u"), F.col("m").alias("v"))
         large = kept(large.distinct(), "edges")
         least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         # smaller neighbours of u, and u, go to the least of them
-        small = large.join(least, "u")
+        small = large.join(at_hand(least), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "edges")
         was, digest = digest, _digest(now)

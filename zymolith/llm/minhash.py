@@ -17,8 +17,8 @@ Links.  Texts with equal multisets are one node.  Bands of registers bring nodes
 into buckets; buckets with the same members count once.  A bucket is searched
 breadth-first: a node is compared with the nodes that no link has reached yet,
 so copies of one text cost one comparison each and links are emitted as a
-spanning forest, never as all pairs.  A bucket of more than BLOCK_SHINGLES is cut
-into blocks.  Each block is searched by itself and with the bucket's hub, which
+spanning forest, never as all pairs.  A bucket of more than BLOCK_SHINGLES, or of
+more than BLOCK_ROWS texts, is cut into blocks.  Each block is searched by itself and with the bucket's hub, which
 joins the blocks' main parts; then the nodes outside the bucket's main component
 are compared with the whole bucket, block by block.  Of two nodes that meet in a
 bucket either both are in its main component or one has been compared with the
@@ -43,6 +43,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 BLOCK_SHINGLES = 100_000
+#: Texts of a block, so that a block of short texts is no larger task than others.
+BLOCK_ROWS = 256
 BROADCAST_ROWS = 1 << 18
 _BLOCK = 1 << 20
 #: A process is followed until a register stays empty with probability exp(-_SLACK) a text.
@@ -249,11 +251,12 @@ def near_links(sigs: DataFrame, docs: DataFrame, similarity: float, id_col: str,
     prints = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in (1, 2)]
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("hub"), *prints).where("n > 1")
     buckets = buckets.groupBy("n", "p1", "p2").agg(F.min("key").alias("key"), F.max("total").alias("total"), F.min("hub").alias("hub"))
-    cut = F.ceil(F.col("total") / F.lit(block_shingles)).cast("int").alias("cut")
+    enough = lambda shingles, texts: F.ceil(F.greatest(shingles / F.lit(block_shingles), texts / F.lit(BLOCK_ROWS))).cast("int")
+    cut = enough(F.col("total"), F.col("n")).alias("cut")
     buckets = buckets.select("key", "hub", cut)
     block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int").alias("block")
     members = written(rows.join(buckets, "key").select("key", "node", "id", "size", "hub", "cut", block), "members")
-    text = _texts(docs, members, id_col, text_col)
+    text = written(_texts(docs, members, id_col, text_col), "bucket-texts")
 
     # each block by itself, and the bucket's hub with every block
     alone = members.select("key", "block", "node")
@@ -268,7 +271,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, similarity: float, id_col: str,
     large = written(large.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "large")
     main = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rest = large.join(main, "key").where(F.col("component") != F.col("main"))
-    parts = rest.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).cast("int").alias("parts"))
+    parts = rest.groupBy("key").agg(enough(F.sum("size"), F.count(F.lit(1))).alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("parts")).cast("int").alias("part")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = large.join(parts, "key").select("key", "block", every("parts").alias("part"), "node", "component", F.lit(False).alias("query"))
