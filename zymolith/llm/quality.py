@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .linear_terms import held_out, labelled_sample
 from .shared import empty_text, small_side, written
-from .text import blocks, string_bytes, words_of
+from .text import U64, blocks, string_bytes, words_of
 
 #: At most so many labelled rows are learnt from.
 SAMPLE_ROWS = 8_000
@@ -48,8 +48,9 @@ def shapes(texts: pa.Array) -> np.ndarray:
     space = data <= 32
     symbol = ~(upper | digit | lower | stop | space)
     owner = w.owner()
-    pairs = np.unique(np.stack([owner.astype(np.uint64), w.hash], 1), axis=0) if len(owner) else np.zeros((0, 2), np.uint64)
-    distinct = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(chars)) / n
+    # a block has fewer than 2**20 texts; 44 bits tell the words of one text apart
+    pairs = np.unique((owner.astype(U64) << U64(44)) | (w.hash >> U64(20)))
+    distinct = np.bincount((pairs >> U64(44)).astype(np.int64), minlength=len(chars)) / n
     again = np.zeros(len(w.hash), bool)
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (owner[1:] == owner[:-1])
     size = (w.end - w.start).astype(float)
