@@ -115,6 +115,64 @@ class OneVsRest:
         return out
 
 
+#: Label sets that one model may tell apart.
+MOST_SETS = 512
+
+
+@dataclass
+class SharedModel:
+    """One model for all labels: trees or hidden layers are shared, as in a multi-output model.
+
+    It learns label sets as classes of one multi-class model; a label's score is the
+    chance of all sets that have it, so a leaf of a tree scores each label with its
+    share of the leaf's rows.  A class may also be scored by itself with other labels
+    learnt along (fit on all classes, predict one).
+    """
+
+    learner: str
+    params: Mapping[str, object] = field(default_factory=dict)
+    balanced: bool = False
+    sets: list[tuple[str, ...]] = field(default_factory=list)
+    model: Model | None = None
+
+    def fit(self, rows: DataFrame, classes: Sequence[str]) -> SharedModel:
+        """``rows``: (id, features, labels); labels outside ``classes`` are ignored.
+
+        ``balanced`` weighs each set by its inverse frequency; the perceptron takes no
+        weights and refuses it.  ``layers`` of a perceptron leave out the last layer,
+        whose size is the number of sets.
+        """
+        if self.balanced and self.learner == "perceptron":
+            raise ValueError("a perceptron has no balanced weights")
+        if self.learner == "boosted_trees":
+            raise ValueError("boosted trees tell two classes apart; use OneVsRest")
+        known = F.array_sort(F.array_distinct(F.array_intersect("labels", F.array(*[F.lit(c) for c in classes]))))
+        keyed = rows.select("id", "features", known.alias("_set"))
+        counts = {tuple(r["_set"]): r["count"] for r in keyed.groupBy("_set").count().limit(MOST_SETS + 1).collect()}
+        if len(counts) > MOST_SETS:
+            raise ValueError(f"more than {MOST_SETS} label sets")
+        self.sets, n = sorted(counts), sum(counts.values())
+        if len(self.sets) < 2:
+            return self
+        table = rows.sparkSession.createDataFrame([(list(s), float(k), n / (len(counts) * counts[s]) if self.balanced else 1.0) for k, s in enumerate(self.sets)], "_set array<string>, label double, weight double")
+        params = dict(self.params)
+        if self.learner == "perceptron":
+            params["layers"] = [*params["layers"], len(self.sets)]
+        self.model = LEARNERS[self.learner](**params).fit(keyed.join(F.broadcast(table), "_set"))  # at most MOST_SETS rows
+        return self
+
+    def predict(self, rows: DataFrame, classes: Sequence[str]) -> DataFrame:
+        """(id, class, score), long; classes that no learnt set has score 0, and those of the only set 1."""
+        if self.model is None:
+            own = self.sets[0] if self.sets else ()
+            scores = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(float(c in own)).alias("score")) for c in classes])
+            return rows.select("id", F.explode(scores).alias("x")).select("id", "x.class", "x.score")
+        out = self.model.transform(rows.select("id", "features")).select("id", vector_to_array("probability").alias("_p"))
+        total = lambda c: sum((F.col("_p")[k] for k, s in enumerate(self.sets) if c in s), F.lit(0.0))
+        scores = F.array(*[F.struct(F.lit(c).alias("class"), total(c).alias("score")) for c in classes])
+        return out.select("id", F.explode(scores).alias("x")).select("id", "x.class", "x.score")
+
+
 def gathered_folds(spark: SparkSession, paths: Sequence[str]) -> list[OneVsRest]:
     """The saved models of several folds, for one ensemble."""
     return [OneVsRest.load(spark, p) for p in paths]
@@ -169,6 +227,82 @@ def random_search(space: Mapping[str, Sequence], trials: int, loss: Callable[[di
     return best[1], best[0]
 
 
+def bayesian_search(space: Mapping[str, Sequence], trials: int, loss: Callable[[dict], float], start: dict | None = None, seed: int = 42) -> tuple[dict, float]:
+    """The parameters with the least loss: the given start first, then what promises the most improvement.
+
+    A Gaussian process over the space (places in the lists of values, scaled to [0, 1];
+    values that are no numbers count by equality) predicts the loss of every
+    combination not tried; the next trial is the one with the greatest expected
+    improvement.  Two random trials come before.  The space is a small grid by nature.
+    """
+    import itertools
+    import math
+    import random
+
+    import numpy as np
+
+    rnd, names = random.Random(seed), sorted(space)
+    grid = [dict(zip(names, v, strict=True)) for v in itertools.product(*[list(space[k]) for k in names])]
+
+    def place(p: Mapping) -> list[float]:
+        out = []
+        for k in names:
+            values = list(space[k])
+            if all(isinstance(v, int | float) and not isinstance(v, bool) for v in values):
+                out.append(sum(v < p[k] for v in values) / max(len(values) - 1, 1))
+            else:
+                out += [float(v == p[k]) for v in values]
+        return out
+
+    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(2) / (2 * 0.3**2))
+
+    tried: list[tuple[float, dict]] = []
+    for t in range(trials):
+        left = [g for g in grid if all(g != {k: p[k] for k in names if k in p} for _, p in tried)]
+        if t == 0 and start:
+            params = dict(start)
+        elif not left:
+            break
+        elif len(tried) < 3 or any(k not in tried[0][1] for k in names):
+            params = rnd.choice(left)
+        else:
+            x, y = np.array([place(p) for _, p in tried]), np.array([v for v, _ in tried])
+            scale = y.std() or 1.0
+            inverse = np.linalg.inv(kernel(x, x) + 1e-4 * np.eye(len(x)))
+            cross = kernel(np.array([place(g) for g in left]), x)
+            mean = y.mean() + cross @ inverse @ (y - y.mean())
+            sd = scale * np.sqrt(np.maximum(1 - (cross @ inverse * cross).sum(1), 1e-12))
+            z = (y.min() - mean) / sd
+            gain = sd * (z * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+            params = left[int(np.argmax(gain))]
+        tried.append((loss(params), params))
+    if not tried:
+        raise ValueError("no trials")
+    value, best = min(tried, key=lambda x: x[0])
+    return best, value
+
+
+def keep_params(path: str, params: Mapping[str, object], loss: float) -> bool:
+    """Writes (params, loss) as one JSON line unless the file there has a loss as good; whether it wrote."""
+    import json
+
+    spark = SparkSession.active()
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files) and json.loads(kept_params(path)[1])["loss"] <= loss:
+        return False
+    _write_text(path, json.dumps({"params": dict(params), "loss": loss}))
+    return True
+
+
+def kept_params(path: str) -> tuple[dict, str]:
+    """(parameters, the whole line) of a file of ``keep_params``."""
+    import json
+
+    line = "".join(r["value"] for r in SparkSession.active().read.text(path).collect())
+    return json.loads(line)["params"], line
+
+
 def latest_params(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, params) of the newest run."""
     return registry.groupBy(*keys).agg(F.max_by("params", "ts").alias("params"))

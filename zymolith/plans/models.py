@@ -68,7 +68,31 @@ def l6(spark, d):
     return L.OneVsRest("random_forest").predict(examples(spark, d), ["x", "y"])
 
 
-@query("l7_random_search")
+@query("l1_shared_forest")
+def l1s(spark, d):
+    """One forest over all labels."""
+    rows = examples(spark, d)
+    model = L.SharedModel("random_forest", {"numTrees": 10, "maxDepth": 4, "seed": 1}, balanced=True).fit(rows.where("id % 5 <> 0"), CLASSES)
+    return rounded(model.predict(rows.where("id % 5 = 0"), [*CLASSES, "absent"]), "score")
+
+
+@query("l4_shared_perceptron")
+def l4s(spark, d):
+    """One network with an output for each label set."""
+    rows = examples(spark, d)
+    model = L.SharedModel("perceptron", {"layers": [64, 8], "maxIter": 20, "seed": 1}).fit(rows.where("id % 5 <> 0"), CLASSES)
+    return rounded(model.predict(rows.where("id % 5 = 0"), [*CLASSES, "absent"]), "score")
+
+
+@query("l23_one_of_all")
+def l23(spark, d):
+    """A class scored by a model that has learnt all labels along with it."""
+    rows = examples(spark, d)
+    model = L.SharedModel("logistic_regression", {"regParam": 0.01, "maxIter": 30}).fit(rows.where("id % 5 <> 0"), CLASSES)
+    return rounded(model.predict(rows.where("id % 5 = 0"), ["c1"]), "score")
+
+
+@query("l7_bayesian_search")
 def l7(spark, d):
     rows = examples(spark, d).cache()
     train, test = rows.where("id % 5 > 1"), rows.where("id % 5 = 0")
@@ -78,7 +102,7 @@ def l7(spark, d):
         preds = scores.join(test.select("id", F.array_contains("labels", "c0").cast("int").alias("label")), "id")
         return 1 - M.average_precision(M.counts_curve(preds, ["class"]), ["class"]).first()["ap"]
 
-    best, value = L.random_search({"regParam": [0.001, 0.01, 0.1], "maxIter": [5, 10]}, 3, loss, {"regParam": 0.01, "maxIter": 10})
+    best, value = L.bayesian_search({"regParam": [0.001, 0.01, 0.1], "maxIter": [5, 10]}, 3, loss, {"regParam": 0.01, "maxIter": 10})
     rows.unpersist()
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(best.items())] + [("loss", float(value))], "name string, value double")
 

@@ -15,7 +15,7 @@ from ..operators import folds as D
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import relations as R
-from ..operators.learning import OneVsRest, random_search
+from ..operators.learning import OneVsRest, bayesian_search
 from ..sources.text_formats import read_fasta
 from ..streaming.screening import Scorer, hits, scored
 
@@ -129,7 +129,7 @@ def tuned(rows: DataFrame, classes: Sequence[str], learner: str, space: Mapping[
         return 1.0 if value is None else value
 
     try:
-        return random_search(space, trials, loss, start, seed)
+        return bayesian_search(space, trials, loss, start, seed)
     finally:
         held.unpersist()
 
