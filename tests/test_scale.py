@@ -146,3 +146,14 @@ def test_nearest_regions_and_longest_unmapped(spark):
         elif (1, r) in every:
             run.append(r)
     assert sorted(x[1] for x in left.collect()) == best
+
+
+def test_matrix_pairs_equal_the_formula(spark):
+    rnd = random.Random(8)
+    rows = [(k, [rnd.uniform(-1, 1) for _ in range(5)]) for k in range(40)] + [(99, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    for measure, formula in (("euclidean", P.euclidean()), ("cosine", P.cosine())):
+        want = {(r.i, r.j): round(r.d, 9) for r in P.triangle(v.where("id < 99"), "embedding").select("i", "j", formula.alias("d")).collect()}
+        got = [(r.i, r.j, round(r.d, 9)) for r in P.vector_pairs(v, measure, blocks=3).collect()]
+        assert len(got) == len(want) == 780 and {(i, j): d for i, j, d in got} == want
+    assert P.vector_pairs(v.limit(0), "cosine").count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.running import at_least_one, running_sums
+from ..functions.scratch import written
 
 NAN = float("nan")
 
@@ -87,15 +88,23 @@ def best_threshold(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def average_precision(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, ap): the sum of precision times the step in recall, over distinct scores."""
-    return counts.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("pp") / F.col("P")).alias("ap"))
+    return counts.groupBy(*keys).agg(_ap())
 
 
-def roc_auc(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, auc): the share of (positive, negative) pairs in order; ties count one half."""
+def _ap() -> Column:
+    return F.sum(F.col("pos") * F.col("tp") / F.col("pp") / F.col("P")).alias("ap")
+
+
+def _auc() -> Column:
     neg = F.col("n") - F.col("pos")
     above = F.col("tp") - F.col("pos")
     pairs = F.sum(neg.cast("double") * above + 0.5 * neg * F.col("pos"))
-    return counts.groupBy(*keys).agg((pairs / (F.first("P").cast("double") * (F.first("T") - F.first("P")))).alias("auc"))
+    return (pairs / (F.first("P").cast("double") * (F.first("T") - F.first("P")))).alias("auc")
+
+
+def roc_auc(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, auc): the share of (positive, negative) pairs in order; ties count one half."""
+    return counts.groupBy(*keys).agg(_auc())
 
 
 def pr_curve(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -167,12 +176,12 @@ def scores_by_category(preds: DataFrame, keys: Sequence[str], least: int = 3, bi
 def scores_of(points: DataFrame, keys: Sequence[str], least: int = 3, bins: int = 100) -> DataFrame:
     """The same for counted predictions, one row a threshold."""
     keys = list(keys)
-    groups = points.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("n").alias("t")).where((F.col("p") >= least) & (F.col("p") < F.col("t")))
-    counts = curve_of(points.join(groups.select(*keys), keys, "left_semi"), keys)
+    # the curve is read three times: written, it is made once
+    counts = written(curve_of(points, keys).where((F.col("P") >= least) & (F.col("P") < F.col("T"))), "curve")
     p, t, pp, tp = (F.col(x).cast("double") for x in ("P", "T", "pp", "tp"))
     mcc = ((t - p) * tp - p * (pp - tp)) / at_least_one(F.sqrt(p * (t - p) * pp * (t - pp)))
     curve = counts.select(*keys, "threshold", ((mcc + 1) / 2).alias("mcc"), (2 * tp / (pp + p)).alias("f1"))
-    return average_precision(counts, keys).join(roc_auc(counts, keys), keys).join(mcc_f1_summary(curve, keys, bins), keys)
+    return counts.groupBy(*keys).agg(_ap(), _auc()).join(mcc_f1_summary(curve, keys, bins), keys)
 
 
 def mean_and_sd(values: DataFrame, keys: Sequence[str], folds: int, value: str = "value") -> DataFrame:

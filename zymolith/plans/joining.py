@@ -114,7 +114,7 @@ def _vec(spark, d):
 
 @query("j11_pair_triangle", f"WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id")
 def j11(spark, d):
-    return P.triangle(_vec(spark, d), "embedding").select("i", "j", r6(P.cosine()).alias("score"))
+    return rounded(P.vector_pairs(_vec(spark, d), "cosine", value="score"), "score")
 
 
 @query(
