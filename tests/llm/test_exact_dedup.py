@@ -88,6 +88,5 @@ def test_links_decide(spark):
     index = E.Index(frame(spark, rows), "doc_id", "text", 2, None)
     assert index.cells.select("bucket").distinct().count() > 4
     assert [(r.link, r[E._KEEP], r[E._N]) for r in index.links.collect()] == [(1, 29, 20)]
-    moved = index.cells.withColumn("bucket", F.lit(-1))
-    index.cells = moved
+    index.near = index.cells.select("cell", F.lit(-1).cast("long").alias("bucket"))
     assert {r[E._N] for r in index.linked(index.rows).collect()} == {1}

@@ -84,6 +84,7 @@ class Index:
         company = entries.where("n > 1").select(_H)
         suspects = rows.join(small_side(company, BROADCAST_ROWS), _H, "left_semi")
         texts = suspects.groupBy(_H, "__zy_text").agg(F.count(F.lit(1)).alias(_N), F.max(_ID).alias(_KEEP))
+        self.near = small_side(self.cells.select("cell", "bucket"), BROADCAST_ROWS)
         texts = texts.select(_H, F.unhex(F.sha2("__zy_text", 256)).alias(_SHA), _N, _KEEP)
         owned = self.owned(texts).repartition("bucket")
         chain = Window.partitionBy("bucket", _H).orderBy(_SHA)
@@ -91,16 +92,16 @@ class Index:
         clash = F.raise_error(F.lit("two texts with one SHA-256")).cast("binary")
         owned = owned.withColumn(_SHA, F.when(F.col("before") == F.col(_SHA), clash).otherwise(F.col(_SHA)))
         self.links = written(owned.select("bucket", _H, "link", _SHA, _KEEP, _N).sortWithinPartitions("bucket", _H, "link"), "exact-index")
+        self.answers = small_side(self.links.where(F.col(_N) > 1).drop("link"), BROADCAST_ROWS)
 
     def owned(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the bucket that the directory gives their hash."""
         cell = rows.withColumn("cell", _prefix(self.depth))
-        return cell.join(small_side(self.cells.select("cell", "bucket"), BROADCAST_ROWS), "cell").drop("cell")
+        return cell.join(self.near, "cell").drop("cell")
 
     def linked(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the id that stays and the size of the group, as the links of their buckets say."""
-        links = self.links.where(F.col(_N) > 1).drop("link")
-        out = self.owned(rows).join(small_side(links, BROADCAST_ROWS), ["bucket", _H, _SHA], "left").drop("bucket")
+        out = self.owned(rows).join(self.answers, ["bucket", _H, _SHA], "left").drop("bucket")
         alone = F.col(_N).isNull()
         return out.withColumns({_KEEP: F.when(alone, F.col(_ID)).otherwise(F.col(_KEEP)), _N: F.coalesce(_N, F.lit(1)).cast("long")})
 
