@@ -335,7 +335,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, edit_share: float = ED
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Null or empty texts hold nothing and stay; rows with null or repeated ids are
+    judged each by its text; an empty table on either side changes nothing.
+    """
     at = docs.columns.index(text_col)
     for index in _item_blocks(items, more.get("edit_share", EDIT_SHARE), more.get("recall", TARGET_RECALL), more.get("item_id", "item_id"), more.get("item_text", "text")):
         sent = docs.sparkSession.sparkContext.broadcast(index)
