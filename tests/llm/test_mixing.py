@@ -77,3 +77,20 @@ def test_quality_moves_documents_forward(spark):
 def test_nothing_to_mix(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert [r.taken for r in M.mix_sources(docs).collect()] == [0] * len(rows)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Columns with names of the result or of the work inside are ignored."""
+    long = "w " * 200_000
+    rows = [(1, long, "a"), (2, "x y", "a"), (3, "", "b"), (4, "z " * 500, "b"), (5, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra = plain.selectExpr("*", "'x' as size", "'y' as target", "1 as taken", "2 as k", "3 as turn", "'p' as part", "4 as q", "5 as u")
+    got, want = (sorted(map(tuple, M.mix_sources(d.repartition(2)).collect())) for d in (extra, plain))
+    assert got == want and [r[2] for r in got] == [200_000, 2, 0, 500, 0]
+    check(rows_of(rows), M.mix_sources(extra).collect())
+
+
+def rows_of(rows):
+    from pyspark.sql import Row
+
+    return [Row(doc_id=i, text=t, source=s) for i, t, s in rows]
