@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .linear_terms import hashed_terms, held_out, labelled_sample
 from .shared import empty_text
-from .text import NOT_ALNUM, U64, blocks, words_of
+from .text import NOT_ALNUM, U64, blocks, mix, words_of
 
 BITS = 18
 RANK = 4
@@ -43,6 +43,7 @@ LEAST_ROWS = 4
 #: A pair's z statistic, and how far it must exceed those of its words.
 PAIR_Z, PAIR_MARGIN = 6.0, 2.0
 _BLOCK = 1 << 20
+_CELL_BITS = 24
 
 
 @dataclass
@@ -242,11 +243,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, seen = [], np.zeros(2)
+            if wanted is None:
+                # a first pass counts hashes of pairs, so that only what may be a candidate is kept by name
+                batches, cells = list(batches), [np.zeros(1 << _CELL_BITS, np.uint16) for _ in range(2)]
+                for batch in batches:
+                    label = batch.column(2).to_numpy()
+                    seen += (label.sum(), (1 - label).sum())
+                    for d, k in _near_pairs(batch.column(3), BITS, frequent):
+                        for c in (0, 1):
+                            np.add.at(cells[c], mix(k[label[d] == c]) >> U64(64 - _CELL_BITS), 1)
+                live = (cells[1] >= LEAST_ROWS) | (cells[0] >= max(LEAST_ROWS, 0.05 * seen[1]))
             for batch in batches:
                 label = batch.column(2).to_numpy().astype(float)
-                seen += (label.sum(), (1 - label).sum())
                 for d, k in _near_pairs(batch.column(3), BITS, frequent):
-                    keep = slice(None) if wanted is None else np.isin(k, wanted)
+                    keep = live[mix(k) >> U64(64 - _CELL_BITS)] if wanted is None else np.isin(k, wanted)
                     parts.append(_counted(d[keep], k[keep], label))
             keys, n, p = _summed(parts)
             if wanted is None:
