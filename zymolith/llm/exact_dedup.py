@@ -58,8 +58,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame,
         live = live.withColumn("prefix", _prefix(depth)).join(small_side(overfull, BROADCAST_ROWS), "prefix", "left_semi").drop("prefix")
         depth += 1
     cells = entries.select(_prefix(depth).alias("cell")).distinct()
-    levels = buckets.select("local_depth").distinct()
-    above = cells.crossJoin(F.broadcast(levels)).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {depth} - local_depth)"))
+    # a cell lies in one bucket, of some depth up to that of the directory
+    above = cells.withColumn("local_depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {depth} - local_depth)"))
     bucket = F.expr(f"shiftleft(prefix, {depth} - local_depth)").alias("bucket")
     return written(above.join(buckets, ["local_depth", "prefix"]).select("cell", bucket, "local_depth"), "exact-directory"), depth
 
