@@ -94,3 +94,11 @@ def rows_of(rows):
     from pyspark.sql import Row
 
     return [Row(doc_id=i, text=t, source=s) for i, t, s in rows]
+
+
+def test_thousands_of_sources(spark):
+    """Sources are numbered and levelled in ranges: many of them, most of which are far below or above their share."""
+    rows = [(i, "w " * (1 + i * i % 97 if i % 3 else 2000), f"host-{i % 3000:05d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = check(rows_of(rows), M.mix_sources(docs.repartition(4)).collect())
+    assert len(want) == 3000

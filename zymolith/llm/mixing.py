@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import in_parts, ordinals
 from .shared import empty_text, small_side, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,16 +37,28 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most_epochs: int)
     size stops there, and the excess is shared by weight among the others, until
     none is above.  With caps in the order of cap / weight, the level that the
     others reach is the largest of (total - caps before) / (weights from here).
+
+    Sources are numbered and summed in ranges of their order, so there may be as
+    many as hosts of a crawl; only the level, one number, comes to the driver.
     """
-    place = F.row_number().over(Window.orderBy("k")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))) + 1)
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most_epochs)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "k")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (total - before) / onward)
-    level = F.max("level").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    place = ordinals(written(sizes, "mix-sources"), ["k"], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    rows = place.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most_epochs)
+    rows = in_parts(rows.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "k"])
+    ranges = rows.groupBy("_part").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.sum("source_size").alias("size"))
+    order = Window.orderBy("_part")  # one row a range
+    ranges = ranges.select(
+        "_part",
+        F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("caps_before"),
+        F.coalesce(F.sum("weight").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("weights_after"),
+        F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
+    )
+    within = Window.partitionBy("_part").orderBy("ratio", "k")
+    before = F.coalesce(F.sum("cap").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum("weight").over(within.rowsBetween(0, Window.unboundedFollowing))
+    own = rows.withColumn("before", before).withColumn("onward", onward).join(F.broadcast(ranges), "_part")
+    level = (F.col("total") - F.col("caps_before") - F.col("before")) / (F.col("weights_after") + F.col("onward"))
+    level = F.lit(own.agg(F.max(level)).first()[0]).cast("double")
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("k", "source_size", "target")
 
 
