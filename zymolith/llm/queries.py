@@ -13,9 +13,12 @@ from .mixing import mix_sources
 from .quality import fit_on as fit_quality
 from .quality import score_quality
 from .secrets import find_secrets, secret_digest
+from .sentence_pieces import encode_pieces
 from .substring_dedup import substring_dedup
 from .surrogates import replace_personal_data
 from .toxicity import fit_on, score_toxicity
+from .vector_codes import vector_codes
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +72,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model file of the installed vocabularies is read here and goes to the executors with the job."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return encode_pieces(_table(spark, sf_dir, "documents"), model)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +100,9 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 _WORDS = "w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
@@ -146,6 +169,30 @@ _SUBSTRINGS = f"""WITH {_WORDS},
     FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)"""
 
+
+
+def _lloyd(rounds: int) -> str:
+    far = "list_sum(list_transform(range(1, len(c) + 1), lambda i: (part[i] - c[i]) * (part[i] - c[i])))"
+    near = "SELECT p, part, w, arg_min(e, [far, e]) AS e, min(far) AS far FROM (SELECT d.p, part, w, e, {far} AS far FROM d JOIN b{k} b ON b.p = d.p) GROUP BY ALL"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(far=far, k=k)})")
+        steps.append(f"""s{k} AS (SELECT p, e, j, sum(part[j]::HUGEINT * w) AS s, sum(w)::HUGEINT AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS j FROM a{k}) GROUP BY ALL)""")
+        steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN
+          (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{k} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return ",\n  ".join([*steps, f"a{rounds} AS MATERIALIZED ({near.format(far=far, k=rounds)})"])
+
+
+_CODES = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  pieces AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS part FROM (SELECT *, unnest(range(0, 8)) AS p FROM kept)),
+  d AS MATERIALIZED (SELECT p, part, count(*) AS w FROM pieces GROUP BY ALL),
+  b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS c FROM pieces QUALIFY e < 16),
+  {_lloyd(6)},
+  one AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM pieces JOIN a6 USING (p, part) GROUP BY vec_id, label),
+  book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(range(1, len(c) + 1)) AS j, unnest(c) AS x FROM b6))
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM book) AS codebooks_sha256 FROM one"""
+
 #: DuckDB statements for the queries that SQL expresses, over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _SECRETS,
@@ -156,4 +203,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op9_substring_dedup": _SUBSTRINGS,
+    "op11_vector_codes": _CODES,
 }
