@@ -194,31 +194,6 @@ def test_medoids_and_density():
     assert same(labels[:90]) and labels[90] == -1
 
 
-def test_template_score_of_a_moved_copy():
-    rng = np.random.default_rng(1)
-    a = rng.normal(0, 10, (60, 3))
-    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
-    q *= np.sign(np.linalg.det(q))
-    assert G.template_score(a, a @ q + 5) > 0.999
-    assert G.template_score(a, rng.normal(0, 10, (60, 3))) < 0.5
-    assert G.template_score(a[:2], a[:2]) == float("-inf") and G.template_score(a[:5], a[:5], 100) == float("-inf")
-
-
-def test_region_steps(spark):
-    rows = [("f", "m1", "alpha", 0.4, {x: x for x in range(10)}), ("f", "m2", "beta", 0.7, {x: x for x in range(2, 6)}), ("f", "m3", "beta", 0.7, {x: x for x in range(20, 26)})]
-    reg = spark.createDataFrame(rows, "file string, module_id string, domain string, score double, residues map<int,int>")
-    assert {r.module_id for r in G.detect_domains(reg, G.thresholds(spark)).collect()} == {"m1", "m3"}
-    every = spark.createDataFrame([("f", x) for x in range(40)], "file string, residue int")
-    segs = G.unassigned_segments(every, reg)
-    assert segs.groupBy("segment").count().count() == 2
-    atoms = every.select("file", "residue", F.col("residue").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    near = G.nearest_regions(atoms, segs, G.residues_of(reg).where("module_id <> 'm2'").select("file", "module_id", "residue"))
-    done = {r.module_id: r.residues for r in G.completed(reg, near, segs).collect()}
-    assert [(k, v) for k, v in sorted(done["m3"].items()) if v == -1][0][0] >= 10
-    confident = every.where("residue < 4")
-    assert {r.module_id: sorted(r.residues) for r in G.confident_only(reg, confident).collect()} == {"m1": [0, 1, 2, 3], "m2": [2, 3]}
-
-
 def test_shifted_mapping():
     assert G.shifted_mapping([(1, 11), (2, 12)], [1, 2, 3, 4], range(10, 20)) == {1: 11, 2: 12, 3: 13, 4: 14}
     assert G.shifted_mapping([(1, 3), (5, 5)], [1, 3, 5], range(10)) == {1: 3, 3: 4, 5: 5}

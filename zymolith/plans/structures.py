@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TEMPLATES
+from ..operators import alignment as A
 from ..operators import folds as K
 from ..operators import segments as S
 from ..operators import structure as G
@@ -241,12 +242,76 @@ def j15(spark, d):
     return found.withColumn("distance", r6("distance"))
 
 
+def _trace(spark, d):
+    """(id, label, points): each vector as the trace of a chain, steps of three components from residue to residue."""
+    v = table(spark, d, "embeddings")
+    step = lambda k: F.transform(F.slice("embedding", k * 3 + 1, F.lit(3)), lambda x: x.cast("double") * 10)
+    walk = F.aggregate(
+        F.sequence(F.lit(0), F.lit(20)),
+        F.array().cast("array<array<double>>"),
+        lambda seen, k: F.concat(seen, F.array(F.when(F.size(seen) == 0, step(k)).otherwise(F.zip_with(F.try_element_at(seen, F.lit(-1)), step(k), lambda a, b: a + b)))),
+    )
+    return v.select(F.col("vec_id").alias("id"), "label", walk.alias("points"))
+
+
 @query("f11_pair_scores")
 def f11(spark, d):
     """Pairs of one label, as regions of one domain type are compared."""
-    v = table(spark, d, "embeddings")
-    points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.transform(F.slice("embedding", k * 3 + 1, F.lit(3)), lambda x: x.cast("double") * 10))
-    return rounded(G.pair_scores(v.select(F.col("vec_id").alias("id"), points.alias("points"), "label"), within="label"), "score")
+    return rounded(A.pair_scores(_trace(spark, d), within="label"), "score")
+
+
+@query("g11_cached_scores")
+def g11(spark, d):
+    """Pairs of one label of which a part is known, as in an interrupted run; the known ones carry a mark instead of a score."""
+    t = _trace(spark, d)
+    ids = t.select("id", "label")
+    other = ids.select(F.col("id").alias("j"), (F.col("id") - 1).alias("next"), F.col("label").alias("other"))
+    cache = ids.join(other, (F.col("id") == F.col("next")) & (F.col("label") == F.col("other"))).select(F.col("j").alias("i"), F.col("id").alias("j"), F.lit(-1.0).alias("score"))
+    return rounded(A.cached_scores(t, cache, "label"), "score")
+
+
+def _templates_of(spark, d):
+    """(domain, residue, x, y, z): the first chain of each of five labels stands for a domain."""
+    t = _trace(spark, d).where("label < 5")
+    first = t.groupBy("label").agg(F.min_by("points", "id").alias("points"))
+    name = F.element_at(F.array(*[F.lit(x) for x in _DOMAINS]), F.col("label") + 1)
+    rows = first.select(name.alias("domain"), F.posexplode("points").alias("residue", "p"))
+    return rows.select("domain", "residue", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")])
+
+
+def _atoms_of(spark, d):
+    rows = _trace(spark, d).select(F.col("id").alias("file"), F.posexplode("points").alias("residue", "p"))
+    return rows.select("file", "residue", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")])
+
+
+@query("g1_template_alignments")
+def g1_aligned(spark, d):
+    """Every chain against every template."""
+    chains = _atoms_of(spark, d).withColumn("domain", F.explode(F.array(*[F.lit(x) for x in _DOMAINS])))
+    out = A.template_alignments(chains, _templates_of(spark, d))
+    return out.select("file", "domain", r6("score").alias("score"), F.size("pairs").alias("n"))
+
+
+@query("g4_all_encounters")
+def g4_all(spark, d):
+    """All instances of each domain in each chain: passes over what earlier instances have left."""
+    limits = _templates_of(spark, d).groupBy("domain").agg(F.lit(0.3).alias("least_score"), (F.count(F.lit(1)) / 4).cast("int").alias("least_size"))
+    return A.encounters(_atoms_of(spark, d), _templates_of(spark, d), limits).select("file", "domain", "pass", r6("score").alias("score"), G.size().alias("n"))
+
+
+@query(
+    "w7_full_mapping",
+    f"""WITH {_HOURS}, p AS (SELECT file, v AS member, (v * 7 % 13)::DOUBLE - 6 AS shift FROM h WHERE v % 3 = 0),
+    r AS (SELECT q.file, q.v AS member, shift, row_number() OVER (PARTITION BY q.file, q.v ORDER BY abs(p.member - q.v), p.member) AS n FROM h q JOIN p USING (file) WHERE q.v % 3 <> 0),
+    s AS (SELECT file, member, shift FROM p UNION ALL SELECT file, member, round_even(avg(shift), 0) FROM r WHERE n <= 2 GROUP BY file, member),
+    m AS (SELECT file, member, (member + shift)::INTEGER AS residue FROM s)
+    SELECT m.file, residue, min(member)::INTEGER AS member FROM m WHERE EXISTS (SELECT 1 FROM h WHERE h.file = m.file AND h.v = m.residue) GROUP BY m.file, residue""",
+)
+def w7_full(spark, d):
+    """Known shifts at every third place; all places of a user are both the members and the residues there are."""
+    h = hours(spark, d)
+    pairs = h.where("value % 3 = 0").select("file", F.col("value").alias("member"), (F.col("value") + F.col("value") * 7 % 13 - 6).alias("to"))
+    return A.full_mapping(pairs, h.select("file", F.col("value").alias("member")), h.select("file", F.col("value").alias("residue")), ["file"])
 
 
 @query(
