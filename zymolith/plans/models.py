@@ -10,6 +10,7 @@ from ..operators import learning as L
 from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import relations as R
+from ..operators import search as Q
 from .registry import query, r6, rounded, table
 
 CLASSES = ["c0", "c1", "c2"]
@@ -190,3 +191,11 @@ def j19(spark, d):
     both = common.join(sizes, "item_id").join(sizes.select(F.col("item_id").alias("j"), F.col("n").alias("m")), "j")
     both = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
     return R.top_k(both, ["item_id"], [F.desc("score"), F.asc("j")], 1).select(F.col("item_id").alias("id"), F.col("j").alias("nearest"), r6("score").alias("score"))
+
+
+@query("j19_sequence_search")
+def j19_search(spark, d):
+    """The two nearest other items of each item by local alignment; letters are scored by identity only."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sequence"))
+    out = Q.nearest_sequences(b, b, 2, scoring=Q.Scoring(same=5, other=-4, groups=()), short=6, long=12, other_ids=True)
+    return out.select("query", "reference", "score", r6("bits").alias("bits"), r6("expected").alias("expected"), "rank")
