@@ -1,5 +1,4 @@
 import pandas as pd
-import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -84,19 +83,6 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     assert isinstance(got, pd.DataFrame) and sorted(got["id"]) == sorted([f"a{k}" for k in range(10)] + ["b"])
 
 
-def test_shared_model_learns_label_sets(spark):
-    rows = [(k, [float(k % 2), float(k // 2 % 2)], (["a"] if k % 2 else []) + (["b"] if k // 2 % 2 else []) + ["other"]) for k in range(80)]
-    df = spark.createDataFrame(rows, "id int, x array<double>, labels array<string>").select("id", array_to_vector("x").alias("features"), "labels")
-    for learner, params in (("random_forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}), ("perceptron", {"layers": [2, 6], "maxIter": 200, "seed": 3})):
-        model = L.SharedModel(learner, params).fit(df, ["a", "b"])
-        assert model.sets == [(), ("a",), ("a", "b"), ("b",)]
-        got = {(r["id"], r["class"]): r.score for r in model.predict(df, ["a", "b", "none"]).collect()}
-        assert all((got[k, c] > 0.5) == (c in labels) for k, _, labels in rows for c in ("a", "b", "none"))
-    assert {r.score for r in L.SharedModel("random_forest").fit(df.where("id % 4 = 1"), ["a", "b"]).predict(df, ["a"]).collect()} == {1.0}
-    with pytest.raises(ValueError):
-        L.SharedModel("perceptron", {"layers": [2, 6]}, balanced=True).fit(df, ["a"])
-
-
 def test_bayesian_search_finds_the_valley(spark, tmp_path):
     seen = []
     space = {"a": list(range(10)), "b": list(range(10)), "kind": ["x", "y"]}

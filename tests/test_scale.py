@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from zymolith.functions.running import ordinals, running_sums
-from zymolith.operators import clustering as C
 from zymolith.operators import folds as K
 from zymolith.operators import metrics as M
 from zymolith.operators import pairs as P
@@ -98,14 +97,6 @@ def test_two_nearest_in_a_long_group(spark):
     assert got == {("f", k): float(round(sum(value[x] for x in near[k]) / 2)) for k in want} | {("none", 1): None}
 
 
-def test_dense_blocks_are_refused_beyond_their_size(spark):
-    v = spark.createDataFrame([(k, [float(k % 3), k / 100]) for k in range(30)], "id long, embedding array<double>")
-    edges = P.euclidean_pairs(v)
-    assert {r.cluster for r in C.cluster_block(edges, v.select("id"), lambda m: C.kmedoids(m, 3)[1]).collect()} == {0, 1, 2}
-    with pytest.raises(ValueError):
-        C.cluster_block(edges, v.select("id"), lambda m: m[0], most=29)
-
-
 def test_categories_share_counted_negatives(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice(["a", "b", "Unknown"]), "c", rnd.randrange(9) / 9, rnd.randrange(2)) for _ in range(500)]

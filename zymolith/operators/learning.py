@@ -115,64 +115,6 @@ class OneVsRest:
         return out
 
 
-#: Label sets that one model may tell apart.
-MOST_SETS = 512
-
-
-@dataclass
-class SharedModel:
-    """One model for all labels: trees or hidden layers are shared, as in a multi-output model.
-
-    It learns label sets as classes of one multi-class model; a label's score is the
-    chance of all sets that have it, so a leaf of a tree scores each label with its
-    share of the leaf's rows.  A class may also be scored by itself with other labels
-    learnt along (fit on all classes, predict one).
-    """
-
-    learner: str
-    params: Mapping[str, object] = field(default_factory=dict)
-    balanced: bool = False
-    sets: list[tuple[str, ...]] = field(default_factory=list)
-    model: Model | None = None
-
-    def fit(self, rows: DataFrame, classes: Sequence[str]) -> SharedModel:
-        """``rows``: (id, features, labels); labels outside ``classes`` are ignored.
-
-        ``balanced`` weighs each set by its inverse frequency; the perceptron takes no
-        weights and refuses it.  ``layers`` of a perceptron leave out the last layer,
-        whose size is the number of sets.
-        """
-        if self.balanced and self.learner == "perceptron":
-            raise ValueError("a perceptron has no balanced weights")
-        if self.learner == "boosted_trees":
-            raise ValueError("boosted trees tell two classes apart; use OneVsRest")
-        known = F.array_sort(F.array_distinct(F.array_intersect("labels", F.array(*[F.lit(c) for c in classes]))))
-        keyed = rows.select("id", "features", known.alias("_set"))
-        counts = {tuple(r["_set"]): r["count"] for r in keyed.groupBy("_set").count().limit(MOST_SETS + 1).collect()}
-        if len(counts) > MOST_SETS:
-            raise ValueError(f"more than {MOST_SETS} label sets")
-        self.sets, n = sorted(counts), sum(counts.values())
-        if len(self.sets) < 2:
-            return self
-        table = rows.sparkSession.createDataFrame([(list(s), float(k), n / (len(counts) * counts[s]) if self.balanced else 1.0) for k, s in enumerate(self.sets)], "_set array<string>, label double, weight double")
-        params = dict(self.params)
-        if self.learner == "perceptron":
-            params["layers"] = [*params["layers"], len(self.sets)]
-        self.model = LEARNERS[self.learner](**params).fit(keyed.join(F.broadcast(table), "_set"))  # at most MOST_SETS rows
-        return self
-
-    def predict(self, rows: DataFrame, classes: Sequence[str]) -> DataFrame:
-        """(id, class, score), long; classes that no learnt set has score 0, and those of the only set 1."""
-        if self.model is None:
-            own = self.sets[0] if self.sets else ()
-            scores = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(float(c in own)).alias("score")) for c in classes])
-            return rows.select("id", F.explode(scores).alias("x")).select("id", "x.class", "x.score")
-        out = self.model.transform(rows.select("id", "features")).select("id", vector_to_array("probability").alias("_p"))
-        total = lambda c: sum((F.col("_p")[k] for k, s in enumerate(self.sets) if c in s), F.lit(0.0))
-        scores = F.array(*[F.struct(F.lit(c).alias("class"), total(c).alias("score")) for c in classes])
-        return out.select("id", F.explode(scores).alias("x")).select("id", "x.class", "x.score")
-
-
 def gathered_folds(spark: SparkSession, paths: Sequence[str]) -> list[OneVsRest]:
     """The saved models of several folds, for one ensemble."""
     return [OneVsRest.load(spark, p) for p in paths]

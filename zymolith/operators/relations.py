@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
 from ..functions.running import ordinals
 
 # --- first and last rows -------------------------------------------------------------------
@@ -107,16 +108,30 @@ def priority_merge(items: DataFrame, priorities: Sequence[str], keys: Sequence[s
     """Sets kept when groups are merged in order of priority.
 
     A set of a group is dropped if it overlaps (by recall) a kept set of an earlier
-    group; sets of one group do not compete.  One step a group, whatever the rows.
+    group; sets of one group do not compete.  Which sets overlap is found once, over
+    all groups; the steps, one a group, then work on pairs of sets only.
     """
-    kept = None
-    for name in priorities:
-        mine = items.where(F.col(group) == name)
-        if kept is not None:
-            bad = recall_overlap(mine.withColumnRenamed(set_id, "new_id"), kept.withColumnRenamed(set_id, "known_id"), keys, item, share)
-            mine = mine.join(bad.select(*keys, F.col("new_id").alias(set_id)).distinct(), [*keys, set_id], "left_anti")
-        kept = mine if kept is None else kept.unionByName(mine)
-    return kept
+    names = list(priorities)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(group))
+    mine = written(items.where(F.col(group).isin(*names)), "merge-items")
+    rows = mine.select(*keys, place.alias("_g"), F.col(set_id).alias("_s"), item).distinct()
+    sizes = rows.groupBy(*keys, "_g", "_s").agg(F.count(F.lit(1)).alias("size"))
+    other = rows.select(*keys, F.col("_g").alias("_h"), F.col("_s").alias("_t"), item)
+    common = rows.join(other, [*keys, item]).where("_h < _g").groupBy(*keys, "_g", "_s", "_h", "_t").agg(F.count(F.lit(1)).alias("n"))
+    clash = common.join(sizes, [*keys, "_g", "_s"]).where(F.col("n") / F.col("size") >= share).select(*keys, "_g", "_s", "_h", "_t")
+    clash = written(clash, "merge-clashes")
+    gone = None
+    for k in range(2, len(names) + 1):
+        step = clash.where(F.col("_g") == k)
+        if gone is not None:
+            dropped = gone.select(*keys, F.col("_g").alias("_h"), F.col("_s").alias("_t"))
+            step = step.join(dropped, [*keys, "_h", "_t"], "left_anti")
+        step = written(step.select(*keys, "_g", "_s").distinct(), "merge-dropped")
+        gone = step if gone is None else gone.unionByName(step)
+    if gone is None:
+        return mine
+    gone = gone.select(*keys, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_g").cast("int")).alias(group), F.col("_s").alias(set_id))
+    return mine.join(gone, [*keys, group, set_id], "left_anti").select(*items.columns)
 
 
 # --- folds, sets, sampling -------------------------------------------------------------------

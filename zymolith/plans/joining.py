@@ -122,9 +122,11 @@ def j11(spark, d):
     f"""WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN (a.vec_id + b.vec_id) % 4 = 0 THEN -1.0::DOUBLE ELSE round({_COS}, 6) END AS score FROM vec a JOIN vec b ON a.vec_id < b.vec_id""",
 )
 def j12(spark, d):
-    pairs = P.triangle(_vec(spark, d), "embedding")
+    """Every fourth pair is known, under (j, i), and carries a mark instead of a score."""
+    v = _vec(spark, d)
+    pairs = P.triangle(v.select("id"), "id")
     known = pairs.where((F.col("i") + F.col("j")) % 4 == 0).select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(-1.0).alias("score"))
-    return P.with_cached(pairs, known, lambda p: p.withColumn("score", r6(P.cosine())))
+    return rounded(P.with_cached(v, known, "cosine"), "score")
 
 
 _PARTS = "parts AS (SELECT DISTINCT l_suppkey AS file, l_linenumber AS sid, l_partkey % 40 AS item FROM lineitem)"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import clustering as C
+from ..operators import density as N
 from ..operators import learning as L
+from ..operators import medoids as D
 from ..operators import metrics as M
+from ..operators import multi_output as X
 from ..operators import pairs as P
 from ..operators import relations as R
 from ..operators import search as Q
@@ -71,17 +72,25 @@ def l6(spark, d):
 
 @query("l1_shared_forest")
 def l1s(spark, d):
-    """One forest over all labels."""
+    """Trees whose leaves score all labels."""
     rows = examples(spark, d)
-    model = L.SharedModel("random_forest", {"numTrees": 10, "maxDepth": 4, "seed": 1}, balanced=True).fit(rows.where("id % 5 <> 0"), CLASSES)
+    model = X.SharedForest(trees=10, depth=4, seed=1).fit(rows.where("id % 5 <> 0"), CLASSES)
+    return rounded(model.predict(rows.where("id % 5 = 0"), [*CLASSES, "absent"]), "score")
+
+
+@query("l2_newton_boosting")
+def l2n(spark, d):
+    """Boosting by gradients and curvatures, a tree a label and round."""
+    rows = examples(spark, d)
+    model = X.NewtonBoosting(rounds=3, depth=3).fit(rows.where("id % 5 <> 0"), CLASSES)
     return rounded(model.predict(rows.where("id % 5 = 0"), [*CLASSES, "absent"]), "score")
 
 
 @query("l4_shared_perceptron")
 def l4s(spark, d):
-    """One network with an output for each label set."""
+    """One network with a logistic output for each label."""
     rows = examples(spark, d)
-    model = L.SharedModel("perceptron", {"layers": [64, 8], "maxIter": 20, "seed": 1}).fit(rows.where("id % 5 <> 0"), CLASSES)
+    model = X.SigmoidNetwork(hidden=(8,), steps=10, seed=1).fit(rows.where("id % 5 <> 0"), CLASSES)
     return rounded(model.predict(rows.where("id % 5 = 0"), [*CLASSES, "absent"]), "score")
 
 
@@ -89,7 +98,7 @@ def l4s(spark, d):
 def l23(spark, d):
     """A class scored by a model that has learnt all labels along with it."""
     rows = examples(spark, d)
-    model = L.SharedModel("logistic_regression", {"regParam": 0.01, "maxIter": 30}).fit(rows.where("id % 5 <> 0"), CLASSES)
+    model = X.SharedForest(trees=5, depth=5, seed=2).fit(rows.where("id % 5 <> 0"), CLASSES)
     return rounded(model.predict(rows.where("id % 5 = 0"), ["c1"]), "score")
 
 
@@ -145,29 +154,33 @@ def m12(spark, d):
     return spark.createDataFrame([(round(float(shares[0]), 4), bool(shares[0] >= shares[1] > 0 and sum(shares) <= 1))], "first double, falling boolean")
 
 
-def _block(spark, d):
+def _pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return P.euclidean_pairs(v), v.select("id")
 
 
 @query("l14_kmedoids")
 def l14(spark, d):
-    return C.cluster_block(*_block(spark, d), lambda m: C.kmedoids(m, 5)[1])
+    return D.kmedoids(*_pairs(spark, d), 5)[0]
 
 
 @query("l14_best_k")
 def l14b(spark, d):
-    return C.cluster_block(*_block(spark, d), lambda m: np.full(len(m), C.best_k(m, range(2, 8))[0]))
+    k, means, clusters = D.best_k(*_pairs(spark, d), range(2, 8))
+    return clusters.select("id", "cluster", F.lit(k).alias("k"), F.lit(round(means[k], 6)).alias("silhouette"))
 
 
 @query("l15_density_clusters")
 def l15(spark, d):
-    return C.cluster_block(*_block(spark, d), lambda m: C.density_clusters(m, 5))
+    return N.density_clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5)
 
 
 @query("j17_fill_noise")
 def j17b(spark, d):
-    return C.cluster_block(*_block(spark, d), lambda m: P.fill_noise(m, np.where(np.arange(len(m)) % 50 == 0, -1, np.arange(len(m)) % 3)))
+    """Every fiftieth item has no label and takes that of its neighbours."""
+    edges, ids = _pairs(spark, d)
+    labels = ids.select("id", F.when(F.col("id") % 50 == 0, -1).otherwise(F.col("id") % 3).alias("label"))
+    return D.filled_noise(edges, labels)
 
 
 @query("l22_latest_params", "SELECT user_id, last(event_type ORDER BY ts, event_id) AS params FROM events GROUP BY user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TEMPLATES
+from ..functions.scratch import written
 from ..operators import alignment as A
 from ..operators import folds as K
 from ..operators import segments as S
@@ -160,7 +161,8 @@ def regions(spark, d):
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("residue", F.col("residue").alias("to")))))
     out = li.groupBy("file", "k").agg(entries.alias("residues"))
     score = ((F.col("file") * 7 + F.col("k") * 13) % 100) / 100.0
-    return out.select("file", F.concat_ws("_", "file", "k").alias("module_id"), domain.alias("domain"), score.alias("score"), "residues")
+    out = out.select("file", F.concat_ws("_", "file", "k").alias("module_id"), domain.alias("domain"), score.alias("score"), "residues")
+    return written(out, "regions")  # several steps of a query read it
 
 
 _LIMITS = "limits(domain, s, z) AS (VALUES ('alpha', 0.35, 130), ('beta', 0.60, 50), ('gamma', 0.55, 50), ('delta', 0.60, 50), ('epsilon', 0.60, 50))"

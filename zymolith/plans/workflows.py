@@ -16,10 +16,13 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import relations as R
 from ..operators.learning import OneVsRest, bayesian_search
+from ..operators.multi_output import NewtonBoosting, SharedForest, SigmoidNetwork
 from ..sources.text_formats import read_fasta
 from ..streaming.screening import Scorer, hits, scored
 
 NOT_EVALUATED = (L.UNKNOWN, L.OTHER)
+#: Learners of all labels in one model.
+SHARED = {"shared_forest": SharedForest, "newton_boosting": NewtonBoosting, "sigmoid_network": SigmoidNetwork}
 
 
 def prepared(reactions: DataFrame, negatives: DataFrame | None = None, blacklist: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
@@ -86,12 +89,16 @@ def test_rows(table: DataFrame, fold, holdout: DataFrame | None = None, negative
 
 
 def train_and_score(rows: DataFrame, classes: Sequence[str], learner: str, params: Mapping[str, object], name: str, folds: Sequence[int], class_params: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
-    """(model, fold, id, class, score, label) for rows (id, features, labels, fold): each fold by a model of the others."""
+    """(model, fold, id, class, score, label) for rows (id, features, labels, fold): each fold by a model of the others.
+
+    ``learner`` is one of ``learning.LEARNERS``, a model a class, or of SHARED, one model for all.
+    """
     out = None
     for fold in folds:
         train, test = R.other_folds(rows, fold), rows.where(F.col("fold") == fold)
         R.assert_disjoint(train, test, ["id"])
-        model = OneVsRest(learner, params, class_params or {}, balanced=True).fit(train.select("id", "features", "labels"), classes)
+        model = SHARED[learner](**params) if learner in SHARED else OneVsRest(learner, params, class_params or {}, balanced=True)
+        model = model.fit(train.select("id", "features", "labels"), classes)
         got = model.predict(test, classes).join(test.select("id", "labels"), "id")
         got = got.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "id", "class", "score", F.array_contains("labels", F.col("class")).cast("int").alias("label"))
         out = got if out is None else out.unionByName(got)
