@@ -1,4 +1,4 @@
-"""Chemistry helpers with a toolkit where there is one, else by dictionary or text."""
+"""Chemistry helpers on structure texts."""
 
 from __future__ import annotations
 
@@ -6,16 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASSED_ON = ("Unknown", "Negative")
-
+from .molecules import canonical_text
 
-def toolkit():
-    """The chemistry toolkit module, or None."""
-    try:
-        from rdkit import Chem
-    except ImportError:
-        return None
-    return Chem
+PASSED_ON = ("Unknown", "Negative")
 
 
 def without_stereo_marks(smiles: Column) -> Column:
@@ -25,22 +18,20 @@ def without_stereo_marks(smiles: Column) -> Column:
 
 
 def canonical(df: DataFrame, column: str, out: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """Adds canonical texts without stereo; null and the words in PASSED_ON stay.
+    """Adds canonical texts without stereo; null and the words in PASSED_ON stay, texts that are no structure become null.
 
-    From ``dictionary`` (text, canonical) if given; else from the toolkit in Arrow
-    batches over the distinct texts; without either this is an error.
+    From ``dictionary`` (text, canonical) if given, else by ``molecules.canonical_text``
+    in Arrow batches over the distinct texts.
     """
     if dictionary is None:
-        if toolkit() is None:
-            raise RuntimeError("no chemistry toolkit: give a dictionary of canonical texts")
 
         @F.pandas_udf("string")
         def call(texts: pd.Series) -> pd.Series:
-            chem = toolkit()
-
-            def one(t):
-                mol = chem.MolFromSmiles(t)
-                return None if mol is None else chem.MolToSmiles(mol, isomericSmiles=False)
+            def one(t: str) -> str | None:
+                try:
+                    return canonical_text(t)
+                except ValueError:
+                    return None
 
             return texts.map(one)
 

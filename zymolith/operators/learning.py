@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.running import ordinals
+from ..functions.scratch import written
 from .relations import left_impute_zero
 
 
@@ -225,6 +227,142 @@ def bayesian_search(space: Mapping[str, Sequence], trials: int, loss: Callable[[
     return best, value
 
 
+@dataclass(frozen=True)
+class Dimension:
+    """A parameter to search: a range of numbers, whole or not, evenly or by their logarithm, or a list of values."""
+
+    low: float = 0.0
+    high: float = 1.0
+    whole: bool = False
+    logarithmic: bool = False
+    values: tuple = ()
+
+    def width(self) -> int:
+        return len(self.values) or 1
+
+    def at(self, x: Sequence[float]) -> object:
+        """The value at a place of the unit cube."""
+        if self.values:
+            return self.values[max(range(len(self.values)), key=lambda k: (x[k], -k))]
+        import math
+
+        u = min(max(x[0], 0.0), 1.0)
+        v = math.exp(math.log(self.low) + u * (math.log(self.high) - math.log(self.low))) if self.logarithmic else self.low + u * (self.high - self.low)
+        return int(min(max(round(v), self.low), self.high)) if self.whole else v
+
+    def place(self, value: object) -> list[float]:
+        if self.values:
+            return [float(v == value) for v in self.values]
+        import math
+
+        return [(math.log(value / self.low) / math.log(self.high / self.low)) if self.logarithmic else (value - self.low) / ((self.high - self.low) or 1)]
+
+
+def hedged_search(space: Mapping[str, Dimension], trials: int, losses: Callable[[list[dict]], list[float]], start: dict | None = None, seed: int = 42, first: int = 5, batch: int = 1) -> tuple[dict, float]:
+    """The parameters with the least loss over ranges: a Gaussian process and a hedge over three ways to choose the next trial.
+
+    Expected improvement, chance of improvement and the lower confidence bound each
+    propose a point; which one is tried is drawn by how low the losses were that
+    the process expects at the points each has proposed.  The width of the process's kernel is the
+    one with the greatest likelihood.  ``losses`` gets ``batch`` parameter sets at a time,
+    so that their fits may be one job; the given start comes first, then ``first`` random points.
+    """
+    import math
+
+    import numpy as np
+
+    rng, names = np.random.default_rng(seed), sorted(space)
+    size = sum(space[n].width() for n in names)
+
+    def params(x: np.ndarray) -> dict:
+        out, at = {}, 0
+        for n in names:
+            out[n] = space[n].at(x[at : at + space[n].width()].tolist())
+            at += space[n].width()
+        return out
+
+    place = lambda p: np.array([c for n in names for c in space[n].place(p[n])])
+    gains, tried, seen = np.zeros(3), [], []
+
+    def ask(found: list[dict]) -> None:
+        for p, v in zip(found, losses(found), strict=True):
+            tried.append((float(v), p))
+            seen.append(place(p))
+
+    opening = ([dict(start)] if start else []) + [params(rng.random(size)) for _ in range(first)]
+    opening = opening[:trials]
+    for at in range(0, len(opening), batch):
+        ask(opening[at : at + batch])
+    while len(tried) < trials:
+        x, y = np.array(seen), np.array([v for v, _ in tried])
+        middle, scale = y.mean(), y.std() or 1.0
+        z = (y - middle) / scale
+        square = ((x[:, None] - x[None]) ** 2).sum(2)
+
+        def process(width: float, square=square, z=z) -> tuple[float, np.ndarray, np.ndarray]:
+            low = np.linalg.cholesky(np.exp(-square / (2 * width**2)) + 1e-5 * np.eye(len(z)))
+            half = np.linalg.solve(low, z)
+            return float(-0.5 * half @ half - np.log(np.diag(low)).sum()), low, np.linalg.solve(low.T, half)
+
+        width = max((0.1, 0.2, 0.4, 0.8, 1.6), key=lambda w: process(w)[0])
+        _, low, weights = process(width)
+
+        def predicted(q: np.ndarray, x=x, width=width, low=low, weights=weights) -> tuple[np.ndarray, np.ndarray]:
+            cross = np.exp(-((q[:, None] - x[None]) ** 2).sum(2) / (2 * width**2))
+            return cross @ weights, np.sqrt(np.maximum(1 - (np.linalg.solve(low, cross.T) ** 2).sum(0), 1e-10))
+
+        best = x[int(np.argmin(y))]
+        cloud = np.concatenate([rng.random((2000, size)), np.clip(best + rng.normal(0, 0.1, (500, size)), 0, 1), np.clip(best + rng.normal(0, 0.02, (500, size)), 0, 1)])
+        cloud = np.array([place(params(c)) for c in cloud])  # where whole numbers and listed values are
+        mean, sd = predicted(cloud)
+        u = (z.min() - 0.01 - mean) / sd
+        tail = 0.5 * (1 + np.vectorize(math.erf)(u / math.sqrt(2)))
+        ways = [sd * (u * tail + np.exp(-u * u / 2) / math.sqrt(2 * math.pi)), tail, -(mean - 1.96 * sd)]
+        new: list[dict] = []
+        for _ in range(min(batch, trials - len(tried))):
+            points = [int(np.argmax(w)) for w in ways]
+            chance = np.exp(gains - gains.max())
+            pick = points[int(rng.choice(3, p=chance / chance.sum()))]
+            gains -= mean[points]
+            new.append(params(cloud[pick]))
+            near = ((cloud - cloud[pick]) ** 2).sum(1) < 1e-4  # a batch has other points
+            ways = [np.where(near, -np.inf, w) for w in ways]
+        ask(new)
+    if not tried:
+        raise ValueError("no trials")
+    value, found = min(tried, key=lambda t: t[0])
+    return found, value
+
+
+def grouped_fold_losses(rows: DataFrame, fit_and_score: Callable[[dict, pd.DataFrame, pd.DataFrame], float], most_rows: int = 1 << 20) -> Callable[[list[dict]], list[float]]:
+    """Mean loss over folds of several parameter sets as one job: a task fits one set on one fold.
+
+    ``rows`` have a column ``fold``; each pair of set and fold gets all rows, so they must be at
+    most ``most_rows``, which is checked.  ``fit_and_score`` takes (parameters, training rows, test rows).
+    """
+    import json
+
+    if rows.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows for a fit in one task")
+    names = [c for c in rows.columns if c != "fold"]
+    kept = written(rows, "search-rows")
+    folds = sorted(r.fold for r in kept.select("fold").distinct().collect())  # a handful
+
+    def losses(sets: list[dict]) -> list[float]:
+        work = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(json.dumps(p)).alias("p"), F.lit(f).alias("test")) for k, p in enumerate(sets) for f in folds])
+        each = kept.withColumn("w", F.explode(work)).select("w.k", "w.p", "w.test", "fold", *names)
+
+        def call(pdf: pd.DataFrame) -> pd.DataFrame:
+            test = pdf["fold"] == pdf["test"].iloc[0]
+            loss = fit_and_score(json.loads(pdf["p"].iloc[0]), pdf.loc[~test, names], pdf.loc[test, names])
+            return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "loss": [float(loss)]})
+
+        got = {r.k: r.loss for r in each.groupBy("k", "p", "test").applyInPandas(call, "k int, loss double").groupBy("k").agg(F.avg("loss").alias("loss")).collect()}
+        return [got[k] for k in range(len(sets))]
+
+    return losses
+
+
 def keep_params(path: str, params: Mapping[str, object], loss: float) -> bool:
     """Writes (params, loss) as one JSON line unless the file there has a loss as good; whether it wrote."""
     import json

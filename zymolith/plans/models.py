@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import density as N
@@ -10,6 +11,7 @@ from ..operators import medoids as D
 from ..operators import metrics as M
 from ..operators import multi_output as X
 from ..operators import pairs as P
+from ..operators import profiles as H
 from ..operators import relations as R
 from ..operators import search as Q
 from .registry import query, r6, rounded, table
@@ -212,3 +214,29 @@ def j19_search(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sequence"))
     out = Q.nearest_sequences(b, b, 2, scoring=Q.Scoring(same=5, other=-4, groups=()), short=6, long=12, other_ids=True)
     return out.select("query", "reference", "score", r6("bits").alias("bits"), r6("expected").alias("expected"), "rank")
+
+
+@query("l17_profile_scores")
+def l17(spark, d):
+    """Profiles of the type texts of the parts of each brand, blanks as gaps; all part names are scored by each."""
+    p = table(spark, d, "part")
+    known = H.profiles(p.select(F.col("p_brand").alias("class"), F.translate("p_type", " ", "-").alias("aligned")))
+    return rounded(H.profile_scores(p.select(F.col("p_partkey").alias("id"), F.translate("p_name", " ", "").alias("sequence")), known), "score")
+
+
+@query("l7_hedged_search")
+def l7h(spark, d):
+    """Penalty and number of steps of a logistic fit, searched over ranges; the folds of each trial are one job."""
+    rows = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(3)).cast("int").alias("fold"), "embedding", (F.col("label") % 2).cast("int").alias("y"))
+
+    def fit_and_score(params, train, test):
+        x, z = (np.stack(t["embedding"].to_numpy()).astype(float) for t in (train, test))
+        w = np.zeros(x.shape[1])
+        for _ in range(params["steps"]):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = np.linalg.solve((x.T * (p * (1 - p))) @ x + params["penalty"] * np.eye(len(w)), (x.T * (p * (1 - p))) @ (x @ w) + x.T @ (train["y"].to_numpy() - p))
+        return float(np.logaddexp(0, -(2 * test["y"].to_numpy() - 1) * (z @ w)).mean())
+
+    space = {"penalty": L.Dimension(1e-3, 100.0, logarithmic=True), "steps": L.Dimension(1, 8, whole=True)}
+    best, value = L.hedged_search(space, 9, L.grouped_fold_losses(rows, fit_and_score), {"penalty": 1.0, "steps": 4}, first=2, batch=3)
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in sorted(best.items())] + [("loss", round(value, 4))], "name string, value double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.chemistry import canonical
+from ..functions.fixed_values import SUBSTRATES
 from ..operators import cleaning as C
 from ..operators import labels as L
 from ..operators import metrics as M
@@ -370,3 +372,11 @@ def f12(spark, d):
 @query("f13_bytes_to_text", "SELECT n_nationkey, n_name AS name FROM nation")
 def f13(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.decode(F.encode("n_name", "UTF-8"), "UTF-8").alias("name"))
+
+
+@query("f8_canonical_texts")
+def f8(spark, d):
+    """Every part stands for a substrate; parts are counted by their substrate's canonical text."""
+    texts = sorted(set(SUBSTRATES.values()))
+    p = table(spark, d, "part").select(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod("p_partkey", F.lit(len(texts))) + 1).cast("int")).alias("smiles"))
+    return canonical(p, "smiles", "canonical").groupBy("smiles", "canonical").agg(F.count(F.lit(1)).alias("n"))

@@ -190,7 +190,17 @@ def g4(spark, d):
     return G.remaining(every, r.where("domain = 'alpha'"))
 
 
-@query("g5_detect_domains")
+def _detected() -> str:
+    order = "CASE domain WHEN 'alpha' THEN 1 WHEN 'epsilon' THEN 2 WHEN 'delta' THEN 3 WHEN 'beta' THEN 4 ELSE 5 END"
+    steps = [f"good AS (SELECT file, k, domain, n, {order} AS g FROM regions JOIN limits USING (domain) WHERE score >= s)"]
+    steps.append("ov AS (SELECT a.file, a.k, b.k AS kb FROM items a JOIN good x ON x.file = a.file AND x.k = a.k JOIN items b ON b.file = a.file AND b.residue = a.residue JOIN good y ON y.file = b.file AND y.k = b.k AND y.g < x.g GROUP BY a.file, a.k, b.k HAVING count(*) / max(x.n) >= 0.5)")
+    steps.append("k1 AS (SELECT * FROM good WHERE g = 1)")
+    for g in range(2, 6):
+        steps.append(f"k{g} AS (SELECT * FROM k{g - 1} UNION ALL SELECT * FROM good x WHERE g = {g} AND NOT EXISTS (SELECT 1 FROM ov JOIN k{g - 1} z ON z.file = ov.file AND z.k = ov.kb WHERE ov.file = x.file AND ov.k = x.k))")
+    return ", ".join(steps)
+
+
+@query("g5_detect_domains", f"WITH {_ITEMS}, {_REGIONS}, {_LIMITS}, {_detected()} SELECT file, file || '_' || k AS module_id, domain, n::INTEGER AS n FROM k5")
 def g5(spark, d):
     return G.detect_domains(regions(spark, d), G.thresholds(spark)).select("file", "module_id", "domain", G.size().alias("n"))
 
@@ -225,7 +235,14 @@ def g13(spark, d):
     return regions(spark, d).where(F.col("domain").isin("alpha", "delta")).select("module_id", G.size().alias("n"))
 
 
-@query("g13_longest_unmapped")
+@query(
+    "g13_longest_unmapped",
+    f"""WITH {_ITEMS}, b AS (SELECT DISTINCT file, residue AS v FROM items WHERE k % 5 IN (0, 3)), r AS (SELECT DISTINCT file, residue AS v FROM items EXCEPT SELECT * FROM b),
+    i AS (SELECT r.file, r.v, (SELECT count(*) FROM b WHERE b.file = r.file AND b.v < r.v) AS g FROM r),
+    c AS (SELECT file, g, count(*) AS m FROM i GROUP BY file, g), q AS (SELECT file, g, row_number() OVER (PARTITION BY file ORDER BY m DESC, g) AS n FROM c),
+    s AS (SELECT i.file, i.v, lag(i.v) OVER (PARTITION BY i.file ORDER BY i.v) AS p FROM i JOIN q ON q.file = i.file AND q.g = i.g AND q.n = 1)
+    SELECT file, x::INTEGER AS residue FROM (SELECT file, unnest(CASE WHEN p + 5 >= v THEN range(p + 1, v + 1) ELSE [v]::BIGINT[] END) AS x FROM s)""",
+)
 def g13b(spark, d):
     r = regions(spark, d)
     every = G.residues_of(r).select("file", "residue").distinct()
