@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths that this process has written to.
+#: Paths and tables that this process has written to.
 _PATHS: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +43,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes what this process has written to the shared folder; results that still read it must be written first."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_PATHS)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _PATHS:
         path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
         path.getFileSystem(conf).delete(path, True)
@@ -61,3 +64,16 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder as a table in buckets of ``key``; joins by the key move the other side only.
+
+    There are as many buckets as shuffle partitions, below which Spark would move both sides again.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = scratch_path(spark, name), f"zymolith_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    _TABLES.append(table)
+    return spark.table(table)
