@@ -77,3 +77,19 @@ def test_empty_table_and_null_ids(spark):
     assert S.substring_dedup(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string").withColumn("key", F.lit(1))
     assert [r.n_removed for r in S.substring_dedup(docs, window=3).collect()] == [3, 3]
+
+
+def test_keys_that_every_pack_has(spark):
+    """20,000 keys in all of 60 packs, others in some: the same in one cell and in many, and no group holds all packs."""
+    from zymolith.llm import packs as P
+
+    rows = spark.range(60).selectExpr("id AS pack", "explode(sequence(0, 20999)) AS k").where("k < 20000 OR (pack + k) % (k % 50 + 1) = 0")
+    rows = rows.selectExpr("k * 7919 AS key", "k % 3 AS check", "pack", "CAST(k AS INT) AS at", "CAST(IF((pack + k) % 11 = 0, 2, 1) AS INT) AS times")
+    one, many = ({r.pack: sorted(r.found) for r in P.repeated_elsewhere(rows, c).collect()} for c in (1, 8))
+    assert one == many and len(one) == 60
+    by = rows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min("times").alias("t")).where("n > 1 AND t = 1").count()
+    assert len({k for v in one.values() for k in v}) == by > 20000
+    counts = rows.selectExpr("key", "pack", "at", "CAST(times AS LONG) AS n")
+    for least in (2, 5, 40):
+        a, b = ({r.pack: sorted(r.found) for r in P.in_many_documents(counts, c, least).collect()} for c in (1, 8))
+        assert a == b

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packs import COUNT_SCHEMA, document_counts, in_many_documents, map_packs, packed, some_packs, with_found
+from ..functions.scratch import bucketed
+from .packs import COUNT_SCHEMA, cells_of, document_counts, in_many_documents, map_packs, packed, with_found
 from .shared import written
 from .text import U64, pair, salted, words_of
 
@@ -88,10 +89,12 @@ def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: in
     Null or repeated ids are carried as they are; every row counts as a document.
     Other columns are ignored; an empty table gives an empty result.
     """
-    packs = packed(docs, "lines", id_col, text_col)
+    packs = packed(docs, "lines", id_col, text_col, in_buckets=True)
+
+    cells = cells_of(packs)
 
     def often(table: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return in_many_documents(keys(table), keys(some_packs(table)), least)
+        return in_many_documents(keys(table), cells, least)
 
     def leaves(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         tokens, first, heavy, doc, _ = _lines(rows.column(1), fixed_share)
@@ -119,7 +122,7 @@ def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: in
 
     leaf = often(packs, lambda some: map_packs(some, leaves, COUNT_SCHEMA))
     lines = map_packs(with_found(packs, leaf), candidates, "pack long, doc binary, place binary, first binary, leaf binary, tokens binary")
-    lines = written(lines, "lines")
+    lines = bucketed(lines, "lines", "pack")
 
     def read(batch: pa.RecordBatch, k: int):
         doc, place, first = (np.frombuffer(batch.column(c)[k].as_py(), np.int64) for c in (1, 2, 3))
@@ -175,9 +178,9 @@ def drop_template_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, depth: in
                     yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([(doc[live] << 32) | place[live]], pa.list_(pa.int64()))], ["pack", "found"])
 
     tokens = often(lines, lambda some: some.mapInArrow(tokens_of, COUNT_SCHEMA)).withColumnRenamed("found", "tokens_found")
-    lines = written(lines.join(tokens, "pack", "left"), "line-tokens")
+    lines = lines.join(written(tokens, "line-tokens").hint("shuffle_hash"), "pack", "left")
     whole = often(lines, lambda some: some.mapInArrow(templates, COUNT_SCHEMA)).withColumnRenamed("found", "templates_found")
-    gone = lines.join(whole, "pack", "left").mapInArrow(dropped, "pack long, found array<long>")
+    gone = lines.join(whole.hint("shuffle_hash"), "pack", "left").mapInArrow(dropped, "pack long, found array<long>")
 
     def kept(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         texts = rows.column(1).to_pylist()

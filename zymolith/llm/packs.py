@@ -2,11 +2,12 @@
 
 A pack holds about a megabyte of documents as one compressed row, so that a
 Python stage works on whole blocks and a shuffle moves one row a block.  Packs
-are written to the shared folder before anything refers to them by number.
+are written to the shared folder, in buckets of their numbers if need be, before
+anything refers to them by number, so what is found for them moves to them.
 Within a pack a key is one row however often it occurs there, so a key that
-occurs in every document costs a row a pack, not a row an occurrence.  Keys that
-a sample of packs proves frequent are not counted at all, so none of the groups
-that are counted holds a row of every pack.
+occurs in every document costs a row a pack, not a row an occurrence.  Rows of one
+key meet in cells of packs first, and of each cell one row goes on to meet the
+other cells, so no task gets a row of every pack.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import bucketed
 from .shared import empty_text, written
 from .text import blocks
 
 PACK_BYTES = 1 << 20
 LEVEL = 6
-#: Packs that are looked at for keys that very many packs have, and such keys that are kept apart.
-SAMPLE_PACKS = 1024
-PROVEN = 8192
+#: Packs of one cell: so many rows of a key meet in one task at most, and about as many cells after that.
+CELL_PACKS = 4096
 
 
-def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = PACK_BYTES) -> DataFrame:
-    """A written table (pack, blob): ids and whole texts of ``docs``."""
+def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = PACK_BYTES, in_buckets: bool = False) -> DataFrame:
+    """A written table (pack, blob): ids and whole texts of ``docs``; in buckets of ``pack`` where it is joined more than once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
@@ -45,7 +46,12 @@ def packed(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
     out = rows.mapInArrow(pack, "blob binary").select(F.monotonically_increasing_id().alias("pack"), "blob")
-    return written(out, f"{name}-packs")
+    return bucketed(out, f"{name}-packs", "pack") if in_buckets else written(out, f"{name}-packs")
+
+
+def cells_of(packs: DataFrame, most: int | None = None) -> int:
+    """How many cells a written table of packs is dealt into."""
+    return max(1, math.ceil(packs.count() / (most or CELL_PACKS)))
 
 
 def unpacked(blob: bytes) -> pa.RecordBatch:
@@ -79,47 +85,46 @@ def in_order(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np
 def key_rows(pack: int, keys: np.ndarray, at: np.ndarray, check: np.ndarray | None = None) -> pa.RecordBatch:
     """One row a distinct key: (key, check, pack, at of one of its occurrences, times: 1, or 2 if it occurs again in the pack).
 
-    ``check``: 32 more bits of the key, if given.
+    ``check``: 64 more bits of the key, if given.
     """
     order, same = in_order(keys, check)
     begin = np.flatnonzero(~same)
     index, counts = order[begin], np.diff(np.append(begin, len(keys)))
-    extra = np.zeros(len(index), np.int32) if check is None else check[index].view(np.int32)
+    extra = np.zeros(len(index), np.int64) if check is None else check[index].view(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(keys[index].view(np.int64)), pa.array(extra), pa.array(np.full(len(index), pack, np.int64)), pa.array(at[index].astype(np.int32)), pa.array(np.minimum(counts, 2).astype(np.int32))],
         ["key", "check", "pack", "at", "times"],
     )
 
 
-KEY_SCHEMA = "key long, check int, pack long, at int, times int"
+KEY_SCHEMA = "key long, check long, pack long, at int, times int"
 _KEY = ("key", "check")
 
 
-def some_packs(packs: DataFrame) -> DataFrame:
-    """A sixteenth of a written table of packs, at most about SAMPLE_PACKS of them: what ``proven`` looks at."""
-    share = min(1 / 16, SAMPLE_PACKS / max(1, packs.count()))
-    return packs.where(F.pmod(F.xxhash64(F.lit(21), "pack"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-
-
-def proven(sample: DataFrame, weight: Column, least: int, keys: tuple[str, ...]) -> DataFrame:
-    """Keys of which a sample of packs alone shows the ``least`` that is asked for, the PROVEN heaviest."""
-    total = sample.groupBy(*keys).agg(F.sum(weight).alias("seen")).where(F.col("seen") >= least)
-    return total.orderBy(F.desc("seen"), *keys).limit(PROVEN).select(*keys, F.lit(True).alias("sure"))
-
-
-def repeated_elsewhere(rows: DataFrame, sample: DataFrame) -> DataFrame:
-    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too.
+def _met(rows: DataFrame, cells: int, keys: tuple[str, ...], amount: Column, least: int) -> DataFrame:
+    """``rows`` with ``enough``: whether the amounts of all rows of their key reach ``least``.
 
-    The rows of keys that the sample proves repeated need no count and are dealt
-    by pack.  A key that so many packs have that it would be a hot group is, but
-    for a vanishing chance, among the sample's heaviest; if it is not, the result
-    is the same.  ``times`` is 4 or more for such rows, which saves a column.
+    Amounts are at least 1.  Cells of a key are judged first; rows of a cell that
+    reaches it need no other cell, but one of them stands for it, and meets the rows
+    of the cells that do not: fewer than ``least`` from each.
     """
-    rows = rows.join(F.broadcast(proven(sample, F.lit(1), 2, _KEY)), list(_KEY), "left")
-    rows = rows.select("key", F.when(F.col("sure"), F.hash("pack")).otherwise(F.col("check")).alias("check"), "pack", "at", F.when(F.col("sure"), F.col("times") + 3).otherwise(F.col("times")).alias("times"))
-    again = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*_KEY)))
-    # of a proven key, what else meets a dealt row by chance does not matter: each is counted by its own state
-    again = again.where((F.col("times") == 4) | ((F.col("times") == 1) & (F.col("n") > 1)))
+    cell = F.pmod(F.xxhash64("pack"), F.lit(cells)).cast("int")
+    rows = rows.withColumn("cell", cell)
+    own = Window.partitionBy(*keys, "cell") if cells > 1 else Window.partitionBy(*keys)
+    rows = rows.withColumn("enough", F.sum(amount).over(own) >= least)
+    if cells == 1:
+        return rows
+    stands = F.col("enough") & (F.row_number().over(own.orderBy("pack")) == 1)
+    rows = rows.withColumn("share", F.when(stands, least).when(~F.col("enough"), amount).otherwise(0))
+    apart = F.when(F.col("share") > 0, F.lit(-1)).otherwise(F.hash("pack", "key"))  # the others are dealt out
+    rows = rows.withColumn("apart", apart)
+    total = F.sum("share").over(Window.partitionBy(*keys, "apart"))
+    return rows.withColumn("enough", F.col("enough") | (total >= least))
+
+
+def repeated_elsewhere(rows: DataFrame, cells: int) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of keys that it has once and another pack has too."""
+    again = _met(rows, cells, _KEY, F.lit(1), 2).where(F.col("enough") & (F.col("times") == 1))
     return again.groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
@@ -138,13 +143,11 @@ def document_counts(pack: int, keys: np.ndarray, doc: np.ndarray) -> tuple[pa.Re
 COUNT_SCHEMA = "key long, pack long, at int, n long"
 
 
-def in_many_documents(counts: DataFrame, sample: DataFrame, least: int) -> DataFrame:
-    """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have; ``sample`` as above."""
-    rows = counts.join(F.broadcast(proven(sample, F.col("n"), least, ("key",))), "key", "left")
-    rows = rows.select("key", F.when(F.col("sure"), F.hash("pack")).otherwise(F.lit(0)).alias("deal"), "pack", "at", F.when(F.col("sure"), F.lit(least)).otherwise(F.col("n")).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("key", "deal"))
-    return rows.withColumn("total", total).where(F.col("total") >= least).groupBy("pack").agg(F.collect_list("at").alias("found"))
+def in_many_documents(counts: DataFrame, cells: int, least: int) -> DataFrame:
+    """(pack, found): for each pack, the ``at`` of its keys that at least so many documents have."""
+    return _met(counts, cells, ("key",), F.col("n"), least).where("enough").groupBy("pack").agg(F.collect_list("at").alias("found"))
 
 
 def with_found(packs: DataFrame, found: DataFrame) -> DataFrame:
-    return packs.join(found, "pack", "left").select("pack", "blob", "found")
+    """(pack, blob, found): the packs stay in their buckets, and what is found for them is looked up in memory."""
+    return packs.join(found.hint("shuffle_hash"), "pack", "left").select("pack", "blob", "found")

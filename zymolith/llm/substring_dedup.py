@@ -15,9 +15,9 @@ core symbol occurs once in the whole corpus, the window occurs once, and it is
 ruled out; only windows whose core symbols all repeat (or whose core is empty)
 are compared as whole windows.  This loses no repeated window.
 
-Windows are compared by two independent hashes, of 64 and 32 bits, made from two
-independent hashes of every word: among n remaining windows about n*n/2**97 pairs
-of different ones are expected to agree, none in a corpus of 10**13 words.
+Windows are compared by two independent hashes of 64 bits each, made from two
+independent hashes of every word: among n remaining windows about n*n/2**129 pairs
+of different ones are expected to agree, one in 10**10 corpora of 10**14 words.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packs import KEY_SCHEMA, in_order, key_rows, map_packs, packed, repeated_elsewhere, some_packs, with_found
+from .packs import KEY_SCHEMA, cells_of, in_order, key_rows, map_packs, packed, repeated_elsewhere, with_found
 from .text import U64, Words, hash_ranges, mix, pair, salted, words_of
 
 WINDOW = 35
@@ -66,9 +66,9 @@ def _window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray
 
 
 def _window_names(w: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window, of 64 and 32 bits."""
+    """Two independent hashes of each window."""
     other = hash_ranges(w.data, w.start, w.end, _SECOND)
-    return _window_hashes(w.hash, at, window), (_window_hashes(other, at, window) >> U64(32)).astype(np.uint32)
+    return _window_hashes(w.hash, at, window), _window_hashes(other, at, window)
 
 
 def _parse(w: Words, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     rows are each other's copies.  Other columns are ignored.  An empty table
     gives an empty result.
     """
-    packs = packed(docs, "substring", id_col, text_col)
+    packs = packed(docs, "substring", id_col, text_col, in_buckets=True)
 
     def symbols(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         names, span, _, _, _ = _parse(words_of(rows.column(1)), window, rounds)
@@ -154,13 +154,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             name, check = _window_names(w, at, window)
             yield key_rows(pack, name, at, check)
 
-    def all_windows(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
-        w = words_of(rows.column(1))
-        at = _window_starts(w, window)
-        if len(at):
-            name, check = _window_names(w, at, window)
-            yield key_rows(pack, name, at, check)
-
     def kept(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         w = words_of(rows.column(1))
         n = len(w.hash)
@@ -181,9 +174,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             ["doc_id", "n_words", "n_removed", "kept_text"],
         )
 
-    some = some_packs(packs)
-    names = repeated_elsewhere(map_packs(packs, symbols, KEY_SCHEMA), map_packs(some, symbols, KEY_SCHEMA))
-    again = repeated_elsewhere(map_packs(with_found(packs, names), windows, KEY_SCHEMA), map_packs(some, all_windows, KEY_SCHEMA))
+    cells = cells_of(packs)
+    names = repeated_elsewhere(map_packs(packs, symbols, KEY_SCHEMA), cells)
+    again = repeated_elsewhere(map_packs(with_found(packs, names), windows, KEY_SCHEMA), cells)
     return map_packs(with_found(packs, again), kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
