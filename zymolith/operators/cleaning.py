@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sides import small_side
 from ..functions.fixed_values import KINGDOMS
 
 MAX_LENGTH = 2000
@@ -115,7 +116,7 @@ def fold_column(df: DataFrame, folds: DataFrame, unsplittable: DataFrame, id_col
     """Adds ``split`` ("fold_i", else "-1") and ``split_ignore_in_eval`` ("1" for targets that cannot be split, else "")."""
     names = folds.groupBy(id_col).agg(F.min("fold").alias("fold"))
     marks = unsplittable.select(F.col(target), F.lit("1").alias("_ignore")).distinct()
-    out = df.join(names, id_col, "left").join(F.broadcast(marks), target, "left")
+    out = df.join(names, id_col, "left").join(small_side(marks), target, "left")
     split = F.coalesce(F.concat(F.lit("fold_"), F.col("fold").cast("string")), F.lit("-1"))
     return out.withColumns({"split": split, "split_ignore_in_eval": F.coalesce("_ignore", F.lit(""))}).drop("fold", "_ignore")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sides import small_side
+
 # Label names with a meaning of their own.
 DETECTED, UNKNOWN, NEGATIVE, OTHER, PRECURSOR = "isTPS", "Unknown", "Negative", "other", "precursor substr"
 PRECURSOR_TYPES = ("ggpps", "fpps", "gpps", "gfpps", "hsqs")
@@ -46,9 +48,9 @@ def ignored_rewrite(ignored: Column, target: Column) -> Column:
 def major_class_distribution(sets: DataFrame, classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, class, share): only sets of one member are counted; absent classes have 0."""
     by = list(by)
-    single = sets.where(F.size("labels") == 1).select(*by, F.col("labels")[0].alias("class")).join(F.broadcast(classes), "class", "left_semi")
+    single = sets.where(F.size("labels") == 1).select(*by, F.col("labels")[0].alias("class")).join(small_side(classes), "class", "left_semi")
     counts = single.groupBy(*by, "class").agg(F.count(F.lit(1)).alias("n"))
-    frame = (sets.select(*by).distinct().crossJoin(F.broadcast(classes)) if by else classes).join(counts, [*by, "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    frame = (sets.select(*by).distinct().crossJoin(small_side(classes)) if by else classes).join(counts, [*by, "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     totals = frame.groupBy(*by).agg(F.sum("n").alias("total"))
     frame = frame.join(totals, by) if by else frame.crossJoin(F.broadcast(totals))
     return frame.select(*by, "class", F.try_divide("n", "total").alias("share"))

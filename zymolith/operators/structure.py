@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TEMPLATES
+from ..functions.sides import small_side
 from .relations import priority_merge
 from .segments import has_long_segment, islands, longest_segment, parse_selection
 
@@ -48,13 +49,13 @@ def alignments_kept(regions: DataFrame, limits: DataFrame, with_size: bool = Tru
     keep = F.col("score") >= F.col("least_score")
     if with_size:
         keep = keep & (size() >= F.col("least_size"))
-    return regions.join(F.broadcast(limits), "domain").where(keep).select(*regions.columns)
+    return regions.join(small_side(limits), "domain").where(keep).select(*regions.columns)
 
 
 def mapped_regions(regions: DataFrame, limits: DataFrame) -> DataFrame:
     """Candidates above the score threshold and at or above the size: stricter than ``alignments_kept`` on ties."""
     keep = (F.col("score") > F.col("least_score")) & (size() >= F.col("least_size"))
-    return regions.join(F.broadcast(limits), "domain").where(keep).select(*regions.columns)
+    return regions.join(small_side(limits), "domain").where(keep).select(*regions.columns)
 
 
 def residues_of(regions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
+from ..functions.running import ordinals
 from ..operators import labels as L
 from ..sources import tables as S
 from ..sources import text_formats as X
@@ -96,13 +97,13 @@ def k5(spark, d):
     return S.gathered(table(spark, d, "events").where("value >= 99").withColumn("id", F.col("event_id")), "value").select("user_id", "event_id", "value")
 
 
-@query("k6_fasta_ordinals", "SELECT 4::BIGINT AS records, '0,1,2,3' AS headers")
+@query("k6_fasta_ordinals", "SELECT (row_number() OVER (ORDER BY item_id) - 1)::VARCHAR AS header, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::INTEGER AS n FROM benchmark")
 def k6(spark, d):
+    """Letters of all items, without ids: the ordinal is the header."""
     to = _folder(spark)
-    rows = spark.createDataFrame([(k, s) for k, s in enumerate(["ACD", "EF", "GH", "I"])], "ordinal long, sequence string").coalesce(1)
+    rows = ordinals(table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence")), ["item_id"], "ordinal")
     X.write_fasta(rows, to, id_col=None)
-    back = X.read_fasta(spark, to)
-    return back.agg(F.count(F.lit(1)).alias("records"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "header"))), lambda x: x["header"]), ",").alias("headers"))
+    return X.read_fasta(spark, to).select("header", F.length("sequence").alias("n"))
 
 
 CLASSES = ["isTPS", "c-1"]

@@ -223,10 +223,8 @@ def t2(spark, d):
 
 @query("t4_two_key_sort", "SELECT l_suppkey, n, q, row_number() OVER (ORDER BY n DESC, q DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n, first(l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY l_suppkey)")
 def t4(spark, d):
-    from pyspark.sql import Window
-
     by = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min_by("l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).alias("q"))
-    return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("q"), "l_suppkey")))
+    return ordinals(by, [F.desc("n"), F.desc("q"), "l_suppkey"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("t5_two_smallest", "SELECT l_orderkey, round(l_extendedprice, 6) AS price, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS rank FROM lineitem) WHERE rank <= 2")

@@ -149,10 +149,17 @@ def p27(spark, d):
     return out.drop("o_orderpriority")
 
 
-@query("p29_class_parameters", "SELECT 'depth' AS name, '9' AS value UNION ALL SELECT 'x_depth', '9' UNION ALL SELECT 'trees', '10'")
+@query(
+    "p29_class_parameters",
+    """SELECT 'p' || s_suppkey AS name, (CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 100 ELSE s_nationkey END)::VARCHAR AS value FROM supplier
+    UNION ALL SELECT 'x_p' || s_suppkey, (s_nationkey + 100)::VARCHAR FROM supplier WHERE s_suppkey % 3 = 0""",
+)
 def p29(spark, d):
-    params = spark.createDataFrame([("depth", "5"), ("trees", "10"), ("x_depth", "9")], "name string, value string")
-    return C.parameters_of(params, "x")
+    """A parameter a supplier; every third one has a value of its own for class x."""
+    s = table(spark, d, "supplier")
+    plain = s.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_nationkey").cast("string").alias("value"))
+    own = s.where("s_suppkey % 3 = 0").select(F.concat(F.lit("x_p"), F.col("s_suppkey").cast("string")).alias("name"), (F.col("s_nationkey") + 100).cast("string").alias("value"))
+    return C.parameters_of(plain.unionByName(own), "x")
 
 
 @query("a1_label_sets", f"WITH {_SETS} SELECT id, array_to_string(labels, ',') AS labels FROM sets")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TEMPLATES
 from ..functions.scratch import written
+from ..functions.sides import small_side
 from ..operators import alignment as A
 from ..operators import folds as K
 from ..operators import segments as S
@@ -178,9 +179,13 @@ def g2(spark, d):
     return G.mapped_regions(regions(spark, d), G.thresholds(spark)).select("module_id", "domain")
 
 
-@query("g3_thresholds", f"WITH {_LIMITS} SELECT domain, s::DOUBLE AS least_score, z AS least_size FROM limits")
+@query("g3_thresholds", f"WITH {_ITEMS}, {_REGIONS}, {_LIMITS} SELECT domain, s::DOUBLE AS least_score, z AS least_size, count(*) FILTER (score >= s) AS by_score, count(*) FILTER (score >= s AND n >= z) AS kept FROM limits LEFT JOIN regions USING (domain) GROUP BY ALL")
 def g3(spark, d):
-    return G.thresholds(spark)
+    """Each domain's thresholds, and how many candidate regions reach the first and both of them."""
+    r = regions(spark, d).select("domain", "score", G.size().alias("n"))
+    reach = F.col("score") >= F.col("least_score")
+    both = G.thresholds(spark).join(r, "domain", "left")
+    return both.groupBy("domain", "least_score", "least_size").agg(F.count(F.when(reach, 1)).alias("by_score"), F.count(F.when(reach & (F.col("n") >= F.col("least_size")), 1)).alias("kept"))
 
 
 @query("g4_remaining", f"WITH {_ITEMS}, {_REGIONS} SELECT DISTINCT file, residue::INTEGER AS residue FROM items i WHERE NOT EXISTS (SELECT 1 FROM items j WHERE j.file = i.file AND j.residue = i.residue AND j.k % 5 = 0)")
@@ -348,8 +353,13 @@ _SELECTIONS = ", ".join(f"('{d}', {'NULL' if r is None else repr(r)})" for d, (_
 
 @query(
     "g14_templates",
-    f"""WITH t(domain, sel) AS (VALUES {_SELECTIONS}), p AS (SELECT domain, unnest(string_split(sel, '+')) AS x FROM t)
-    SELECT domain, coalesce(sum(split_part(x, '-', 2)::INTEGER - split_part(x, '-', 1)::INTEGER + 1), 0)::INTEGER AS residues FROM t LEFT JOIN p USING (domain) GROUP BY domain""",
+    f"""WITH {_ITEMS}, t(domain, sel) AS (VALUES {_SELECTIONS}), p AS (SELECT domain, unnest(string_split(sel, '+')) AS x FROM t),
+    r AS (SELECT domain, unnest(range(split_part(x, '-', 1)::INTEGER, split_part(x, '-', 2)::INTEGER + 1)) AS residue FROM p), every AS (SELECT DISTINCT file, residue FROM items)
+    SELECT t.domain, e.file, count(*) AS residues FROM t JOIN every e ON t.sel IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.domain = t.domain AND r.residue = e.residue) GROUP BY ALL""",
 )
 def g14(spark, d):
-    return G.templates(spark).groupBy("domain").agg(F.count("residue").cast("int").alias("residues"))
+    """How many of a file's residues lie in each template's selection; a template without one takes all."""
+    every = G.residues_of(regions(spark, d)).select("file", "residue").distinct()
+    t = G.templates(spark).select("domain", F.col("residue").alias("r"))
+    met = every.join(small_side(t), F.col("r").isNull() | (F.col("r") == F.col("residue")))
+    return met.groupBy("domain", "file").agg(F.count(F.lit(1)).alias("residues"))

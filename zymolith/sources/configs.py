@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sides import small_side
+
 
 def _scalar(text: str):
     text = text.strip()
@@ -90,7 +92,7 @@ def latest_results(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     runs = registry.groupBy(F.col("fold").alias("rf"), F.col("class").alias("rc")).agg(F.max_by("path", "ts").alias("path"))
     fits = ((F.col("rf") == F.col("fold")) | (F.col("rf") == "all_folds")) & ((F.col("rc") == F.col("class")) | (F.col("rc") == "all_classes"))
     rank = (F.col("rf") == F.col("fold")).cast("int") * 2 + (F.col("rc") == F.col("class")).cast("int")
-    return wanted.join(F.broadcast(runs), fits).groupBy("fold", "class").agg(F.max_by("path", rank).alias("path"))
+    return wanted.join(small_side(runs), fits).groupBy("fold", "class").agg(F.max_by("path", rank).alias("path"))
 
 
 def discovered_table(spark: SparkSession, root: str | Path) -> DataFrame:

@@ -64,13 +64,21 @@ def screen_stream(spark: SparkSession, source: str, schema: str, transform: Call
 
     The checkpoint makes a restart go on after the last finished batch.  Every batch
     has its own folder ``batch=n`` of the sink, so a batch that was written but not
-    committed is written over, and no batch reads the sink.  Ids that have been
-    seen are the stream's state: of rows with one id only the first is screened.
+    committed is written over, and no batch reads the sink.  Of rows with one id only
+    the first is screened: the ids of every batch are written beside the checkpoint
+    and joined against, so no state grows in memory.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source).dropDuplicates([done_on])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    seen = f"{checkpoint.rstrip('/')}-seen"
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        new = batch.dropDuplicates([done_on])
+        if number:
+            before = spark.read.parquet(*[f"{seen}/batch={k}" for k in range(number)]).select(done_on)
+            new = new.join(before, done_on, "left_anti").select(*batch.columns)
+        new.select(done_on).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        own = spark.read.parquet(f"{seen}/batch={number}")
+        transform(batch.dropDuplicates([done_on]).join(own, done_on, "left_semi").select(*batch.columns)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
