@@ -36,8 +36,10 @@ def canonical(df: DataFrame, column: str, out: str, dictionary: DataFrame | None
             return texts.map(one)
 
         known = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull() & ~F.col(column).isin(*PASSED_ON)).distinct()
-        dictionary = known.select("text", call("text").alias("canonical"))
-    names = dictionary.select(F.col("text").alias(column), F.col("canonical").alias("_c")).distinct()
+        # a second distinct() above would let the optimizer drop this one, and call the function for every row
+        names = known.select(F.col("text").alias(column), call("text").alias("_c"))
+    else:
+        names = dictionary.select(F.col("text").alias(column), F.col("canonical").alias("_c")).distinct()
     joined = df.join(names, column, "left")
     return joined.withColumn(out, F.when(F.col(column).isin(*PASSED_ON), F.col(column)).otherwise(F.col("_c"))).drop("_c")
 
