@@ -163,3 +163,98 @@ def test_driver_table_keeps_no_entity(spark, sf_dir):
         left |= {(k, P.normal(k, t)) for k, _, _, t in m}
     assert len(real) > 10 and not real & left and len(left) == len(real)
     assert set(out) == set(docs)
+
+
+def test_account_numbers_keep_their_check_digits():
+    right = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    rnd = random.Random(3)
+    rest = "".join(rnd.choice("0123456789") for _ in range(18))
+    made = [f"DE{P._iban_check('DE', r)}{r}" for r in {rest, rest[::-1], "5" * 18, "0" * 17 + "1"}]
+    assert all(right(x) and right(P.surrogate("iban", x, KEY)) for x in made)
+    every = [f"DE{k:02d}{rest}" for k in range(100)]
+    new = [P.surrogate("iban", x, KEY) for x in every]
+    assert len(set(new)) == 100 and sum(map(right, new)) <= sum(map(right, every))
+    spaced = P.surrogate("iban", "GB29 NWBK 6016 1331 9268 19", KEY)
+    assert right(spaced.replace(" ", "")) and [len(x) for x in spaced.split()] == [4, 4, 4, 4, 4, 2]
+    assert spaced.replace(" ", "") == P.surrogate("iban", "GB29NWBK60161331926819", KEY)
+
+
+def test_addresses_of_version_six():
+    text = "at 2001:db8::1, [fe80::1ff:fe23:4567:890a] and 2001:0db8:0:0:0:0:0:1; not 12:30:45, std::cout, a::b, ::1, ::, 1:2:3:4:5:6:7:8:9"
+    got = [t for k, _, _, t in dict(P.mentions(pa.array([text])))[0] if k == "ip6"]
+    assert got == ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:0:0:0:0:0:1"]
+    new = [P.surrogate("ip6", x, KEY) for x in got]
+    norm = [P.normal("ip6", x) for x in new]
+    assert norm[0] == norm[2] != P.normal("ip6", got[0]) and new[0].startswith("2001:") and "::" in new[0] and "::" not in new[2]
+    assert new[1].startswith("fe80::") and all(P._is_personal_ip6(x) for x in new)
+    assert P.surrogate("ip6", norm[0], KEY, 3) != norm[0]
+
+
+def test_unlisted_names_keep_sounds_and_endings():
+    for text in ("Emily", "Priya", "Gonzalo", "Øystein", "Зинаида"):
+        new = P.surrogate("given", text, KEY)
+        assert new != text and new[-1] == text[-1] and [c.lower() in P.VOWELS for c in new] == [c.lower() in P.VOWELS for c in text] and new[0].isupper()
+    assert P.surrogate("name", "Иванова Анна", KEY).split()[1] in P.NAMES["female", "cyrillic"] and P.surrogate("family", "Иванова", KEY).endswith("ва")
+    for kind, group in (("given", [a + b + "a" for a in "bcd" for b in "aeiou"]), ("family", [a + b for a in "αβγδ" for b in "εζη"]), ("given", [chr(0x4E00 + k) for k in range(30)])):
+        new = [P.surrogate(kind, x, KEY) for x in group]
+        assert len(set(new)) == len(group) and {P.shape(kind, x) for x in new} == {P.shape(kind, x) for x in group}
+
+
+def test_persons_of_no_list(spark):
+    texts = {
+        1: "Emily Johnson called Priya Patel.",
+        2: "Dear Gwendolyn Ashworth, the parcel came. Thanks, Gwendolyn",
+        3: "Mohammed Al-Sayed and the Will Grant of the Apache License in San Francisco",
+        4: "王伟 met 李娜, 我叫张小明。后来张小明走了，陈教授也走了",
+        5: "Иванова Анна пришла",
+        6: "phone 5558675309, order 5558675309123",
+        7: "they will grant it: a dear friend, and Dear Customer, too",
+        8: "The Big Annual Meeting Of Friends",
+        9: "big annual meeting of the license",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in P.replace_personal_data(docs, KEY).collect()}
+    assert {k: r.n_name for k, r in out.items()} == {1: 2, 2: 2, 3: 1, 4: 5, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
+    assert all(out[k].text == texts[k] for k in (7, 8, 9)) and out[6].n_phone == 1 and out[6].text.endswith("order 5558675309123")
+    for word in "Emily Johnson Priya Patel Gwendolyn Ashworth Mohammed Sayed 王伟 李娜 张小明 Иванова Анна 5558675309,".split():
+        assert all(word not in r.text for r in out.values()), word
+    a, b = re.findall("(?<=叫).{3}|(?<=来).{3}", out[4].text)
+    assert a == b and out[4].text.endswith("教授也走了") and out[3].text.endswith("and the Will Grant of the Apache License in San Francisco")
+
+
+def test_recall_and_precision_on_names_of_no_list(spark):
+    """Syllable names in prose of small words, with places, organisations, headings and sentence beginnings around them."""
+    rnd = random.Random(11)
+    syllables = "ka lo mi ren tas vel dor un bri sha quo zel pim nar".split()
+    coin = lambda n: "".join(rnd.choice(syllables) for _ in range(n))
+    plain = sorted({coin(2) + "ly" for _ in range(120)})
+    persons = [f"{coin(2).title()}{rnd.choice('aeo')} {coin(3).title()}s" for _ in range(80)]
+    noise = ["Lake Kerrin", "Oldham University", "New Dorshire", *(f"{rnd.choice(plain).title()} {rnd.choice(plain).title()}" for _ in range(40))]
+    rows, truth = [], {}
+    for d in range(300):
+        words = [rnd.choice(plain) for _ in range(40)]
+        words[0] = words[0].title()
+        names = rnd.sample(persons, rnd.randrange(3))
+        for n in [*names, *rnd.sample(noise, 2)]:
+            words[rnd.randrange(1, len(words))] = n + ","
+        text = " ".join(words) + "."
+        truth[d] = [n for n in persons if n + "," in text]
+        rows.append((d, text))
+    out = {r.doc_id: r for r in P.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), KEY).collect()}
+    total = sum(map(len, truth.values()))
+    missed = sum(n in out[d].text for d, names in truth.items() for n in names)
+    found = sum(r.n_name for r in out.values())
+    assert total > 200 and missed <= 0.1 * total
+    assert total - missed >= 0.95 * found
+    assert all(n in out[d].text for d, t in rows for n in noise if n + "," in t)
+
+
+def test_names_do_not_depend_on_packs(spark, monkeypatch):
+    rows = [(k, t) for k, t in enumerate(["Emily Johnson wrote", "an emily johnson here", "Priya Patel said", "Priya Patel left", None, ""] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from zymolith.llm import packs
+
+    one = sorted((r.doc_id, r.text) for r in P.replace_personal_data(docs.repartition(1), KEY).collect())
+    monkeypatch.setattr(packs, "CELL_PACKS", 2)
+    assert sorted((r.doc_id, r.text) for r in P.replace_personal_data(docs.repartition(6), KEY).collect()) == one
+    assert one[0][1] == "Emily Johnson wrote" and "Priya" not in one[2][1]

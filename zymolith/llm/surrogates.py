@@ -1,14 +1,19 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Detected entities (emails, IPv4 addresses, IBANs, social security numbers,
+Detected entities (emails, IP addresses, IBANs, social security numbers,
 phone numbers, card numbers, person names) are replaced in whole texts.  A
 surrogate keeps the format: digits stay digits, letters stay letters of the same
 script and case, separators stay; card numbers keep whether they pass the Luhn
-test; listed given names are exchanged within their gender and script.
+test, IBANs whether their check digits are right; listed given names are exchanged
+within their gender and script.  In other names vowels stay vowels and consonants
+consonants, and the ending that shows a gender stays.
 
 Persons are found by listed given names, by what stands before them (titles,
-introductions, closings of letters) and by what joins them to a person that was
-found (``Anna Stone met Bob Reed and Wei Chen``).  A name is two kinds of entity,
+introductions, salutations, closings of letters), by what joins them to a person that
+was found (``Anna Stone met Bob Reed and Wei Chen``), and by the corpus: two or three
+capitalised words in a row, each of which at most one document in twenty that has it so
+has in small letters.  Chinese names are found by a family name before a title, after an
+introduction or alone between other scripts.  A name is two kinds of entity,
 given names and family names, each with its own surrogates; where a document
 names a person, the given or family name alone is the same entity there and
 everywhere: ``Ms Stone`` follows ``Anna Stone``.
@@ -28,8 +33,11 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+import string
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +46,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packs import map_packs, packed, unpacked
+from ..functions.sides import small_side
+from .packs import cells_of, map_packs, packed, unpacked
 from .shared import written
 from .text import string_bytes
 
@@ -49,9 +58,11 @@ NAMES = {
     ("female", "cyrillic"): "Анна Вера Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("male", "cyrillic"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "".join(map(chr, range(0x4E00, 0x9FA6))))
+VOWELS = set("aeiouyаеиоуыэюяαεηιουωàáâãäåæèéêëìíîïòóôõöøùúûüý")
 KINDS = ("email", "ip", "iban", "ssn", "phone", "card", "name")
 
+_MARKS = string.punctuation + "“”‘’«»„…—–"
 _GROUP = {name: key for key, names in NAMES.items() for name in names}
 _ALPHABET = {c: k for k, letters in enumerate(ALPHABETS) for c in letters}
 _AT = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -60,6 +71,7 @@ _RULES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+" + _AT,
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\w./+-])0\d{2,4}[ /-]\d{5,8}(?![\d./-]?\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
@@ -74,12 +86,36 @@ _FULL = re.compile(_PLAIN.pattern + "|(?P<name>\\b(?:" + "|".join(sorted(_GROUP,
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Señor Señora Monsieur Madame Mme".split()
 INTRODUCTIONS = ("my name is", "mein Name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "меня зовут", "yours sincerely,", "kind regards,", "best regards,")
 JOINS = "and und y et и met with".split()
+SALUTATIONS = "Dear Hi Hello Hey Liebe Lieber Hallo Chère Cher Querida Querido Hola Estimada Estimado Дорогая Дорогой Уважаемая Уважаемый Привет".split()
+# Words that name no person beside another capitalised word, or after a salutation.
+NO_PERSON = set(
+    "All Customer Customers Colleague Colleagues Everyone Friend Friends Madam Santa Sir Sirs Team World "
+    "New San Los Las Saint Mount Lake Lago Fort Port North South East West Northern Southern Eastern Western Great "
+    "Street Road Avenue Boulevard Square City County State States Kingdom Republic Island Islands River Valley Beach Park Airport Station "
+    "Inc Corp Ltd Company Group Bank University College School Institute Museum Hotel Hospital Church Committee Council Foundation License Public "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December".split()
+)
+PLACES = set("San Santa Saint Mount Lake Port Fort".split())
+# Frequent Chinese family names that begin few other words, and what stands before and after a name.
+FAMILIES = "王李张刘陈杨黄赵吴周徐孙朱胡郭林罗郑梁谢宋唐许韩冯邓曹彭曾肖董袁潘蒋蔡杜苏魏吕丁沈姚卢姜崔钟谭陆汪廖贾邹孟熊秦邱薛阎侯邵戴"
+HAN_INTRODUCTIONS, HAN_TITLES = "我叫 名叫 我是".split(), "先生 女士 小姐 教授 博士 医生 老师 经理".split()
+# Endings of Russian family names, and words before a bare telephone number.
+RUSSIAN_FAMILY = re.compile(r"(?:[оеё]ва?|[иы]на?|ск(?:ий|ая)|енко|ук|юк)$")
+CALLS = "phone telephone telefon tel mobile mob cell fax call whatsapp".split()
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _CAP = rf"[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)*"
 _TITLE = rf"(?:{'|'.join(TITLES)})\b"
 _INTRO = "(?i:" + "|".join(re.escape(x).replace("\\ ", r"\s") for x in INTRODUCTIONS) + ")"
 _CONTEXT = re.compile(rf"(?<!\w)(?:{_TITLE}\.?[ \u00a0]){{1,3}}(?!{_TITLE})(?P<titled>{_CAP}(?:[ \u00a0]{_CAP})?)(?!\w)|(?<!\w){_INTRO}\s{{1,4}}(?P<intro>{_CAP}(?:[ \u00a0]{_CAP})?)(?!\w)")
+_HELLO = re.compile(rf"(?<!\w)(?:{'|'.join(SALUTATIONS)}),? (?!{_TITLE})(?P<hello>{_CAP}(?: {_CAP})?)(?=[ \u00a0]?(?:[,!.:;\n]|$))")
+_RUN = re.compile(rf"(?<!\w){_CAP}(?: {_CAP})+(?!\w)")
+_BEFORE = re.compile(rf"(?<!\w)({_CAP}) $")
+_CALLED = re.compile(rf"(?i:\b(?:{'|'.join(CALLS)})\b)(?i:[ .:#]| me| at| us| on| no| is){{1,5}}(?P<phone>\d{{10,11}})(?![\w]|\.\d)")
+_H = "\u4e00-\u9fa5"
+_HAN = re.compile(rf"(?:{'|'.join(HAN_INTRODUCTIONS)})(?P<a>[{FAMILIES}][{_H}]{{1,2}})(?![{_H}])|(?<![{_H}])(?P<b>[{FAMILIES}][{_H}]{{1,2}})(?![{_H}])|(?P<c>[{FAMILIES}][{_H}]{{0,2}}?)(?={'|'.join(HAN_TITLES)})")
+_ANY_HAN = re.compile(f"[{FAMILIES}]")
+_IS_HAN = re.compile(rf"[{_H}]+$")
 _JOINED = re.compile(rf",? (?:{'|'.join(JOINS)}) (?P<name>{_CAP} {_CAP})(?!\w)")
 _WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 
@@ -89,6 +125,13 @@ def _permuted(key: bytes, tweak: str, letters: str, run: str) -> str:
     """A keyed permutation of the strings over ``letters`` of the length of ``run``."""
     n, base = len(run), len(letters)
     value = lambda s: int(hashlib.blake2b(s.encode(), key=key, digest_size=24).hexdigest(), 16)
+    if n == 1 and base > 64:  # as two digits, walked until they are a letter again
+        side = math.isqrt(base - 1) + 1
+        digits, at = "".join(map(chr, range(side))), letters.index(run)
+        while True:
+            high, low = _permuted(key, tweak, digits, digits[at // side] + digits[at % side])
+            if (at := ord(high) * side + ord(low)) < base:
+                return letters[at]
     if n == 1:
         order = sorted(letters, key=lambda c: value(f"{tweak}|1|{c}"))
         return order[letters.index(run)]
@@ -128,6 +171,83 @@ def _letters(key: bytes, tweak: str, text: str) -> str:
     return "".join(out)
 
 
+def _sort_of_letter(c: str) -> tuple[int, bool] | None:
+    kind = _ALPHABET.get(c)
+    return None if kind is None else (kind, c in VOWELS)
+
+
+_SORTS = {sort: "".join(c for c in ALPHABETS[sort[0]] if (c in VOWELS) == sort[1]) for k, letters in enumerate(ALPHABETS) for sort in {(k, c in VOWELS) for c in letters}}
+
+
+def _kept_ending(kind: str, text: str) -> int:
+    """Letters at the end of a name that may show a gender."""
+    if _IS_HAN.match(text):
+        return 0
+    return 1 if kind == "given" else 2 if _ALPHABET.get(text[-1:].lower()) == 2 and len(text) > 4 else 0
+
+
+def _sounds(key: bytes, tweak: str, kind: str, text: str) -> str:
+    """Permutes the vowels and the consonants of a name, each kind as one run; its ending, case and other characters stay."""
+    stem = text[: len(text) - _kept_ending(kind, text)]
+    low = [c.lower() if len(c.lower()) == 1 else c for c in stem]
+    new = list(low)
+    for sort in sorted({x for x in map(_sort_of_letter, low) if x}):
+        at = [k for k, c in enumerate(low) if _sort_of_letter(c) == sort]
+        run = _permuted(key, f"{tweak}|{sort[0]}{sort[1]:d}", _SORTS[sort], "".join(low[k] for k in at))
+        for k, c in zip(at, run, strict=True):
+            new[k] = c
+    return "".join(b.upper() if a != c else b for a, b, c in zip(stem, new, low, strict=True)) + text[len(stem) :]
+
+
+def _iban_check(country: str, rest: str) -> str:
+    """The check digits that make an account number right."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in (rest + country).upper()) + '00') % 97:02d}"
+
+
+def _iban(key: bytes, tweak: str, text: str) -> str:
+    """Check digits stay right or wrong; spaces stay where they are."""
+    flat = text.replace(" ", "")
+    country, check, rest = flat[:2], flat[2:4], flat[4:]
+    new = _letters(key, tweak, rest)
+    right, new_right = _iban_check(country, rest), _iban_check(country, new)
+    if check != right:
+        wrong = _permuted(key, f"{tweak}|check|{new.lower()}", ALPHABETS[0], check)
+        new_right = wrong if wrong != new_right else _permuted(key, f"{tweak}|check|{new.lower()}", ALPHABETS[0], right)
+    it = iter(country + new_right + new)
+    return "".join(c if c == " " else next(it) for c in text)
+
+
+def _groups(text: str) -> list[str]:
+    """The eight groups of an IPv6 address, four digits each."""
+    left, _, right = text.lower().partition("::")
+    left, right = ([x for x in part.split(":") if x] for part in (left, right))
+    return [x.zfill(4) for x in [*left, *["0"] * (8 - len(left) - len(right)), *right]]
+
+
+def _is_personal_ip6(text: str) -> bool:
+    """An address of eight groups, of which two or more are not zero; ``a::b`` and other scopes of programs are none."""
+    parts = [x for x in text.split(":") if x]
+    full = len(parts) == 8 if "::" not in text else len(parts) < 8
+    return full and sum(int(x, 16) > 0 for x in parts) > 1 and any(c.isdecimal() for c in text) and (len(parts) > 2 or len(parts[0]) == 4)
+
+
+def _ip6(key: bytes, tweak: str, text: str) -> str:
+    """The first group says what sort of address it is and stays, as do zeros; the others are one run of digits."""
+    groups = _groups(text)
+    at = [k for k in range(1, 8) if groups[k] != "0000"]
+    run = "".join(groups[k] for k in at)
+    while True:
+        run = _permuted(key, f"{tweak}|{groups[0]}|{at}", "0123456789abcdef", run)
+        if all(run[k : k + 4] != "0000" for k in range(0, len(run), 4)):
+            break
+    for n, k in enumerate(at):
+        groups[k] = run[4 * n : 4 * n + 4]
+    left, gap, right = text.partition("::")
+    n_left, n_right = (sum(map(bool, x.split(":"))) for x in (left, right))
+    short = [f"{int(x, 16):x}" for x in groups]
+    return ":".join(short[:n_left]) + gap + ":".join(short[8 - n_right :] if n_right else [])
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -148,6 +268,8 @@ def normal(kind: str, text: str) -> str:
         return ("+" if text.startswith("+") else "") + re.sub(r"\D", "", text)
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "ip6":
+        return ":".join(_groups(text))
     return text.replace(" ", "").lower() if kind == "iban" else text.lower() if kind == "email" else text
 
 
@@ -173,42 +295,71 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         host, _, top = domain.rpartition(".")
         return f"{_letters(key, tweak + 'local', name)}@{_letters(key, tweak + 'domain', host)}.{top}"
     if kind == "iban":
-        return text[:2] + _letters(key, tweak, text[2:])
+        return _iban(key, tweak, text)
+    if kind == "ip6":
+        return _ip6(key, tweak, text)
     if kind == "name":
         return "".join(surrogate(k, t, key, attempt) if k else t for k, t in name_parts(kind, text))
     if kind == "given" and text in _GROUP:
         names = NAMES[_GROUP[text]]
         order = sorted(names, key=lambda n: hashlib.blake2b(f"{tweak}|{n}".encode(), key=key, digest_size=16).digest())
         return order[(order.index(text) + 1) % len(order)]
-    return _letters(key, tweak, text)
+    return _sounds(key, tweak, kind, text)
 
 
 def name_parts(kind: str, text: str) -> list[tuple[str, str]]:
     """(kind, text) of the parts of a mention: ``given`` and ``family`` names, and what is between them with an empty kind."""
     if kind not in ("name", "family"):
         return [(kind, text)]
-    out = []
-    for k, part in enumerate(re.split(r"([ \u00a0])", text)):
-        out.append(("" if k % 2 else "given" if kind == "name" and k == 0 else "family", part))
-    return out
+    if _IS_HAN.match(text):
+        return [("family", text[:1]), ("given", text[1:])][: len(text)]
+    parts = re.split(r"([ \u00a0])", text)
+    given = 0 if kind == "name" else -1
+    if given == 0 and len(parts) == 3 and parts[2] in _GROUP and parts[0] not in _GROUP:
+        given = 2  # the family name stands first
+    return [("" if k % 2 else "given" if k == given else "family", part) for k, part in enumerate(parts)]
 
 
 #: Whether a text may hold a name: RE2's word ends are those of ASCII, so wherever the rule's stand, these do; other scripts go without.
 _MAY_NAME = "|".join(rf"\b{n}\b" if n.isascii() else n for n in sorted(_GROUP, key=len, reverse=True))
 
 
-_MAY_CONTEXT = rf"(?:{'|'.join(TITLES)})\.?[ \x{{a0}}]\pL|{_INTRO}"
+_MAY_CONTEXT = rf"(?:{'|'.join(TITLES)})\.?[ \x{{a0}}]\pL|{_INTRO}|(?:{'|'.join(SALUTATIONS)}),? \pL|(?i:{'|'.join(CALLS)})\b[^\d\n]{{1,30}}\d{{10}}"
+_MAY_RUN = r"\p{Lu}\pL+(?:[-'’]\pL+)* \p{Lu}\p{Ll}"
 
 
 def _matches(rule: re.Pattern, text: str) -> Iterator[tuple[str, int, int, str]]:
     at = 0
     while m := (_HERE.match(text, at) if at else None) or rule.search(text, at):
-        yield m.lastgroup, m.start(), m.end(), m[0]
+        if m.lastgroup != "ip6" or _is_personal_ip6(m[0]):
+            yield m.lastgroup, m.start(), m.end(), m[0]
         at = m.end()
 
 
-def _persons(text: str, found: list[tuple[str, int, int, str]], context: bool) -> list[tuple[str, int, int, str]]:
-    """``found`` with the persons that the context shows, and with later mentions of parts of a name."""
+def _in_runs(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Two or three words of ``names`` in a row that stand in no longer row of them."""
+    for m in _RUN.finditer(text):
+        words = m[0].split(" ")
+        if NO_PERSON.isdisjoint(words):
+            at, begin, many = m.start(), m.start(), 0
+            for word in [*words, ""]:
+                if word in names:
+                    many += 1
+                else:
+                    if 1 < many < 4:
+                        yield begin, at - 1
+                    begin, many = at + len(word) + 1, 0
+                at += len(word) + 1
+
+
+def _persons(text: str, found: list[tuple[str, int, int, str]], context: bool, names: set[str]) -> list[tuple[str, int, int, str]]:
+    """``found`` with the persons that the context and the corpus show, and with later mentions of parts of a name."""
+    # a listed name in the name of a place: San Francisco
+    found = [x for x in found if x[0] != "name" or not ((m := _BEFORE.search(text, max(0, x[1] - 40), x[1])) and m[1] in PLACES)]
+    for k, (kind, a, b, mention) in enumerate(found):  # a family name before a listed given name
+        if kind == "name" and mention in _GROUP and (m := _BEFORE.search(text, max(0, a - 40), a)):
+            if m[1] not in _GROUP and m[1] not in NO_PERSON and (RUSSIAN_FAMILY.search(m[1]) or m[1] in names) and (not k or found[k - 1][2] <= m.start()):
+                found[k] = (kind, m.start(), b, text[m.start() : b])
     taken = sorted((a, b) for _, a, b, _ in found)
     starts = [a for a, _ in taken]
 
@@ -225,12 +376,26 @@ def _persons(text: str, found: list[tuple[str, int, int, str]], context: bool) -
         for m in _CONTEXT.finditer(text):
             kind = m.lastgroup
             add("family" if kind == "titled" and len(re.split(r"[ \u00a0]", m[kind])) == 1 else "name", *m.span(kind))
+        for m in _HELLO.finditer(text):
+            if NO_PERSON.isdisjoint(m["hello"].split(" ")):
+                add("name", *m.span("hello"))
+        for m in _CALLED.finditer(text):
+            add("phone", *m.span("phone"))
+    for span in _in_runs(text, names) if names else ():
+        add("name", *span)
+    if _ANY_HAN.search(text):
+        full = set()
+        for m in _HAN.finditer(text):
+            if add("family" if len(m[m.lastgroup]) == 1 else "name", *m.span(m.lastgroup)) and len(m[m.lastgroup]) > 2:
+                full.add(m[m.lastgroup])
+        for m in re.finditer("|".join(sorted(full, key=len, reverse=True)), text) if full else ():
+            add("name", *m.span())
     for kind, _, end, mention in list(found):
         while kind == "name" and len(mention.split()) > 1 and (m := _JOINED.match(text, end)) and add("name", *m.span("name")):
             end, mention = m.end(), m["name"]
     known = {}
     for kind, _, _, mention in found:
-        parts = [x for x in name_parts(kind, mention) if x[0] in ("given", "family")] if kind in ("name", "family") else []
+        parts = [x for x in name_parts(kind, mention) if x[0] in ("given", "family")] if kind in ("name", "family") and not _IS_HAN.match(mention) else []
         if len(parts) > 1 or kind == "family":
             known |= {t: k for k, t in parts if k == "given" and t not in known or k == "family"}
     if known:
@@ -240,29 +405,85 @@ def _persons(text: str, found: list[tuple[str, int, int, str]], context: bool) -
     return sorted(found, key=lambda x: x[1])
 
 
-def mentions(texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, str]]]]:
-    """(row, [(kind, start, end, text)]) of the texts that mention an entity; a ``family`` is a family name alone."""
+def mentions(texts: pa.Array, names: Iterable[str] = ()) -> Iterator[tuple[int, list[tuple[str, int, int, str]]]]:
+    """(row, [(kind, start, end, text)]) of the texts that mention an entity; a ``family`` is a family name alone.
+
+    ``names``: capitalised words that the corpus takes for names.
+    """
     data, doc = string_bytes(texts)
+    names = set(names)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58), dtype=np.int64)])
     at = np.concatenate([[0], np.cumsum(data == 0x40, dtype=np.int64)])
-    plain = (digits[doc[1:]] - digits[doc[:-1]] >= 4) | (at[doc[1:]] > at[doc[:-1]])
-    named, context = (pc.fill_null(pc.match_substring_regex(texts, rule), False).to_numpy(zero_copy_only=False) for rule in (_MAY_NAME, _MAY_CONTEXT))
-    for d in np.flatnonzero(plain | named | context).tolist():
+    has = lambda rule: pc.fill_null(pc.match_substring_regex(texts, rule), False).to_numpy(zero_copy_only=False)
+    plain = (digits[doc[1:]] - digits[doc[:-1]] >= 4) | (at[doc[1:]] > at[doc[:-1]]) | has("[0-9A-Fa-f]::[0-9A-Fa-f]")
+    named, context = has(_MAY_NAME), has(_MAY_CONTEXT)
+    more = has(f"[{FAMILIES}]")
+    if names:
+        more = more | has(_MAY_RUN)
+    for d in np.flatnonzero(plain | named | context | more).tolist():
         text = texts[d].as_py()
         found = list(_matches(_FULL if named[d] else _PLAIN, text)) if plain[d] or named[d] else []
-        if named[d] or context[d]:
-            found = _persons(text, found, context[d])
+        if named[d] or context[d] or more[d]:
+            found = _persons(text, found, context[d], names)
         if found:
             yield d, found
 
 
+def word_cases(texts: pa.Array) -> tuple[dict[str, int], dict[str, int]]:
+    """(in how many texts a word of small letters occurs, in how many a capitalised word stands beside another one that differs)."""
+    runs = pc.fill_null(pc.match_substring_regex(texts, _MAY_RUN), False).to_numpy(zero_copy_only=False)
+    small, large = Counter(), Counter()
+    for d, text in enumerate(texts.to_pylist()):
+        small.update({w for t in set(text.split()) if (w := t.strip(_MARKS)).islower() and w.isalpha()})
+        if runs[d]:
+            rows = (set(m[0].split(" ")) for m in _RUN.finditer(text))
+            large.update(set().union(*(r for r in rows if len(r) > 1 and NO_PERSON.isdisjoint(r))).difference(TITLES, SALUTATIONS))
+    return small, large
+
+
+#: A word is a name if the documents that have it in small letters are at most this share of those that have it in a row of capitalised words.
+SMALL_SHARE = 0.05
+
+
+def names_of_packs(packs: DataFrame) -> DataFrame:
+    """(pack, names): for each pack the words of its rows of capitalised words that the whole corpus takes for names.
+
+    Words meet in cells of packs before they meet each other, so a name that every
+    pack has is a row a cell.
+    """
+
+    def count(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+        small, large = word_cases(rows.column(1))
+        folded = {w.lower() for w in large}
+        words = [*large, *(w for w in small if w not in folded)]
+        n_large = [*large.values(), *[0] * (len(words) - len(large))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pack] * len(words), pa.int64()), pa.array([w if n else None for w, n in zip(words, n_large, strict=True)], pa.string()), pa.array([w.lower() for w in words], pa.string()), pa.array([small.get(w.lower(), 0) for w in words], pa.int64()), pa.array(n_large, pa.int64())],
+            ["pack", "name", "word", "small", "large"],
+        )
+
+    rows = map_packs(packs, count, "pack long, name string, word string, small long, large long")
+    rows = written(rows.withColumn("cell", F.pmod(F.xxhash64("pack"), F.lit(cells_of(packs))).cast("int")), "word-cases")
+    cells = rows.groupBy("word", "cell").agg(F.sum("small").alias("small"), F.sum("large").alias("large"))
+    total = cells.groupBy("word").agg(F.sum("small").alias("s"), F.sum("large").alias("l")).where((F.col("l") > 0) & (F.col("s") <= F.col("l") * SMALL_SHARE))
+    named = cells.where("large > 0").join(total, "word").select("word", "cell")
+    mine = rows.where("large > 0").join(named, ["word", "cell"])
+    return written(mine.groupBy("pack").agg(F.collect_list("name").alias("names")), "names")
+
+
 def shape(kind: str, norm: str) -> str:
     """The format of an entity: all permutations map the entities of one format onto that format."""
     if kind == "ip":
         return ""
+    if kind == "ip6":
+        return norm[:4] + "".join(" 0"[x == "0000"] for x in norm.split(":"))
+    if kind == "iban":
+        return norm[:2] + str(_iban_check(norm[:2], norm[4:]) == norm[2:4]) + "".join(f"<{_ALPHABET.get(c)}>" for c in norm[4:])
     if kind == "given" and norm in _GROUP:
         return " ".join(_GROUP[norm])
-    return "".join(c if k is None else f"<{k}{'^' * (c != low)}>" for c in norm for low in [c.lower()] for k in [_ALPHABET.get(low)])
+    kept = _kept_ending(kind, norm) if kind in ("given", "family") else 0
+    sort = _sort_of_letter if kind in ("given", "family") else _ALPHABET.get
+    return "".join(c if k is None else f"<{k}{'^' * (c != low)}>" for c in norm[: len(norm) - kept] for low in [c.lower()] for k in [sort(low)]) + norm[len(norm) - kept :]
 
 
 def _crowded_names(entities: DataFrame) -> list[str]:
@@ -320,6 +541,8 @@ def entity_attempts(entities: DataFrame, key: bytes, most: int = 30) -> DataFram
     attempt = 0
     while True:
         taken = real if settled is None else real.unionByName(settled)
+        if attempt:  # few are left: what they meet moves to them, not all entities
+            taken = taken.join(small_side(pending.select("kind", "surrogate").distinct()), ["kind", "surrogate"], "left_semi")
         first = Window.partitionBy("kind", "surrogate").orderBy("norm")
         judged = pending.join(taken.withColumn("hit", F.lit(True)).distinct(), ["kind", "surrogate"], "left").withColumn("nth", F.row_number().over(first))
         judged = written(judged.withColumn("ok", F.col("hit").isNull() & (F.col("nth") == 1)), f"surrogates-{attempt}")
@@ -344,17 +567,21 @@ def entity_attempts(entities: DataFrame, key: bytes, most: int = 30) -> DataFram
 def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_iban, n_ssn, n_phone, n_card, n_name, text), one row per row of ``docs``.
 
-    ``text`` is the whole text with every mention replaced; ``n_*`` count mentions.
+    ``text`` is the whole text with every mention replaced; ``n_*`` count mentions,
+    ``n_ip`` addresses of both versions.  Which capitalised words are names follows from
+    all texts of ``docs``.
     ``key`` is the secret that makes surrogates irreversible: who has it can undo them.
     Null text stays null-free: it becomes empty.  Null or repeated ids are carried
     as they are; equal texts get equal results.  Other columns are ignored; an
     empty table gives an empty result.
     """
-    packs = packed(docs, "personal", id_col, text_col)
+    packs = packed(docs, "personal", id_col, text_col, in_buckets=True)
+    names = names_of_packs(packs).hint("shuffle_hash")
+    named = packs.join(names, "pack", "left").select("pack", "blob", "names")
 
     def collect(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
         seen = {}
-        for _, items in mentions(rows.column(1)):
+        for _, items in mentions(rows.column(1), found.to_pylist() if found is not None else ()):
             for kind, _, _, mention in items:
                 for k, text in name_parts(kind, mention):
                     if k:
@@ -364,33 +591,33 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
             new = [normal(k, surrogate(k, t, key)) for (k, _), t in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([pack] * len(seen)), pa.array(kinds), pa.array(norms), pa.array(new)], ["pack", "kind", "norm", "surrogate"])
 
-    where = written(map_packs(packs, collect, "pack long, kind string, norm string, surrogate string"), "mentions")
+    where = written(map_packs(named, collect, "pack long, kind string, norm string, surrogate string"), "mentions")
     entities = written(where.groupBy("kind", "norm").agg(F.min("surrogate").alias("surrogate")), "entities")
     odd = written(entity_attempts(entities, key), "attempts")
     if odd.isEmpty():
-        odd_of = packs
+        odd_of = named
     else:
         item = F.struct("kind", "norm", "attempt")
-        odd_of = packs.join(where.join(odd, ["kind", "norm"]).groupBy("pack").agg(F.collect_list(item).alias("odd")), "pack", "left").select("pack", "blob", "odd")
+        odd_of = named.join(where.join(odd, ["kind", "norm"]).groupBy("pack").agg(F.collect_list(item).alias("odd")).hint("shuffle_hash"), "pack", "left").select("pack", "blob", "names", "odd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = unpacked(batch.column(1)[k].as_py())
-                odd = (batch.column(2)[k].as_py() or ()) if batch.num_columns > 2 else ()
-                yield _replaced(rows, {(x["kind"], x["norm"]): x["attempt"] for x in odd}, key)
+                odd = (batch.column(3)[k].as_py() or ()) if batch.num_columns > 3 else ()
+                yield _replaced(rows, batch.column(2)[k].as_py() or (), {(x["kind"], x["norm"]): x["attempt"] for x in odd}, key)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return odd_of.mapInArrow(run, f"doc_id long, {counts}, text string")
 
 
-def _replaced(rows: pa.RecordBatch, attempts: dict, key: bytes) -> pa.RecordBatch:
+def _replaced(rows: pa.RecordBatch, names: Iterable[str], attempts: dict, key: bytes) -> pa.RecordBatch:
     texts = rows.column(1).to_pylist()
     counts = np.zeros((len(KINDS), len(texts)), np.int64)
-    for d, items in mentions(rows.column(1)):
+    for d, items in mentions(rows.column(1), names):
         out, at, text = [], 0, texts[d]
         for kind, start, end, mention in items:
-            counts[KINDS.index("name" if kind == "family" else kind), d] += 1
+            counts[KINDS.index({"family": "name", "ip6": "ip"}.get(kind, kind)), d] += 1
             out.append(text[at:start])
             out += [surrogate(k, t, key, attempts.get((k, normal(k, t)), 0)) if k else t for k, t in name_parts(kind, mention)]
             at = end
