@@ -207,7 +207,7 @@ def test_persons_of_no_list(spark):
         3: "Mohammed Al-Sayed and the Will Grant of the Apache License in San Francisco",
         4: "王伟 met 李娜, 我叫张小明。后来张小明走了，陈教授也走了",
         5: "Иванова Анна пришла",
-        6: "phone 5558675309, order 5558675309123",
+        6: "phone 5558675309, order 555867530912",
         7: "they will grant it: a dear friend, and Dear Customer, too",
         8: "The Big Annual Meeting Of Friends",
         9: "big annual meeting of the license",
@@ -215,7 +215,7 @@ def test_persons_of_no_list(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     out = {r.doc_id: r for r in P.replace_personal_data(docs, KEY).collect()}
     assert {k: r.n_name for k, r in out.items()} == {1: 2, 2: 2, 3: 1, 4: 5, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
-    assert all(out[k].text == texts[k] for k in (7, 8, 9)) and out[6].n_phone == 1 and out[6].text.endswith("order 5558675309123")
+    assert all(out[k].text == texts[k] for k in (7, 8, 9)) and out[6].n_phone == 1 and out[6].text.endswith("order 555867530912")
     for word in "Emily Johnson Priya Patel Gwendolyn Ashworth Mohammed Sayed 王伟 李娜 张小明 Иванова Анна 5558675309,".split():
         assert all(word not in r.text for r in out.values()), word
     a, b = re.findall("(?<=叫).{3}|(?<=来).{3}", out[4].text)

@@ -43,6 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -429,16 +430,30 @@ def mentions(texts: pa.Array, names: Iterable[str] = ()) -> Iterator[tuple[int,
             yield d, found
 
 
-def word_cases(texts: pa.Array) -> tuple[dict[str, int], dict[str, int]]:
-    """(in how many texts a word of small letters occurs, in how many a capitalised word stands beside another one that differs)."""
+def large_words(texts: pa.Array) -> dict[str, int]:
+    """In how many texts a capitalised word stands beside another one that differs."""
     runs = pc.fill_null(pc.match_substring_regex(texts, _MAY_RUN), False).to_numpy(zero_copy_only=False)
-    small, large = Counter(), Counter()
-    for d, text in enumerate(texts.to_pylist()):
+    large = Counter()
+    for d in np.flatnonzero(runs).tolist():
+        rows = (set(m[0].split(" ")) for m in _RUN.finditer(texts[d].as_py()))
+        large.update(set().union(*(r for r in rows if len(r) > 1 and NO_PERSON.isdisjoint(r))).difference(TITLES, SALUTATIONS))
+    return large
+
+
+def small_words(texts: pa.Array) -> dict[str, int]:
+    """In how many texts a word of small letters occurs."""
+    small = Counter()
+    for text in texts.to_pylist():
         small.update({w for t in set(text.split()) if (w := t.strip(_MARKS)).islower() and w.isalpha()})
-        if runs[d]:
-            rows = (set(m[0].split(" ")) for m in _RUN.finditer(text))
-            large.update(set().union(*(r for r in rows if len(r) > 1 and NO_PERSON.isdisjoint(r))).difference(TITLES, SALUTATIONS))
-    return small, large
+    return small
+
+
+#: Bits of the table of capitalised words; small words whose bit is not set are no name's and stay where they are.
+WORD_BITS = 1 << 24
+
+
+def _bit(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) % WORD_BITS
 
 
 #: A word is a name if the documents that have it in small letters are at most this share of those that have it in a row of capitalised words.
@@ -449,25 +464,41 @@ def names_of_packs(packs: DataFrame) -> DataFrame:
     """(pack, names): for each pack the words of its rows of capitalised words that the whole corpus takes for names.
 
     Words meet in cells of packs before they meet each other, so a name that every
-    pack has is a row a cell.
+    pack has is a row a cell.  A table of bits of fixed size keeps most small words that
+    no capitalised one equals from moving; which words are names does not depend on it.
     """
 
-    def count(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
-        small, large = word_cases(rows.column(1))
-        folded = {w.lower() for w in large}
-        words = [*large, *(w for w in small if w not in folded)]
-        n_large = [*large.values(), *[0] * (len(words) - len(large))]
+    cell = F.pmod(F.xxhash64("pack"), F.lit(cells_of(packs))).cast("int").alias("cell")
+
+    def find_large(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+        large = large_words(rows.column(1))
+        words = [w.lower() for w in large]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([pack] * len(words), pa.int64()), pa.array([w if n else None for w, n in zip(words, n_large, strict=True)], pa.string()), pa.array([w.lower() for w in words], pa.string()), pa.array([small.get(w.lower(), 0) for w in words], pa.int64()), pa.array(n_large, pa.int64())],
-            ["pack", "name", "word", "small", "large"],
+            [pa.array([pack] * len(large), pa.int64()), pa.array(list(large), pa.string()), pa.array(words, pa.string()), pa.array([_bit(w) for w in words], pa.int64()), pa.array(list(large.values()), pa.int64())],
+            ["pack", "name", "word", "bit", "large"],
         )
 
-    rows = map_packs(packs, count, "pack long, name string, word string, small long, large long")
-    rows = written(rows.withColumn("cell", F.pmod(F.xxhash64("pack"), F.lit(cells_of(packs))).cast("int")), "word-cases")
-    cells = rows.groupBy("word", "cell").agg(F.sum("small").alias("small"), F.sum("large").alias("large"))
+    rows = map_packs(packs, find_large, "pack long, name string, word string, bit long, large long")
+    rows = written(rows.select("*", cell), "large-words")
+    # as many rows as the table has longs, whatever the corpus
+    slots = rows.groupBy(F.expr("bit div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(WORD_BITS // 64, np.int64)
+    table[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
+    sent = packs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def find_small(pack: int, rows: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+        words = small_words(rows.column(1))
+        bits = np.array([_bit(w) for w in words], np.uint64)
+        mine = (sent.value[bits // np.uint64(64)] >> (bits % np.uint64(64))) & np.uint64(1) > 0
+        arrays = [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([pack] * len(words), pa.int64()), *arrays], ["pack", "word", "small"]).filter(pa.array(mine, pa.bool_()))
+
+    small = map_packs(packs, find_small, "pack long, word string, small long").select("word", cell, "small", F.lit(0).alias("large"))
+    both = small.unionByName(rows.select("word", "cell", F.lit(0).alias("small"), "large"))
+    cells = written(both.groupBy("word", "cell").agg(F.sum("small").alias("small"), F.sum("large").alias("large")), "word-cases")
     total = cells.groupBy("word").agg(F.sum("small").alias("s"), F.sum("large").alias("l")).where((F.col("l") > 0) & (F.col("s") <= F.col("l") * SMALL_SHARE))
     named = cells.where("large > 0").join(total, "word").select("word", "cell")
-    mine = rows.where("large > 0").join(named, ["word", "cell"])
+    mine = rows.join(named, ["word", "cell"])
     return written(mine.groupBy("pack").agg(F.collect_list("name").alias("names")), "names")
 
 
