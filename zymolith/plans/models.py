@@ -10,7 +10,6 @@ from ..operators import learning as L
 from ..operators import medoids as D
 from ..operators import metrics as M
 from ..operators import multi_output as X
-from ..operators import pairs as P
 from ..operators import profiles as H
 from ..operators import relations as R
 from ..operators import search as Q
@@ -156,19 +155,18 @@ def m12(spark, d):
     return spark.createDataFrame([(round(float(shares[0]), 4), bool(shares[0] >= shares[1] > 0 and sum(shares) <= 1))], "first double, falling boolean")
 
 
-def _pairs(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return P.euclidean_pairs(v), v.select("id"), v
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
 @query("l14_kmedoids")
 def l14(spark, d):
-    return D.kmedoids(*_pairs(spark, d)[:2], 5)[0]
+    return D.kmedoids_of_vectors(_vectors(spark, d), 5)[0]
 
 
 @query("l14_best_k")
 def l14b(spark, d):
-    k, means, clusters = D.best_k_of_vectors(_pairs(spark, d)[2], range(2, 8))
+    k, means, clusters = D.best_k_of_vectors(_vectors(spark, d), range(2, 8))
     return clusters.select("id", "cluster", F.lit(k).alias("k"), F.lit(round(means[k], 6)).alias("silhouette"))
 
 
@@ -180,9 +178,9 @@ def l15(spark, d):
 @query("j17_fill_noise")
 def j17b(spark, d):
     """Every fiftieth item has no label and takes that of its neighbours."""
-    edges, ids, _ = _pairs(spark, d)
-    labels = ids.select("id", F.when(F.col("id") % 50 == 0, -1).otherwise(F.col("id") % 3).alias("label"))
-    return D.filled_noise(edges, labels)
+    v = _vectors(spark, d)
+    labels = v.select("id", F.when(F.col("id") % 50 == 0, -1).otherwise(F.col("id") % 3).alias("label"))
+    return D.filled_noise_of_vectors(v, labels)
 
 
 @query("l22_latest_params", "SELECT user_id, last(event_type ORDER BY ts, event_id) AS params FROM events GROUP BY user_id")
