@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.running import at_least_one, running_sums
 from ..functions.scratch import written
+from .blocks import label_sums, packed
 
 NAN = float("nan")
 
@@ -233,9 +234,20 @@ def silhouette(distances: DataFrame, clusters: DataFrame) -> DataFrame:
     Mean distance by (point, cluster) first, so only points times clusters rows are
     compared; a point alone in its cluster has 0.
     """
-    sizes = clusters.groupBy("cluster").count()
     to = clusters.select(F.col("id").alias("j"), F.col("cluster").alias("other"))
     means = distances.join(to, "j").groupBy("i", "other").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("c"))
+    return _silhouette(means, clusters)
+
+
+def silhouette_of_vectors(vectors: DataFrame) -> DataFrame:
+    """The same by Euclidean distance of (id, embedding, cluster): sums over pairs of packs instead of a list of pairs."""
+    means = label_sums(packed(vectors, rest=["cluster"]), "cluster")
+    return _silhouette(means, vectors.select("id", "cluster"))
+
+
+def _silhouette(means: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``silhouette`` from (i, other, s, c): sum and number of distances to each cluster."""
+    sizes = clusters.groupBy("cluster").count()
     rows = clusters.withColumnRenamed("id", "i").join(means, "i", "left")
     a = F.max(F.when(F.col("cluster") == F.col("other"), F.col("s") / F.col("c")))
     b = F.min(F.when(F.col("cluster") != F.col("other"), F.col("s") / F.col("c")))

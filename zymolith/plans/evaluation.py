@@ -185,8 +185,5 @@ dist AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range
     SELECT id, cluster, round(CASE WHEN (SELECT count(*) FROM vec w WHERE w.label = s.cluster) = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""",
 )
 def silhouette(spark, sf_dir):
-    from ..operators.pairs import euclidean_pairs, mirrored
-
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster"))
-    pairs = mirrored(euclidean_pairs(vec.select("id", "embedding")), diagonal=None)
-    return rounded(M.silhouette(pairs, vec.select("id", "cluster")), "silhouette")
+    return rounded(M.silhouette_of_vectors(vec), "silhouette")
