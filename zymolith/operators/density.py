@@ -1,88 +1,58 @@
 """Density clusters of vectors without their matrix of distances.
 
-Core distances and lists of neighbours come from pairs of blocks.  The least
+Core distances and lists of neighbours come from pairs of packs.  The least
 spanning tree of mutual reachability grows in rounds: every component takes its
 least edge to another.  Where a component's list of neighbours proves that edge, no
 distance is computed; the items of other components are compared with all
-blocks again, a block of distances at a time.  The edges of the finished tree, one less
+packs again, a tile of distances at a time.  The edges of the finished tree, one less
 than items, are sorted and condensed in one task: linear, as any listing of a tree.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distances import exact, tiles
 from ..functions.scratch import written
+from . import blocks as B
 from .clustering import labels_of_tree
 
-BLOCK_ITEMS = 1024
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-    close = d2 < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1))
-    out = np.sqrt(np.maximum(d2, 0))
-    if close.any():  # differences of near vectors lose their digits otherwise
-        i, j = np.nonzero(close)
-        out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
-    return out
-
-
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-def _against_all(asked: DataFrame, items: DataFrame, blocks: int, call, schema: str) -> DataFrame:
-    """``call(asked rows, item rows)`` for each block of asked rows and each block of items."""
-    left = asked.select(*[F.col(c).alias(c) for c in asked.columns]).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = items.select(*[F.col(c).alias(c) for c in items.columns]).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(call, schema)
-
 
 def neighbours(items: DataFrame, k: int, blocks: int) -> DataFrame:
     """(i, near array<struct<d, j>>): the ``k`` nearest others of each item (id, x), by distance, then id."""
-
-    def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            i, j = left["id"].to_numpy(), right["id"].to_numpy()
-            order = np.argsort(j)
-            j, d = j[order], _distances(_matrix(left["x"], len(i)), _matrix(right["x"], len(j)))[:, order]
-            d[i[:, None] == j] = np.inf
-            for x in range(len(i)):
-                best = np.argsort(d[x], kind="stable")[:k]
-                best = best[np.isfinite(d[x, best])]
-                out.append((i[x], [{"d": float(d[x, y]), "j": int(j[y])} for y in best]))
-        return pa.table({"i": pa.array([o[0] for o in out], pa.int64()), "near": pa.array([o[1] for o in out], pa.list_(pa.struct([("d", pa.float64()), ("j", pa.int64())])))})
-
-    parts = _against_all(items, items, blocks, call, "i long, near array<struct<d:double,j:long>>")
-    return parts.groupBy("i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    found = B.nearest(B.packed(items, "x", packs=blocks), k)
+    return found.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
 
 
 def _least_edges(open_items: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
     """(comp, w, lo, hi): the least mutual-reachability edge from each component of ``open_items`` (id, x, core, comp) to another one."""
 
-    def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[int, tuple[float, int, int]] = {}
-        if left.num_rows and right.num_rows:
-            i, j, ci, cj = left["id"].to_numpy(), right["id"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-            w = _distances(_matrix(left["x"], len(i)), _matrix(right["x"], len(j)))
-            w = np.maximum(w, np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()))
-            w[ci[:, None] == cj] = np.inf
-            for x in np.flatnonzero(np.isfinite(w.min(1))):
-                ties = j[w[x] == w[x].min()]
-                own = min((min(int(i[x]), int(y)), max(int(i[x]), int(y))) for y in ties)
-                edge = (float(w[x].min()), *own)
-                found[int(ci[x])] = min(found.get(int(ci[x]), edge), edge)
-        rows = sorted(found.items())
-        return pa.table({"comp": pa.array([c for c, _ in rows], pa.int64()), "w": pa.array([e[0] for _, e in rows], pa.float64()), "lo": pa.array([e[1] for _, e in rows], pa.int64()), "hi": pa.array([e[2] for _, e in rows], pa.int64())})
-
-    return _against_all(open_items, items, blocks, call, "comp long, w double, lo long, hi long")
+    def call(left: B.Pack, right: B.Pack) -> Iterator[pa.Table]:
+        comps, place = np.unique(left.rest["comp"], return_inverse=True)
+        least, found = np.full(len(comps), np.inf), {}
+        for r, c, d in tiles(left.x, right.x):
+            w = np.maximum(d, left.rest["core"][r, None])
+            np.maximum(w, right.rest["core"][c], out=w)
+            w[left.rest["comp"][r, None] == right.rest["comp"][c]] = np.inf
+            low, own = w.min(1), place[r]
+            for x in np.flatnonzero(np.isfinite(low) & (low <= least[own] * (1 + 1e-9) + 1e-12)):
+                # by differences, which are the same from either end and in the lists of neighbours
+                near = np.flatnonzero(w[x] <= low[x] * (1 + 1e-9) + 1e-12)
+                js, i = right.ids[c][near], left.ids[r][x]
+                reach = np.maximum(np.maximum(exact(left.x[r][x], right.x[c][near]), left.rest["core"][r][x]), right.rest["core"][c][near])
+                edge = min(zip(reach.tolist(), np.minimum(i, js).tolist(), np.maximum(i, js).tolist(), strict=True))
+                found[own[x]] = min(found.get(own[x], edge), edge)
+                least[own[x]] = found[own[x]][0]
+        rows = sorted((int(comps[k]), e) for k, e in found.items())
+        yield pa.table({"comp": pa.array([c for c, _ in rows], pa.int64()), "w": pa.array([e[0] for _, e in rows], pa.float64()), "lo": pa.array([e[1] for _, e in rows], pa.int64()), "hi": pa.array([e[2] for _, e in rows], pa.int64())})
+
+    asked, other = (B.packed(rows, "x", rest=["core", "comp"], packs=blocks) for rows in (open_items, items))
+    return B.over_pairs(asked, call, "comp long, w double, lo long, hi long", other)
 
 
 def spanning_tree(items: DataFrame, least: int, blocks: int, listed: int) -> DataFrame:
@@ -146,7 +116,7 @@ def density_clusters(vectors: DataFrame, least: int = 5, vector: str = "embeddin
     n = items.count()
     if n < 2:
         return items.select("id", F.lit(-1).cast("long").alias("cluster"))
-    blocks = blocks or max(1, math.ceil(n / BLOCK_ITEMS))
+    blocks = blocks or B.pack_count(n)
     tree = spanning_tree(items, least, blocks, listed or 4 * least)
 
     def call(edges: pa.Table) -> pa.Table:
