@@ -110,3 +110,15 @@ def test_latest_results_fall_back(spark):
     reg = spark.createDataFrame([("f0", "a", 1, "old"), ("f0", "a", 2, "new"), ("all_folds", "a", 9, "folds"), ("f1", "all_classes", 3, "classes")], "fold string, class string, ts int, path string")
     want = spark.createDataFrame([("f0", "a"), ("f1", "a"), ("f1", "b"), ("f9", "z")], "fold string, class string")
     assert {(r["fold"], r["class"]): r.path for r in C.latest_results(reg, want).collect()} == {("f0", "a"): "new", ("f1", "a"): "classes", ("f1", "b"): "classes"}
+
+
+def test_long_serials_and_residues(spark, tmp_path):
+    numbers = [-999, -1, 0, 9999, 10000, 99999, 100000, 1200000, 43770015, 43770016, 87440031, None]
+    rows = [(n, None if n is None or n > 2436111 else n, float(k)) for k, n in enumerate(numbers)]
+    atoms = spark.createDataFrame(rows, "serial int, residue int, x double").selectExpr("'m' AS module_id", "serial", "'CA' AS atom", "'ALA' AS residue_name", "'A' AS chain", "residue", "'' AS insertion", "x", "x AS y", "x AS z", "90.0D AS confidence")
+    P.write_atoms(atoms, f"{tmp_path}/far")
+    assert sorted((r.x, r.serial, r.residue) for r in P.read_atoms(spark, f"{tmp_path}/far").collect()) == sorted((x, n, m) for n, m, x in rows)
+    assert P.read_atoms(spark, f"{tmp_path}/far").where("x = y and y = z and confidence = 90").count() == len(rows)
+    for wrong in ("serial + 87440032 AS serial, x", "serial, x + 100000 AS x"):
+        with pytest.raises(Exception, match="no place|too wide"):
+            P.write_atoms(atoms.where("serial = 0").drop("serial", "x").crossJoin(spark.sql(f"SELECT {wrong} FROM (SELECT 0 AS serial, 1D AS x)")), f"{tmp_path}/{len(wrong)}")

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Length of an ATOM line as it is written.
+LINE = 66
+
+
+def hybrid_text(number: str, width: int) -> Column:
+    """A whole number in ``width`` places: decimal, or beyond that hybrid-36, from A000... to ZZZZ..., then from a000...; an error past zzzz...."""
+    n, decimal, letters = F.col(number).cast("long"), 10**width, 26 * 36 ** (width - 1)
+    text = lambda k: F.conv((n - decimal - k * letters + 10 * 36 ** (width - 1)).cast("string"), 10, 36)
+    beyond = F.raise_error(F.concat(F.lit(f"no place for {number} "), n.cast("string"))).cast("string")
+    far = F.when(n < decimal + letters, text(0)).when(n < decimal + 2 * letters, F.lower(text(1))).otherwise(beyond)
+    return F.when((n > -(decimal // 10)) & (n < decimal), n.cast("string")).when(n >= decimal, far).when(n.isNotNull(), beyond).otherwise(F.lit(""))
+
+
+def hybrid_number(text: Column, width: int) -> Column:
+    """The whole number that ``hybrid_text`` wrote; null if it is none, as a blank is."""
+    value = F.conv(text, 36, 10).try_cast("long") - 10 * 36 ** (width - 1) + 10**width
+    far = F.when(text.rlike(f"^[A-Z][0-9A-Z]{{{width - 1}}}$"), value).when(text.rlike(f"^[a-z][0-9a-z]{{{width - 1}}}$"), value + 26 * 36 ** (width - 1))
+    return F.when(text.rlike("^[A-Za-z]"), far).otherwise(text.try_cast("long")).try_cast("int")
+
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     """(file, serial, atom, residue_name, chain, residue, insertion, x, y, z, confidence, model): ATOM records.
@@ -17,11 +36,11 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     number = lambda a, b: cut(a, b).try_cast("double")
     return atoms.select(
         "file",
-        cut(7, 11).try_cast("int").alias("serial"),
+        hybrid_number(cut(7, 11), 5).alias("serial"),
         cut(13, 16).alias("atom"),
         cut(18, 20).alias("residue_name"),
         F.substring("value", 22, 1).alias("chain"),
-        cut(23, 26).try_cast("int").alias("residue"),
+        hybrid_number(cut(23, 26), 4).alias("residue"),
         cut(27, 27).alias("insertion"),
         number(31, 38).alias("x"),
         number(39, 46).alias("y"),
@@ -68,9 +87,10 @@ def needed_files(listing: DataFrame, needed: DataFrame, with_structure: DataFram
 
 
 def write_atoms(atoms: DataFrame, path: str, by: str = "module_id") -> None:
-    """ATOM lines, partitioned by ``by``."""
+    """ATOM lines, partitioned by ``by``; serials and residues too long for their columns are in hybrid-36, other such values an error."""
     line = F.format_string(
-        "ATOM  %5d %-4s %3s %s%4d%1s   %8.3f%8.3f%8.3f  1.00%6.2f",
-        "serial", F.when(F.length("atom") < 4, F.concat(F.lit(" "), "atom")).otherwise(F.col("atom")), "residue_name", "chain", "residue", "insertion", "x", "y", "z", "confidence",
+        "ATOM  %5s %-4s %3s %s%4s%1s   %8.3f%8.3f%8.3f  1.00%6.2f",
+        hybrid_text("serial", 5), F.when(F.length("atom") < 4, F.concat(F.lit(" "), "atom")).otherwise(F.col("atom")), "residue_name", "chain", hybrid_text("residue", 4), "insertion", "x", "y", "z", "confidence",
     )
-    atoms.select(by, line.alias("value")).write.partitionBy(by).text(path)
+    fits = F.when(F.length("value") == LINE, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("too wide for its columns: "), "value")).cast("string"))
+    atoms.select(by, line.alias("value")).select(by, fits.alias("value")).write.partitionBy(by).text(path)
