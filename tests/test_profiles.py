@@ -84,3 +84,14 @@ def test_profiles_of_classes(spark):
         mine, other = ("one", "two") if k % 2 else ("two", "one")
         assert got[k, mine] > 5 > got[k, other]
         assert got[k, mine] == pytest.approx(P.scores(known[0 if mine == "one" else 1], [asked[k][1]])[0])
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    known = P.profiles(spark.createDataFrame([("a", "ACDE"), ("b", "WWYY")], "class string, aligned string"))
+    rows = spark.createDataFrame([(k, ("ACDE", "WYW", "")[k % 3]) for k in range(90)] + [(99, None)], "id long, sequence string").coalesce(1)
+    want = {(p.name, t): P.scores(p, [t])[0] for p in known for t in ("ACDE", "WYW")}
+    plain = P.scores
+    once = lambda p, texts, best: plain(p, texts, best) if len(texts) == 2 else 1 / 0
+    monkeypatch.setattr(P, "scores", once)
+    got = P.profile_scores(rows, known).collect()
+    assert len(got) == 120 and all(r.score == pytest.approx(want[r["class"], ("ACDE", "WYW")[r.id % 3]]) for r in got)

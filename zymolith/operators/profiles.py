@@ -106,7 +106,7 @@ def profiles(aligned: DataFrame, least_share: float = 0.5, prior: float = 1.0, s
     ``step_prior`` of each step are added to the counts.  Letters outside LETTERS count as none.
     Classes without a kept column have no profile.
     """
-    aligned = written(aligned.where(F.col("aligned").isNotNull() & F.col("class").isNotNull()).select("class", F.upper("aligned").alias("aligned")), "profile-rows")
+    aligned = written(aligned.where(F.col("aligned").isNotNull() & F.col("class").isNotNull()).groupBy("class", F.upper("aligned").alias("aligned")).agg(F.count(F.lit(1)).alias("n")), "profile-rows")
     widths = {r["class"]: r["w"] for r in aligned.groupBy("class").agg(F.max(F.length("aligned")).alias("w")).collect()}  # one row a profile
     names = sorted(widths)
     out: list[Profile] = []
@@ -114,13 +114,13 @@ def profiles(aligned: DataFrame, least_share: float = 0.5, prior: float = 1.0, s
     for at in range(0, len(names), CLASSES_AT_ONCE):
         some = names[at : at + CLASSES_AT_ONCE]
         rows = aligned.where(F.col("class").isin(*some))
-        letters = _sums(rows, some, lambda name, codes: _letter_counts(codes, widths[name]))
+        letters = _sums(rows, some, lambda name, codes, n: _letter_counts(codes, widths[name], n))
         kept = {}
         for name in some:
             cells = letters[name].reshape(widths[name], len(LETTERS) + 2)
             kept[name] = np.flatnonzero(cells[:, :-1].sum(1) >= least_share * cells.sum(1))
             counted[name] = (cells[kept[name]][:, : len(LETTERS)], np.zeros(0))
-        steps = _sums(rows, some, lambda name, codes: _step_counts(codes, widths[name], kept[name]))
+        steps = _sums(rows, some, lambda name, codes, n: _step_counts(codes, widths[name], kept[name], n))
         for name in some:
             counted[name] = (counted[name][0], steps[name].reshape(-1, len(STEPS)))
     shares = sum((c.sum(0) for c, _ in counted.values()), np.full(len(LETTERS), 1.0))
@@ -144,16 +144,16 @@ def _sums(rows: DataFrame, names: list[str], count) -> dict[str, np.ndarray]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(text)
+            by: dict[str, list[tuple[str, int]]] = {}
+            for name, text, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                by.setdefault(name, []).append((text, n))
             for name, texts in by.items():
-                own = count(name, _aligned_codes(texts))
+                own = count(name, _aligned_codes([t for t, _ in texts]), np.array([n for _, n in texts], float))
                 total[name] = total[name] + own if name in total else own
         for name, cells in sorted(total.items()):
             yield (place[name],), cells
 
-    return {names[r.k]: cells_of(r.cells, (-1,)) for r in array_sums(rows.select("class", "aligned"), work, ["k"]).collect()}  # one row a profile
+    return {names[r.k]: cells_of(r.cells, (-1,)) for r in array_sums(rows.select("class", "aligned", "n"), work, ["k"]).collect()}  # one row a profile
 
 
 def _aligned_codes(texts: list[str]) -> np.ndarray:
@@ -168,15 +168,15 @@ def _aligned_codes(texts: list[str]) -> np.ndarray:
     return x
 
 
-def _letter_counts(codes: np.ndarray, width: int) -> np.ndarray:
+def _letter_counts(codes: np.ndarray, width: int, n: np.ndarray) -> np.ndarray:
     out = np.zeros((width, len(LETTERS) + 2))
     for c in range(len(LETTERS) + 2):
-        out[: codes.shape[1], c] = (codes == c).sum(0)
-    out[codes.shape[1] :, -1] = len(codes)
+        out[: codes.shape[1], c] = n @ (codes == c)
+    out[codes.shape[1] :, -1] = n.sum()
     return out.ravel()
 
 
-def _step_counts(codes: np.ndarray, width: int, kept: np.ndarray) -> np.ndarray:
+def _step_counts(codes: np.ndarray, width: int, kept: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How often each step is taken from each kept column; an insert that follows a delete, or goes before one, counts as one of a match."""
     gap = len(LETTERS) + 1
     codes = np.concatenate([codes, np.full((len(codes), width - codes.shape[1]), gap)], 1)
@@ -185,24 +185,26 @@ def _step_counts(codes: np.ndarray, width: int, kept: np.ndarray) -> np.ndarray:
     for k in range(len(kept) - 1):
         a, b = there[:, kept[k]], there[:, kept[k + 1]]
         between = there[:, kept[k] + 1 : kept[k + 1]].sum(1)
-        out[k, 0] = (a & b & (between == 0)).sum()
-        out[k, 1] = (a & (between > 0)).sum()
-        out[k, 2] = (a & ~b & (between == 0)).sum()
-        out[k, 3] = (a & (between > 0)).sum()
-        out[k, 4] = np.maximum(between[a] - 1, 0).sum()
-        out[k, 5] = (~a & b).sum()
-        out[k, 6] = (~a & ~b).sum()
+        out[k, 0] = n @ (a & b & (between == 0))
+        out[k, 1] = n @ (a & (between > 0))
+        out[k, 2] = n @ (a & ~b & (between == 0))
+        out[k, 3] = n @ (a & (between > 0))
+        out[k, 4] = n[a] @ np.maximum(between[a] - 1, 0)
+        out[k, 5] = n @ (~a & b)
+        out[k, 6] = n @ (~a & ~b)
     return out.ravel()
 
 
 def profile_scores(sequences: DataFrame, known: list[Profile], best_path: bool = False) -> DataFrame:
     """(id, class, score): log odds of each sequence (id, sequence) under each profile; null and empty sequences have none."""
     rows = sequences.where(F.col("sequence").isNotNull() & (F.col("sequence") != "")).select("id", "sequence")
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # a small file has as many rows out as profiles times its own
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            coded_texts = b.column(1).dictionary_encode()  # a text is scored once a batch
+            texts, place = coded_texts.dictionary.to_pylist(), coded_texts.indices.to_numpy()
             for p in known:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.name] * len(texts)), pa.array(scores(p, texts, best_path))], ["id", "class", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.name] * len(place)), pa.array(scores(p, texts, best_path)[place])], ["id", "class", "score"])
 
     return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, class string, score double")
