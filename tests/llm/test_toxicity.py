@@ -123,3 +123,28 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
 def test_one_class_or_no_labels():
     for texts, labels in (([], []), (["a"] * 5, [0] * 5)):
         assert (scored(T.fit(texts, labels), ["a", ""]) < 0.7).all()
+
+
+def test_memory_of_long_batches():
+    """Terms, scores and pairs of a batch are taken a small block of texts at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, 300)) for _ in range(1200)]
+    model = T.FactorizationMachine(0.0, rng.normal(size=1 << T.BITS), np.zeros((1 << T.BITS, 1)))
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], ["text"])
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            kept = work()
+            return tracemalloc.get_traced_memory()[1] / 1e6, kept
+        finally:
+            tracemalloc.stop()
+
+    most, scores = peak(lambda: [z for _, z in T._scored(model, batch, 0)])
+    assert most < 10 and sum(map(len, scores)) == 1202 and scores[-1][-1] == scores[-1][-2] == 0.5
+    most, _ = peak(lambda: sum(len(k) for _, k in T._near_pairs(batch.column(0).slice(0, 1200), T.BITS, np.ones(1 << T.BITS, bool))))
+    assert most < 20

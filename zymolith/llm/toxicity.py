@@ -42,7 +42,8 @@ PAIR_ROWS = 4_000
 LEAST_ROWS = 4
 #: A pair's z statistic, and how far it must exceed those of its words.
 PAIR_Z, PAIR_MARGIN = 6.0, 2.0
-_BLOCK = 1 << 20
+#: Bytes of text that a task has in terms or pairs at a time, which take up to fifty times as much.
+_BLOCK = 1 << 17
 _CELL_BITS = 24
 
 
@@ -253,6 +254,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         for c in (0, 1):
                             np.add.at(cells[c], mix(k[label[d] == c]) >> U64(64 - _CELL_BITS), 1)
                 live = (cells[1] >= LEAST_ROWS) | (cells[0] >= max(LEAST_ROWS, 0.05 * seen[1]))
+                del cells
             for batch in batches:
                 label = batch.column(2).to_numpy().astype(float)
                 for d, k in _near_pairs(batch.column(3), BITS, frequent):
@@ -275,13 +277,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_terms(doc, term, y, part, (counts["pair"].to_numpy().view(U64), counts["n"].to_numpy(), counts["p"].to_numpy()))
 
 
-def _scores(model: FactorizationMachine, texts: pa.Array) -> np.ndarray:
-    """Scores of whole texts."""
-    out = []
+def _scored(model: FactorizationMachine, batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, their scores) of a batch, a block of whole texts at a time; no copy of the batch is made."""
+    texts = batch.column(text).cast(pa.large_string())
     for a, b in blocks(texts, _BLOCK):
         doc, term = hashed_terms(texts.slice(a, b - a), BITS)
-        out.append(_sigmoid(model.logits(doc, term, b - a)))
-    return np.concatenate(out) if out else np.zeros(0)
+        yield batch.slice(a, b - a), _sigmoid(model.logits(doc, term, b - a))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +296,8 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(sent.value, batch.column(1)))], ["doc_id", "score"])
+            scores = [z for _, z in _scored(sent.value, batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
     out = own.mapInArrow(run, "doc_id long, score double")
@@ -313,7 +315,7 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-            yield batch.filter(pa.array(_scores(sent.value, texts) < THRESHOLD))
+            for rows, scores in _scored(sent.value, batch, at):
+                yield rows.filter(pa.array(scores < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
